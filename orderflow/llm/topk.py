@@ -29,31 +29,34 @@ class SortedLists:
     """A block's vectors, and their order by each dimension."""
 
     def __init__(self, ids: np.ndarray, data: np.ndarray):
+        """data: whole numbers as float64, whose products and sums here are exact below 2 ** 53."""
         self.ids, self.data = ids, data
-        self.order = np.argsort(data, axis=0, kind="stable").T.copy()
-        self.values = np.take_along_axis(data, self.order.T, 0).T.copy()
+        falling = np.argsort(-data, axis=0, kind="stable").T
+        self.order = np.stack([falling[:, ::-1], falling])  # by the sign of a query's component: from the least, from the highest
+        self.values = np.take_along_axis(np.broadcast_to(data.T, self.order.shape), self.order, 2)
 
     def top(self, query: np.ndarray, k: int, leave_out: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best (fewer if there are fewer), without the id leave_out."""
         n, used = len(self.ids), np.flatnonzero(query)
-        up, weight = query[used] > 0, query[used]
-        seen, best_ids, best = np.zeros(n, bool), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        seen[self.ids == leave_out] = True
+        side, weight = (query[used] > 0).astype(np.int64), query[used]
+        seen = self.ids == leave_out
+        best_ids, best = np.zeros(0, np.int64), np.zeros(0)
         depth, step = 0, STEP
         while True:
             end = min(n, depth + step) if len(used) else n
-            near = [self.order[d, n - end : n - depth] if u else self.order[d, depth:end] for d, u in zip(used, up)]
-            new = np.unique(np.concatenate(near)) if near else np.arange(n)
-            new = new[~seen[new]]
+            near = np.zeros(n, bool)
+            near[self.order[side, used, depth:end].ravel() if len(used) else slice(None)] = True
+            new = np.flatnonzero(near & ~seen)
             seen[new] = True
-            best_ids, best = np.concatenate([best_ids, self.ids[new]]), np.concatenate([best, self.data[new] @ query])
+            score = self.data[new] @ query
+            if len(new) > k:
+                high = score >= np.partition(score, -k)[-k]
+                new, score = new[high], score[high]
+            best_ids, best = np.concatenate([best_ids, self.ids[new]]), np.concatenate([best, score])
             first = np.lexsort((best_ids, -best))[:k]
             best_ids, best = best_ids[first], best[first]
-            if end == n:
-                return best_ids, best
-            bound = sum(w * (self.values[d, n - 1 - end] if u else self.values[d, end]) for d, u, w in zip(used, up, weight))
-            if len(best) == k and bound < best[-1]:
-                return best_ids, best
+            if end == n or len(best) == k and weight @ self.values[side, used, end] < best[-1]:
+                return best_ids, best.astype(np.int64)
             depth, step = end, step * 2
 
 
@@ -79,8 +82,8 @@ def nearest_by_product(vectors: DataFrame, queries: DataFrame, k: int) -> DataFr
         for x in rows(batches):
             ids, data = unpack(x["ids"], x["data"], d)
             q_ids, q_data = unpack(x["q_ids"], x["q_data"], d)
-            lists = SortedLists(ids, data.astype(np.int64))
-            found = [lists.top(q, k, i) for i, q in zip(q_ids, q_data.astype(np.int64))]
+            lists = SortedLists(ids, data)
+            found = [lists.top(q, k, i) for i, q in zip(q_ids, q_data)]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, [len(a) for a, _ in found])), pa.array(np.concatenate([a for a, _ in found])), pa.array(np.concatenate([s for _, s in found]))], names=["query_id", "vec_id", "score"])
 
     best = pairs.select("ids", "data", "q_ids", "q_data").mapInArrow(run, "query_id long, vec_id long, score long")
