@@ -5,15 +5,96 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .fixtures import ctes, view
+from .functions import scalars as S
+from .operators import lines, lots, queue, resolve
+from .plans import operational
+from .sources import documents
+
+TODAY = "2026-03-17"
+_QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
+
+#: The cleaned queue in the oracle's own words.
+_JUDGED = """WITH c AS (SELECT row_id, qtd, CASE WHEN regexp_full_match(trim(matricula), '[0-9]+\\.0+') THEN split_part(trim(matricula), '.', 1) ELSE regexp_replace(matricula, '[^0-9]', '', 'g') END AS matricula,
+  CASE WHEN regexp_full_match(trim(sku), '[0-9]+\\.0+') THEN split_part(trim(sku), '.', 1) ELSE regexp_replace(sku, '[^0-9]', '', 'g') END AS sku_norm,
+  CASE WHEN trim(pedido) = '.' THEN '.' ELSE regexp_replace(pedido, '[^0-9A-Za-z]', '', 'g') END AS pedido_norm,
+  TRY_CAST(CASE WHEN qtd LIKE '%,%' THEN replace(replace(qtd, '.', ''), ',', '.') ELSE qtd END AS DOUBLE) AS q,
+  try_strptime(replace(data_remessa, '.', '/'), '%d/%m/%Y') AS d, data_remessa FROM f1_queue),
+b AS (SELECT *, CAST(greatest(1, floor(q)) AS BIGINT) AS qtd_int, strftime(d, '%d/%m/%Y') AS data_norm,
+  list_filter([CASE WHEN matricula = '' THEN 'MATRICULA_VAZIA' END, CASE WHEN sku_norm = '' THEN 'SKU_VAZIO' END, CASE WHEN pedido_norm = '' THEN 'PEDIDO_VAZIO' END,
+   CASE WHEN trim(qtd) = '' THEN 'QTD_VAZIA' WHEN q IS NULL THEN concat('QTD_INVALIDA: ', qtd) END, CASE WHEN trim(data_remessa) = '' THEN 'DATA_VAZIA' WHEN d IS NULL THEN 'DATA_INVALIDA' END], lambda r: r IS NOT NULL) AS r FROM c),
+j AS (SELECT *, CASE WHEN len(r) > 0 THEN array_to_string(r, ' | ') WHEN length(sku_norm) > 14 THEN 'SKU_MAIS_14' ELSE '' END AS status FROM b)"""
+_CONSOLIDATED = _JUDGED + """, k AS (SELECT matricula, pedido_norm, sku_norm, data_norm, min(row_id) AS row_id, CAST(sum(qtd_int) AS BIGINT) AS qtd, count(*) AS linhas FROM j WHERE status = '' GROUP BY ALL)"""
+_CONTEXT = """WITH x AS (SELECT *, coalesce(last_value(nullif(regexp_extract(line, '^PEDIDO DE COMPRAS ([0-9]+)/', 1), '') IGNORE NULLS) OVER (PARTITION BY file ORDER BY page, line_no), '') AS pedido FROM f6_lines)"""
+_ITEM = "'^([0-9]{6}) ([0-9]+) (.+) CX ([0-9]+) ([0-9]+),00 [0-9]+,[0-9]{4}$'"
+
+
+def over(name: str, f: Callable[..., DataFrame], views: str, sql: str) -> None:
+    """Registers f over views, by name and in order."""
+    wanted = views.split()
+    _QUERIES[name] = (lambda spark, sf_dir: f(*(view(spark, sf_dir, v) for v in wanted)), ctes(sql))
+
+
+over("flt_05_validate_queue", lambda q: queue.judged(q).select("row_id", "matricula", "sku_norm", "pedido_norm", "qtd_int", "data_norm", "status"), "f1_queue", _JUDGED + " SELECT row_id, matricula, sku_norm, pedido_norm, CASE WHEN q IS NULL THEN NULL ELSE qtd_int END AS qtd_int, data_norm, status FROM j")
+over("flt_04_safe_rows", queue.safe_rows, "f1_queue", """WITH c AS (SELECT *, CASE WHEN qtd LIKE '%,%' THEN replace(replace(qtd, '.', ''), ',', '.') ELSE qtd END AS p FROM f1_queue),
+b AS (SELECT row_id, list_filter([CASE WHEN matricula = '' THEN 'MATRICULA' END, CASE WHEN sku = '' THEN 'SKU' END, CASE WHEN TRY_CAST(p AS DECIMAL(18,6)) IS NULL OR TRY_CAST(p AS DECIMAL(18,6)) <= 0 OR TRY_CAST(p AS DECIMAL(18,6)) % 1 <> 0 THEN 'QTD' END, CASE WHEN pedido = '' THEN 'PEDIDO' END, CASE WHEN data_remessa = '' THEN 'DATA' END], lambda r: r IS NOT NULL) AS r FROM c)
+SELECT row_id, array_to_string(r, ' | ') AS motivos, len(r) = 0 AS segura FROM b""")
+over("flt_10_blocking_errors", lambda q: queue.blocking(q, ("DATA_VAZIA", "DATA_INVALIDA")), "f1_queue", _JUDGED + " SELECT row_id, len(list_filter(string_split(status, ' | '), lambda s: s NOT IN ('DATA_VAZIA', 'DATA_INVALIDA'))) > 0 AS bloqueia FROM j WHERE status <> ''")
+over("agg_01_consolidate_skus", lambda q: queue.consolidate(queue.validate_queue(q)[0]), "f1_queue", _CONSOLIDATED + " SELECT matricula, pedido_norm, sku_norm, data_norm, row_id, qtd, linhas, CASE WHEN linhas > 1 THEN concat('SKU_DUPLICADO_CONSOLIDADO | linhas=', linhas, ' | qtd_total=', qtd) ELSE '' END AS observacao FROM k")
+over("agg_05_potential_duplicates", queue.potential_duplicates, "f1_queue", _JUDGED + " SELECT pedido_norm, matricula, sku_norm, count(*) AS linhas, CAST(sum(CASE WHEN q IS NULL THEN NULL ELSE qtd_int END) AS BIGINT) AS qtd_total FROM j WHERE matricula <> '' AND sku_norm <> '' AND pedido_norm NOT IN ('', '.') GROUP BY ALL HAVING count(*) > 1")
+over("agg_08_executive_panel", queue.executive_panel, "f1_queue", _JUDGED + """, s AS (SELECT count(*) AS a, count(*) FILTER (status = '') AS b, count(*) FILTER (status <> '') AS c, count(DISTINCT matricula) FILTER (status = '') AS d, CAST(sum(qtd_int) FILTER (status = '') AS BIGINT) AS e FROM j)
+SELECT unnest(['lidas', 'validas', 'rejeitadas', 'clientes', 'unidades']) AS indicador, unnest([a, b, c, d, e]) AS valor FROM s""")
+over("agg_09_reason_counts", queue.reason_counts, "f1_queue", _JUDGED + " SELECT motivo, count(*) AS linhas FROM (SELECT unnest(string_split(status, ' | ')) AS motivo FROM j WHERE status <> '') GROUP BY 1")
+over("agg_20_queue_stats", queue.queue_stats, "f1_queue", "SELECT count(*) AS linhas, (SELECT count(*) FROM (SELECT DISTINCT matricula, pedido FROM f1_queue)) AS pedidos FROM f1_queue")
+over("agg_21_error_groups", queue.error_groups, "f1_queue", _JUDGED + " SELECT matricula, pedido_norm, string_agg(DISTINCT status, ' ; ' ORDER BY status) AS motivos, count(*) AS linhas FROM j WHERE status <> '' GROUP BY 1, 2")
+over("win_12_item_sequence", lambda q: queue.with_sequence(q).select("row_id", F.col("seq").cast("long").alias("seq")), "f1_queue", "SELECT row_id, row_number() OVER (PARTITION BY matricula, pedido ORDER BY row_id) AS seq FROM f1_queue")
+over("str_10_order_fallback", lambda q: q.select("row_id", S.order_or_fallback(F.col("matricula"), F.col("pedido"), F.lit(TODAY).cast("date")).alias("pedido")), "f1_queue", "SELECT row_id, CASE WHEN pedido IN ('', '.') THEN concat(matricula, '17032026') ELSE pedido END AS pedido FROM f1_queue")
+over("pipe_03_item_records", lambda q, g: operational.item_records(q, g, TODAY), "f1_queue f3_gln", _CONSOLIDATED + """, g AS (SELECT matricula, arg_max(gln, row_id) AS gln FROM f3_gln GROUP BY 1),
+o AS (SELECT k.*, gln, CASE WHEN pedido_norm = '.' THEN concat(k.matricula, '17032026') ELSE pedido_norm END AS pedido FROM k JOIN g USING (matricula)),
+s AS (SELECT *, row_number() OVER (PARTITION BY matricula, pedido ORDER BY row_id) AS seq FROM o)
+SELECT matricula, pedido, seq, rpad(concat('04', lpad(CAST(seq AS VARCHAR), 6, '0'), lpad(sku_norm, 14, '0'), repeat(' ', 38), rpad('.', 35, ' '), lpad(CAST(qtd * 10000 AS VARCHAR), 17, '0'), repeat('0', 17), lpad(gln, 13, '0'), lpad(matricula, 15, '0'), repeat(' ', 6), repeat('0', 130)), 400, ' ') AS registro FROM s""")
+over("src_07_load_xref", resolve.load_xref, "f2_xref", "SELECT row_id, upper(rede) AS rede, chave_lida AS chave, matricula FROM f2_xref WHERE status <> 'INATIVO' AND matricula <> '' AND chave_lida <> ''")
+over("snk_07_upsert_xref", lambda x: resolve.upsert_xref(resolve.load_xref(x), resolve.load_xref(x).withColumn("row_id", -F.col("row_id")).filter("row_id % 2 = 0")), "f2_xref", "SELECT CASE WHEN row_id % 2 = 0 THEN -row_id ELSE row_id END AS row_id, upper(rede) AS rede, chave_lida AS chave, matricula FROM f2_xref WHERE status <> 'INATIVO' AND matricula <> ''")
+over("j_01_resolve_by_cnpj", lambda x, g: resolve.resolve_by_cnpj(x.select("row_id", "cnpj_oficial"), g, "cnpj_oficial"), "f2_xref f3_gln", """WITH i AS (SELECT cnpj, min(matricula) AS m, count(DISTINCT matricula) AS n FROM f3_gln GROUP BY 1)
+SELECT x.row_id, cnpj_oficial, CASE WHEN n = 1 THEN m ELSE '' END AS achada, coalesce(n > 1, false) AS ambigua FROM f2_xref x LEFT JOIN i ON i.cnpj = x.cnpj_oficial""")
+over("j_02_attach_gln", lambda q, g: resolve.attach_gln(q.select("row_id", "matricula"), g), "f1_queue f3_gln", "SELECT row_id, q.matricula, coalesce(gln, '') AS gln FROM f1_queue q LEFT JOIN (SELECT matricula, arg_max(gln, row_id) AS gln FROM f3_gln GROUP BY 1) g ON g.matricula = q.matricula")
+over("j_05_resolve_ean", lambda m: resolve.resolve_ean(m.filter("centro = 'C1'").select("row_id", "ean"), m), "f4_map", "SELECT m.row_id, m.ean, s.sku FROM f4_map m JOIN (SELECT ean, arg_min(sku, row_id) AS sku FROM f4_map GROUP BY 1) s USING (ean) WHERE centro = 'C1'")
+over("j_09_attach_ship_date", lambda q, s: resolve.attach_ship_date(q.select("row_id", "matricula", "pedido"), s), "f1_queue f10_ship", """WITH s AS (SELECT * FROM f10_ship WHERE data_remessa <> ''), e AS (SELECT matricula, pedido, arg_min(data_remessa, row_id) AS d1 FROM s GROUP BY ALL),
+o AS (SELECT matricula, arg_min(data_remessa, row_id) AS d2 FROM s GROUP BY 1 HAVING count(DISTINCT pedido) = 1)
+SELECT row_id, coalesce(d1, d2, '') AS data, CASE WHEN d1 IS NOT NULL THEN 1 WHEN d2 IS NOT NULL THEN 2 ELSE 0 END AS nivel FROM f1_queue q LEFT JOIN e ON e.matricula = q.matricula AND e.pedido = q.pedido LEFT JOIN o ON o.matricula = q.matricula""")
+over("set_05_dedup_shipments", resolve.dedup_shipments, "f10_ship", "SELECT matricula, pedido, data_remessa, min(row_id) AS row_id FROM f10_ship GROUP BY ALL")
+over("agg_22_map_diagnostics", resolve.map_diagnostics, "f4_map", "SELECT count(*) AS linhas, count(DISTINCT centro) AS centros, count(DISTINCT sku) AS skus, count(DISTINCT ean) AS eans, count(DISTINCT dun) AS duns, count(*) FILTER (apresentacao <= 0) AS sem_fator, (SELECT count(*) FROM (SELECT ean FROM f4_map GROUP BY 1 HAVING count(DISTINCT apresentacao) > 1)) AS ambiguas FROM f4_map")
+over("str_12_cnpj_mask", lambda g: g.select("row_id", S.cnpj_mask(F.col("cnpj")).alias("cnpj")), "f3_gln", "SELECT row_id, concat(cnpj[1:2], '.', cnpj[3:5], '.', cnpj[6:8], '/', cnpj[9:12], '-', cnpj[13:14]) AS cnpj FROM f3_gln")
+over("ex_01_extract_items", lines.extract_items, "f6_lines", _CONTEXT + f" SELECT file, line_no, pedido, regexp_extract(line, {_ITEM}, 1) AS sku, coalesce(TRY_CAST(regexp_extract(line, {_ITEM}, 5) AS BIGINT), 0) AS qtd, CASE WHEN regexp_matches(line, {_ITEM}) THEN '' ELSE 'LINHA_NAO_LIDA' END AS alerta FROM x WHERE regexp_matches(line, '^[0-9]{{6}} ')")
+over("win_01_fill_down", lambda x: lines.with_context(x, {"pedido": lines.ORDER, "cnpj": lines.CNPJ}).select("file", "line_no", "pedido", "cnpj"), "f6_lines", _CONTEXT + " SELECT file, line_no, pedido, coalesce(last_value(nullif(regexp_extract(line, '([0-9]{2}\\.[0-9]{3}\\.[0-9]{3}/[0-9]{4}-[0-9]{2})', 1), '') IGNORE NULLS) OVER (PARTITION BY file ORDER BY page, line_no), '') AS cnpj FROM x")
+over("win_05_broken_lines", lines.joined_broken, "f6_lines", f"WITH x AS (SELECT *, lead(line) OVER (PARTITION BY file ORDER BY page, line_no) AS n FROM f6_lines) SELECT file, line_no, concat_ws(' ', line, n) AS inteira FROM x WHERE regexp_matches(line, '^[0-9]{{6}} ') AND NOT regexp_matches(line, {_ITEM})")
+over("win_07_order_blocks", lines.order_blocks, "f6_lines", "WITH x AS (SELECT *, CAST(sum(CASE WHEN line LIKE 'PEDIDO DE COMPRAS %' THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY page, line_no) AS BIGINT) AS bloco FROM f6_lines) SELECT file, bloco, count(*) AS linhas, min(line_no) AS primeira FROM x GROUP BY ALL")
+over("agg_03_reconcile_totals", lines.reconcile_totals, "f6_lines", _CONTEXT + f""", s AS (SELECT file, pedido, CAST(coalesce(sum(TRY_CAST(regexp_extract(line, {_ITEM}, 5) AS BIGINT)), 0) AS BIGINT) AS soma, max(TRY_CAST(regexp_extract(line, '^TOTAIS ([0-9]+),00$', 1) AS BIGINT)) AS t, bool_or(regexp_matches(line, '^[0-9]{{6}} ') AND NOT regexp_matches(line, {_ITEM})) AS p FROM x GROUP BY 1, 2)
+SELECT file, pedido, soma, coalesce(t, -1) AS total, CASE WHEN t IS NULL THEN 'SEM_TOTAL' WHEN t <> soma THEN 'DIVERGENTE' WHEN p THEN 'OK_PENDENTE' ELSE 'OK' END AS situacao FROM s""")
+over("agg_17_page_audit", lines.page_audit, "f6_lines", f"SELECT file, count(*) AS linhas, count(*) FILTER (line LIKE 'PEDIDO DE COMPRAS %') AS pedidos, count(*) FILTER (regexp_matches(line, {_ITEM})) AS itens FROM f6_lines GROUP BY 1")
+over("set_04_unique_lines", lines.unique_lines, "f6_lines", _CONTEXT + " SELECT file, page, pedido, line, min(line_no) AS line_no FROM x GROUP BY 1, 2, 3, 4")
+over("win_09_flag_repeats", lots.flag_repeats, "f9_history", "SELECT row_id, row_number() OVER w > 1 AS repetido, first_value(arquivo) OVER w AS primeiro_arquivo FROM f9_history WINDOW w AS (PARTITION BY push, pedido ORDER BY row_id)")
+over("j_14_flag_history", lambda h: lots.flag_history(h, h), "f9_history", "SELECT h.* FROM f9_history h WHERE EXISTS (SELECT 1 FROM f9_history e WHERE e.pedido = h.pedido AND e.push < h.push)")
+over("agg_13_push_summary", lots.push_summary, "f9_history", "WITH p AS (SELECT push, pedido, count(*) AS n FROM f9_history GROUP BY 1, 2) SELECT h.push, count(DISTINCT arquivo) AS arquivos, count(*) AS itens, (SELECT count(*) FROM p WHERE p.push = h.push) AS pedidos, (SELECT count(*) FROM p WHERE p.push = h.push AND n > 1) AS repetidos FROM f9_history h GROUP BY h.push")
+over("agg_14_order_status", lots.order_status, "f9_history", "SELECT pedido, count(*) AS n, CASE WHEN count(*) > 1 THEN 'DUPLICADO' ELSE 'OK' END AS status FROM f9_history GROUP BY 1")
+over("agg_18_lot_totals", lots.lot_totals, "f9_history", "SELECT lote, count(*) AS itens, count(DISTINCT push) AS pushes, max(push) AS ultimo_push FROM f9_history GROUP BY 1")
+over("win_13_next_push", lots.next_push, "f9_history", "SELECT max(push) + 1 AS push FROM f9_history")
+_QUERIES["src_01_document_lines"] = (
+    lambda spark, sf_dir: documents.document_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text"),
+    r"""WITH p AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(12))) AS t, unnest(range(1, len(string_split(coalesce(text, ''), chr(12))) + 1)) AS page FROM documents)
+SELECT doc_id AS file, page, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS line_no, unnest(string_split(t, chr(10))) AS line FROM p""",
+)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return _QUERIES["pipe_03_item_records"][0](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for name, (f, _) in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _QUERIES.items()}
