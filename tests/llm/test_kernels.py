@@ -1,0 +1,160 @@
+"""Kernels against brute force."""
+
+import random
+
+import numpy as np
+import pytest
+
+from orderflow.llm import bpe, language, lines, minhash, neighbours, records, secrets, topk
+from orderflow.llm.text import raw, word_spans
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_words_are_those_of_split():
+    import pyarrow as pa
+
+    texts = ["", " a  b\x0bc", "x", None, "é ü z\n", "\t"]
+    data, offsets = raw(pa.array(texts))
+    starts, ends, bounds = word_spans(data, offsets)
+    found = [[bytes(data[s:e]) for s, e in zip(starts[a:b], ends[a:b])] for a, b in zip(bounds, bounds[1:])]
+    assert found == [(t or "").encode().split() for t in texts]
+
+
+def test_tree_encoding_is_the_definition():
+    rng = random.Random(3)
+    ranks = {bytes([b]): b for b in range(256)}
+    while len(ranks) < 700:
+        a, b = rng.choices([t for t in ranks if all(c in b"abc" for c in t)], k=2)
+        if len(a + b) < 9:
+            ranks.setdefault(a + b, len(ranks))
+    tree = bpe.TreeEncoder(ranks, leaf=2)
+    for _ in range(400):
+        data = bytes(rng.choices(b"abc", k=rng.randint(0, 90)))
+        assert tree.encode(data) == tree.merged(data)
+        assert tree.text(tree.encode(data)) == data
+
+
+def test_tokens_are_those_of_the_library(spark):
+    import hashlib
+
+    import public_tokenizers as P
+    import tiktoken
+
+    ranks = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in bpe.token_digests(docs, ranks, P.PATTERN).collect():
+        ids = library.encode_ordinary(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_records_hold_the_library_s_ids(spark, tmp_path):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    said = open(P.path("word_bpe_49k.json"), encoding="utf-8").read()
+    library = Tokenizer.from_str(said)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = records.record_table(docs, said, 1, f"{tmp_path}/records").orderBy("doc_id").collect()
+    start, texts = 0, {r.doc_id: r.text for r in docs.collect()}
+    for r in out:
+        n = len(library.encode(texts[r.doc_id], add_special_tokens=False).ids) + 1
+        assert (r.start, r.n_tokens) == (start, n)
+        start += n
+    index = spark.read.parquet(f"{tmp_path}/records-index")
+    for r in records.read_at(spark, f"{tmp_path}/records", index.filter("doc_id % 17 = 3")).collect():
+        assert r.ids == [*library.encode(texts[r.doc_id], add_special_tokens=False).ids, 1]
+    data = records.frame(5, 2, b"\x01\x00") + b"\n"
+    assert next(records.frames(data))[2] == 5
+    with pytest.raises(ValueError):
+        list(records.frames(data[:13] + b"\xff" + data[14:]))
+
+
+def test_banded_edits():
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, before = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        return row[-1]
+
+    rng = random.Random(1)
+    for _ in range(3000):
+        a = "".join(rng.choices("abc", k=rng.randint(0, 14)))
+        b = list(a)
+        for _ in range(rng.randint(0, 5)):
+            i = rng.randint(0, len(b))
+            b[i : i + rng.randint(0, 1)] = rng.choices("abc", k=rng.randint(0, 1))
+        b = "".join(b)
+        for k in range(4):
+            assert lines.within(a, b, k) == (plain(a, b) <= k)
+
+
+def test_similar_lines_meet_at_a_key_and_a_part():
+    rng = random.Random(2)
+    for _ in range(300):
+        a = "".join(rng.choices("abcdef ", k=rng.randint(34, 60)))
+        b = list(a)
+        for _ in range(2):
+            i = rng.randrange(len(b))
+            b[i : i + rng.randint(0, 1)] = rng.choices("xyz", k=rng.randint(0, 1))
+        x = lines.Lines([a + "\n" + "".join(b)])
+        if len(x.starts) < 2 or min(x.ends - x.starts) < 32:
+            continue
+        keys, of, probe = lines.line_keys(x.symbols, x.starts, x.ends - x.starts, 2, 32)
+        own = {(k, n) for k, n, p in zip(keys, of, probe) if not p}
+        assert any((k, 1 - n) in own for k, n, p in zip(keys, of, probe) if p)
+        assert any(u == v for u, v in zip(lines.bigram_parts(a, 9), lines.bigram_parts("".join(b), 9)))
+
+
+def test_sketches_fill_and_estimate():
+    rng = np.random.default_rng(0)
+    whole = rng.integers(0, 1 << 63, 800).astype(np.uint64)
+    a, b = whole[:600], whole[200:]
+    s = minhash.sketches(np.concatenate([a, b, whole[:1]]), np.array([0, 600, 1200, 1201]))
+    assert (s < np.iinfo(np.uint64).max).all()
+    assert abs((s[0] == s[1]).mean() - 0.5) < 0.1
+
+
+def test_trigram_queries():
+    assert secrets.trigram_query(r"AKIA[A-Z0-9]+") == [["akia"]]
+    assert secrets.trigram_query(r"[0-9a-f]{16,}") == []
+    assert all(len(s) >= 3 for r in secrets.RULES for c in secrets.trigram_query(r.pattern) for s in c)
+
+
+def test_threshold_algorithm_is_exact():
+    rng = np.random.default_rng(5)
+    data = rng.integers(-90, 90, (900, 16)).astype(float)
+    data[3:40] = data[3]
+    lists, ids = topk.SortedLists(np.arange(900), data), np.arange(900)
+    for i in range(60):
+        score = data @ data[i]
+        score[i] = -np.inf
+        assert lists.top(data[i], 5, i)[0].tolist() == ids[np.lexsort((ids, -score))[:5]].tolist()
+
+
+def test_neighbours_recall(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = vectors.collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    found = {}
+    for r in neighbours.nearest(vectors).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for i in np.flatnonzero(ids % 100 == 0):
+        near = ((x - x[i]) ** 2).sum(1)
+        near[i] = np.inf
+        hit += len(found[ids[i]] & set(ids[np.lexsort((ids, near))[:10]].tolist()))
+    assert hit >= 0.9 * 10 * len(found)
+
+
+def test_languages_of_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    told = language.language_table(docs).filter("held_out").join(docs.select("doc_id", "lang"), "doc_id")
+    assert told.filter("lang_pred = lang").count() >= 0.97 * told.count()
+    codes = language.codewords(4)
+    assert min((codes[i] != codes[j]).sum() for i in range(4) for j in range(i)) >= 4
