@@ -9,10 +9,12 @@ token's edge, so the sequence is the encoding of its text. Tokens outside the wi
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +22,7 @@ from pyspark.sql import types as T
 from .text import slices
 
 LEAF_BYTES = 24
-CACHED_PIECES = 300_000
+CACHED_PIECES = 1_000_000
 SLICE_BYTES = 4 << 20
 
 
@@ -40,18 +42,21 @@ class TreeEncoder:
 
     def merged(self, data: bytes) -> list[int]:
         """By the definition: the pair of lowest rank is merged, leftmost first, until no pair has a rank."""
-        ranks = self.ranks
+        rank_of, none = self.ranks.get, len(self.ranks)
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            lowest, at = None, 0
-            for i in range(len(parts) - 1):
-                rank = ranks.get(parts[i] + parts[i + 1])
-                if rank is not None and (lowest is None or rank < lowest):
-                    lowest, at = rank, i
-            if lowest is None:
+        ranks = [rank_of(a + b, none) for a, b in zip(parts, parts[1:])]
+        while ranks:
+            lowest = min(ranks)
+            if lowest == none:
                 break
+            at = ranks.index(lowest)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [ranks[p] for p in parts]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = rank_of(parts[at - 1] + parts[at], none)
+            if at < len(ranks):
+                ranks[at] = rank_of(parts[at] + parts[at + 1], none)
+        return [self.ranks[p] for p in parts]
 
     def compatible(self, left: int, right: int) -> bool:
         known = self.compatible_pairs.get((left, right))
@@ -91,14 +96,19 @@ class TreeEncoder:
 
 
 class _Pieces(dict):
-    def __init__(self, encoder: TreeEncoder):
+    """Ids of a piece, as bytes of 32-bit numbers. Broadcast empty, it fills on each worker and serves all its tasks."""
+
+    def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
-        self.encoder = encoder
+        self.encoder = TreeEncoder(ranks)
+
+    def __reduce__(self):
+        return _Pieces, (self.encoder.ranks,)
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHED_PIECES:
             self.clear()
-        found = self[piece] = tuple(self.encoder.piece(piece.encode()))
+        found = self[piece] = array("i", self.encoder.piece(piece.encode())).tobytes()
         return found
 
 
@@ -109,17 +119,19 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     repeated rows, null ids and any further columns need no care; a column named as into is replaced. ranks is
     broadcast; its size is that of the vocabulary. An empty table gives an empty one.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(ranks)
+    sent = docs.sparkSession.sparkContext.broadcast(_Pieces(ranks))
     keep = tuple(c for c in keep if c != into)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         split = regex.compile(pattern).findall
-        known = _Pieces(TreeEncoder(sent.value))
+        ids_of = sent.value.__getitem__
         for batch in slices(batches, "__text", SLICE_BYTES):
-            ids = [list(chain.from_iterable(map(known.__getitem__, split(x)))) if x else [] for x in batch.column("__text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(ids, pa.list_(pa.int32()))], names=[*keep, into])
+            ids = [b"".join(map(ids_of, split(x))) if x else b"" for x in batch.column("__text").to_pylist()]
+            ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), ids], names=[*keep, into])
 
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(into, T.ArrayType(T.IntegerType(), False))])
     return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
@@ -130,18 +142,22 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", into:
     sent = encoded.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = {rank: text for text, rank in sent.value.items()}.__getitem__
+        texts = np.empty(max(sent.value.values(), default=-1) + 1, object)
+        for text, rank in sent.value.items():
+            texts[rank] = text
 
-        def up(found: list[int]) -> bytes:
-            if len(found) <= 1 << 16:
-                return b"".join(map(token, found))
-            half = len(found) // 2
-            return up(found[:half]) + up(found[half:])
+        def up(ids: np.ndarray) -> bytes:
+            if len(ids) <= 1 << 16:
+                return b"".join(texts[ids].tolist())
+            half = len(ids) // 2
+            return up(ids[:half]) + up(ids[half:])
 
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
                 part = batch.slice(begin, 256)
-                found = pa.array([up(x or []) for x in part.column("__ids").to_pylist()], pa.binary())
+                lists = pc.fill_null(part.column("__ids"), [])
+                all_, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(pc.list_value_length(lists).to_numpy())
+                found = pa.array([up(x) for x in np.split(all_, ends[:-1])], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), found], names=[*keep, into])
 
     schema = T.StructType([*(encoded.schema[c] for c in keep), T.StructField(into, T.BinaryType())])
