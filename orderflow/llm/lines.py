@@ -7,7 +7,8 @@ Lines that meet at a key are verified by a banded bit-parallel edit distance.
 
 Where many lines meet at one key, they are not paired as they are. Each is keyed anew by the parity of its bigrams,
 in parts to which bigrams are hashed: one edit changes four bigrams at most, so of 4 * threshold + 1 parts one at least
-is equal in both lines. Only lines that agree in a part as well are paired.
+is equal in both lines. Of those that agree in a part only lines are paired whose parities differ in 4 * threshold bits
+at most.
 """
 
 from __future__ import annotations
@@ -20,12 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cut, shuffle_partitions
-from .text import mix, run_sums, slices
+from .neighbours import whole_groups
+from .text import mix, prefix_sums, run_sums, slices, sums_between
 
 EDITS = 2
 NEAR_CHARS = 32
 SLICE_BYTES = 2 << 20
-MANY = 32
+MANY = 8
 _SECOND = np.uint64(0xA0761D6478BD642F)
 
 
@@ -96,12 +98,13 @@ def segments(length: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
 def line_keys(symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, k: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys, the line each is of, and whether it is a probe, for lines of least characters or more."""
     keys, lines, probes = [], [], []
+    sums = prefix_sums(symbols)
 
     def add(ok: np.ndarray, at: np.ndarray, size: np.ndarray, of: np.ndarray, i: int, probe: bool) -> None:
         some = np.flatnonzero(ok)
         begin = (starts + at)[some]
         salt = of[some].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i + 1)
-        keys.append(mix(run_sums(symbols, begin, begin + size[some]) ^ mix(salt)))
+        keys.append(mix(sums_between(sums, begin, begin + size[some]) ^ mix(salt)))
         lines.append(some)
         probes.append(np.full(len(some), probe))
 
@@ -265,10 +268,22 @@ def near_lines(texts: DataFrame, firsts: DataFrame, k: int, least: int) -> DataF
             values = [bigram_parts(x, parts) for x in batch.column("line").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("name"), pa.array(values, pa.list_(pa.int64()))], names=["key", "name", "parts"])
 
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "key", 2000):
+            keys, name = table.column("key").to_numpy(), table.column("name").to_numpy()
+            parity = table.column("parts").combine_chunks().flatten().to_numpy().reshape(len(keys), parts).view(np.uint64)
+            bounds = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                for i in range(a, b - 1):
+                    flips = np.bitwise_count(parity[i + 1 : b] ^ parity[i]).sum(1)
+                    near = np.flatnonzero(flips <= 4 * k) + i + 1
+                    if len(near):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(name[near], name[i])), pa.array(np.maximum(name[near], name[i]))], names=["a", "b"])
+
     many = met.filter("b IS NULL").select("key", F.col("a").alias("name")).join(lines, "name").select("key", "name", "line")
-    many = cut(many.mapInArrow(again, "key long, name long, parts array<long>").select("name", F.posexplode("parts").alias("part", "value"), "key").select("name", F.xxhash64("key", "part", "value").alias("key")).distinct())
-    other = many.select("key", F.col("name").alias("b"))
-    pairs = many.join(other, "key").filter("name < b").select(F.col("name").alias("a"), "b")
+    many = many.mapInArrow(again, "key long, name long, parts array<long>")
+    many = many.select("name", "parts", "key", F.posexplode("parts").alias("part", "value")).select(F.xxhash64("key", "part", "value").alias("key"), "name", "parts").distinct()
+    pairs = many.repartition("key").sortWithinPartitions("key").mapInArrow(alike, "a long, b long").filter("a < b")
     pairs = pairs.unionByName(met.filter("b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

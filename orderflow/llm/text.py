@@ -78,13 +78,20 @@ def _powers(base: int, n: int) -> np.ndarray:
     return known[:n]
 
 
+def prefix_sums(values: np.ndarray) -> np.ndarray:
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _powers(_BASE, len(values)), out=sums[1:])
+    return sums
+
+
+def sums_between(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    found = (sums[ends] - sums[starts]) * _powers(_BASE_INVERSE, len(sums))[starts]
+    return mix(found + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def run_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Mixed polynomial fingerprint of values[start:end] for each pair of bounds."""
-    n = len(values)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * _powers(_BASE, n), out=sums[1:])
-    found = (sums[ends] - sums[starts]) * _powers(_BASE_INVERSE, n + 1)[starts]
-    return mix(found + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return sums_between(prefix_sums(values), starts, ends)
 
 
 def word_prints(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
