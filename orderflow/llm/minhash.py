@@ -27,7 +27,7 @@ from .text import lower, mix, raw, run_sums, slices, word_prints, word_spans
 
 SHINGLE = 5
 PERCENT = 75
-BANDS, ROWS = 32, 4  # a pair at 0.75 shares no band with probability (1 - 0.75 ** 4) ** 32 = 5e-6
+BANDS, ROWS = 64, 6  # a pair at 0.75 shares no band with probability (1 - 0.75 ** 6) ** 64 = 4e-6, one at 0.2 shares one with 0.4 %
 SLICE_BYTES = 2 << 20
 TURNS = 4
 
