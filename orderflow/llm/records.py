@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, shuffle_partitions
+from .shared import shuffle_partitions
 from .text import slices
 
 SLICE_BYTES = 2 << 20
-CACHED_WORDS = 300_000
+CACHED_WORDS = 600_000
 _MASK = 0xA282EAD8
 
 
@@ -132,18 +132,16 @@ def encode_frames(docs: DataFrame, tokenizer: str, end_id: int, text: str = "tex
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("__text")).mapInArrow(run, "doc_id long, frame binary")
 
 
-def write_records(framed: DataFrame, path: str, shards: int) -> None:
-    """Frames in ascending doc_id order (null first, ties by their bytes), in about so many shard files.
+def write_records(docs: DataFrame, tokenizer: str, end_id: int, path: str, shards: int) -> None:
+    """Frames in ascending doc_id order (null first, ties by their texts), in about so many shard files.
 
-    Shards are written by Spark's text writer, which puts a row's bytes and a line feed, so that any file system and
-    Spark's commit of task output serve; a lost executor's shard is written again.
+    Texts are put in order before they are encoded, as finding the ranges reads them once more. Shards are written by
+    Spark's text writer, which puts a row's bytes and a line feed, so that any file system and Spark's commit of task
+    output serve; a lost executor's shard is written again.
     """
-    (
-        framed.repartitionByRange(shards, "doc_id", "frame")
-        .sortWithinPartitions("doc_id", "frame")
-        .select(F.col("frame").cast("string").alias("value"))
-        .write.text(path)
-    )
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    ordered = texts.repartitionByRange(shards, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    encode_frames(ordered, tokenizer, end_id).select(F.col("frame").cast("string").alias("value")).write.text(path)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -200,7 +198,7 @@ def record_table(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> Dat
     Null texts are empty; rows with a null doc_id come first; repeated rows stay. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    write_records(encode_frames(docs, tokenizer, end_id), path, shuffle_partitions(spark))
+    write_records(docs, tokenizer, end_id, path, shuffle_partitions(spark))
     index = write_index(spark, path, f"{path}-index")
     shards = index.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     shards = shards.select("shard", (F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
