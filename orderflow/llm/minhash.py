@@ -8,8 +8,11 @@ make buckets; documents of a bucket are compared on their full sets.
 
 Within a bucket not all pairs are compared. Documents of equal sets are one from the start. In turns, the least
 document of a bucket is compared with all others that are not in its component yet, then leaves the bucket. Only
-buckets that still hold several components go on, so a bucket of like documents is done after one turn, and no link
-between different components is left out.
+buckets that still hold several components go on, so a bucket of like documents is done after one turn. What is left
+after some turns are documents that share a passage but not most of their text, in crowded buckets. Those are paired by
+their rarest shingles instead: with shingles in one order, rare ones first, two sets at the wanted similarity must meet
+within their first few, and far enough from their ends. This filter is exact, so no link between different components
+is left out.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -141,6 +144,47 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Data
     return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
+def rare_pairs(members: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """a, b: pairs of members (node, component) in different components, all those of that similarity among them.
+
+    A set of n shingles shares at least percent of them with any like set, so that the two meet in the first
+    n - ceil(n * percent / 100) + 1, and the smaller one in still fewer. From where they first meet, what follows in the
+    shorter remainder must suffice for the intersection.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpress = zstandard.ZstdDecompressor().decompress
+        for batch in slices(batches, "packed", SLICE_BYTES // 4):
+            nodes, components_ = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "component"))
+            prints, bounds = shingle_sets(pa.array([unpress(x) for x in batch.column("packed").to_pylist()], pa.large_binary()))
+            n = np.diff(bounds)
+            for begin in range(0, len(prints), 1 << 17):
+                row = np.searchsorted(bounds, np.arange(begin, min(begin + (1 << 17), len(prints))), "right") - 1
+                columns = [nodes[row], components_[row], n[row], prints[begin : begin + len(row)].view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["node", "component", "n", "print"])
+
+    distinct = members.select("node", "component").distinct()
+    sets = cut(distinct.join(texts, "node").select("node", "component", "packed").mapInArrow(run, "node long, component long, n long, print long"))
+    often = sets.groupBy("print").agg(F.count("*").alias("often"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("often", "print"))
+    placed = sets.join(often, "print").withColumn("place", place)
+    probe = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    first = cut(placed.filter((F.col("often") > 1) & (F.col("place") <= probe)))
+    kept = F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent)) + 1
+    small = first.filter(F.col("place") <= kept).select("print", F.col("node").alias("x"), F.col("component").alias("c"), F.col("n").alias("m"), F.col("place").alias("i"))
+    follow = F.least(F.col("m") - F.col("i"), F.col("n") - F.col("place")) + 1
+    meet = (
+        (F.struct("m", "x") < F.struct("n", "node"))
+        & (F.col("c") != F.col("component"))
+        & (100 * F.col("m") >= percent * F.col("n"))
+        & ((100 + percent) * follow >= percent * (F.col("m") + F.col("n")))
+    )
+    pairs = first.join(small, (small["print"] == first["print"]) & meet)
+    return pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+
+
 def bucket_links(members: DataFrame, texts: DataFrame) -> DataFrame:
     """node, component for the linked nodes of members (key long, node long), by turns as told above."""
     spark = members.sparkSession
@@ -154,9 +198,8 @@ def bucket_links(members: DataFrame, texts: DataFrame) -> DataFrame:
             if turn > 1:
                 first = cut(first)
             pairs = members.join(first, "key").filter("node <> a").select("a", F.col("node").alias("b"))
-        else:  # few are left: those that share a bucket with documents that they aren't like
-            left = members.select("key", F.col("node").alias("a"), F.col("component").alias("c"))
-            pairs = members.join(left, "key").filter("a < node AND c <> component").select("a", F.col("node").alias("b"))
+        else:  # those that share a bucket with documents that they aren't like
+            pairs = rare_pairs(members, texts)
         new = cut(verified(pairs.distinct(), texts))
         links = links.unionByName(new)
         if new.limit(1).count():
