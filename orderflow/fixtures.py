@@ -36,6 +36,24 @@ FROM part CROSS JOIN (SELECT 0 AS c UNION ALL SELECT 1 UNION ALL SELECT 2) y""",
         ELSE concat(lpad(CAST(l_partkey+10000 AS STRING),6,'0'),' ',CAST(rn AS STRING),' ITEM CX 6 ',CAST(CAST(l_quantity AS BIGINT) AS STRING),',00 1,2345') END FROM {_ROWS}
  UNION ALL SELECT concat('doc',CAST(o_custkey AS STRING)), o_orderkey*1000+900, concat('TOTAIS ',CAST(t + CASE WHEN o_orderkey%8=0 THEN 1 ELSE 0 END AS STRING),',00')
   FROM (SELECT l_orderkey, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS t FROM lineitem GROUP BY l_orderkey) g JOIN orders ON l_orderkey=o_orderkey WHERE o_orderkey%10<>0) z""",
+    "f5_rules": """SELECT * FROM (VALUES
+ (1,'NET ONE PDF','1','','','','','','BASE_PRIORITARIA','NAO',1),
+ (2,'NET ONE PDF','1','C0','','','','','MAPA_PRODUTOS_FALLBACK','SIM',2),
+ (3,'NET TWO PDF','2','','','','','','SEM_CONVERSAO','NAO',100),
+ (4,'NET THREE PDF','3','C1','','','','','MAPA_PRODUTOS','SIM',10),
+ (5,'NET THREE PDF','3','C1','7890000000042','','','6','EAN_FATOR_FIXO','NAO',1),
+ (6,'NET FOUR PDF','4','','','','GREEN','4','SKU_EAN_FATOR_FIXO','NAO',5)
+) AS t(regra_id,rede_layout,layout_id,centro,ean,sku,descricao,fator,tipo_regra,usa_mapa,prioridade)""",
+    "f7_cells": """SELECT 'matrix' AS file, 'S1' AS sheet, CAST(r AS BIGINT) AS r, CAST(c AS BIGINT) AS c, v FROM (
+ SELECT 1 AS r, c_custkey+2 AS c, CAST(7140000000+c_custkey AS STRING) AS v FROM customer
+ UNION ALL SELECT 2, 1, 'SKU'
+ UNION ALL SELECT l_partkey+3, 1, CAST(l_partkey AS STRING) FROM (SELECT DISTINCT l_partkey FROM lineitem) p
+ UNION ALL SELECT l_partkey+3, o_custkey+2, CASE WHEN min(l_quantity)<3 THEN '0' ELSE CAST(CAST(sum(l_quantity) AS BIGINT) AS STRING) END
+  FROM lineitem JOIN orders ON l_orderkey=o_orderkey GROUP BY l_partkey,o_custkey) z""",
+    "f8_words": f"""SELECT concat('doc',CAST(o_custkey AS STRING)) AS file, o_orderkey AS page, CAST(rn*12 + tok*0.5 AS DOUBLE) AS top, x0, x0+20 AS x1, txt AS text FROM (
+ SELECT o_custkey,o_orderkey,rn,0 AS tok,CAST(10.0 AS DOUBLE) AS x0,CAST(l_partkey+10000 AS STRING) AS txt FROM {_ROWS}
+ UNION ALL SELECT o_custkey,o_orderkey,rn,1,CAST(120.0 AS DOUBLE),'ITEM' FROM {_ROWS}
+ UNION ALL SELECT o_custkey,o_orderkey,rn,2,CAST(285.0 + l_partkey%30 AS DOUBLE),CAST(CAST(l_quantity AS BIGINT) AS STRING) FROM {_ROWS}) w""",
     "f9_history": """SELECT o_orderkey AS row_id, CAST(o_orderkey%400 AS STRING) AS pedido, concat('f',CAST(o_orderkey AS STRING),'.pdf') AS arquivo,
  CAST(1+o_orderkey%3 AS BIGINT) AS push, concat(CAST(year(o_orderdate) AS STRING),'-',lpad(CAST(month(o_orderdate) AS STRING),2,'0')) AS lote FROM orders""",
     "f10_ship": """SELECT event_id AS row_id, CAST(user_id AS STRING) AS matricula, CAST(event_id%60 AS STRING) AS pedido,

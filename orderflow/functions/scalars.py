@@ -98,3 +98,29 @@ def item_record(seq: Column, article: Column, quantity: Column, gln: Column, cus
         400,
         " ",
     )
+
+
+#: Accented capitals and what they are folded to.
+ACCENTS, PLAIN = "ÁÀÂÃÄÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑ", "AAAAAEEEEIIIIOOOOOUUUUCN"
+
+
+def folded(c: Column) -> Column:
+    """Upper case without accents, other marks as single spaces (STR-03)."""
+    return F.trim(F.regexp_replace(F.translate(F.upper(text(c)), ACCENTS, PLAIN), "[^A-Z0-9]+", " "))
+
+
+def key_type(c: Column) -> Column:
+    """Kind of a key by its digits (ARR-07)."""
+    n = F.length(digits(c))
+    return F.when(n == 14, "CNPJ").when(n == 13, "GLN").when(n.between(7, 12), "COD_CLIENTE").when(n.between(1, 6), "COD_LOJA").otherwise("CHAVE")
+
+
+def decimal_text(c: Column) -> Column:
+    """A decimal as text with a comma: at most four places, half up, without zeros at the end (NUM-08)."""
+    s = F.round(c.cast("decimal(30,8)"), 4).cast("decimal(30,4)").cast("string")
+    return F.translate(F.regexp_replace(F.regexp_replace(s, "0+$", ""), r"\.$", ""), ".", ",")
+
+
+def stamp(day_: Column) -> Column:
+    """Interchange time stamp of a date, zeros for none (DAT-04)."""
+    return F.coalesce(F.concat(F.date_format(day_, "yyyyMMdd"), F.lit("0000")), F.lit("0" * 12))

@@ -58,3 +58,19 @@ def page_audit(lines: DataFrame) -> DataFrame:
 def unique_lines(lines: DataFrame) -> DataFrame:
     """Each line once in its page and order (SET-04)."""
     return with_context(lines).groupBy("file", "page", "pedido", "line").agg(F.min("line_no").alias("line_no"))
+
+
+def item_section(lines: DataFrame) -> DataFrame:
+    """Lines between an order's header and its totals (WIN-06): a marker opens or closes all that follow it."""
+    so_far = Window.partitionBy("file").orderBy("page", "line_no").rowsBetween(Window.unboundedPreceding, 0)
+    mark = F.when(F.col("line").rlike(ORDER), True).when(F.col("line").rlike(TOTAL), False)
+    x = lines.withColumn("_open", F.last(mark, ignorenulls=True).over(so_far))
+    return x.filter(F.col("_open") & ~F.col("line").rlike(ORDER)).drop("_open")
+
+
+def with_following_total(lines: DataFrame) -> DataFrame:
+    """file, line_no, total: order headers with the total printed within the next lines, if no other order begins before it (WIN-04, J-18)."""
+    w = Window.partitionBy("file").orderBy("page", "line_no").rowsBetween(1, 20)
+    header = F.col("line").rlike(ORDER)
+    x = lines.withColumns({"_next": F.first(F.when(header | F.col("line").rlike(TOTAL), F.col("line")), ignorenulls=True).over(w)})
+    return x.filter(header).select("file", "line_no", F.regexp_extract(F.coalesce("_next", F.lit("")), TOTAL, 1).alias("total"))

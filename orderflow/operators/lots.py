@@ -39,3 +39,11 @@ def lot_totals(items: DataFrame) -> DataFrame:
 def next_push(history: DataFrame) -> DataFrame:
     """The number of the push to come (WIN-13)."""
     return history.agg((F.coalesce(F.max("push"), F.lit(0)) + 1).cast("long").alias("push"))
+
+
+def lot_queue(items: DataFrame) -> DataFrame:
+    """row_id, pedido, alerta: rows of a lot for the queue, and one alert for each order that is left out as it repeats in its push (FLT-16)."""
+    x = items.groupBy("push", "pedido").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first"))
+    many = x.filter("n > 1")
+    kept = items.join(many.select("push", "pedido"), ["push", "pedido"], "left_anti").select("row_id", "pedido", F.lit("").alias("alerta"))
+    return kept.unionByName(many.select(F.col("first").alias("row_id"), "pedido", F.concat(F.lit("PEDIDO_DUPLICADO | linhas="), F.col("n")).alias("alerta")))

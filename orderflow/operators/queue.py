@@ -90,3 +90,23 @@ def executive_panel(df: DataFrame) -> DataFrame:
 def with_sequence(df: DataFrame) -> DataFrame:
     """seq: item number in its customer's order, in queue order (WIN-12)."""
     return df.withColumn("seq", F.row_number().over(Window.partitionBy("matricula", "pedido").orderBy("row_id")))
+
+
+def first_reason(df: DataFrame) -> DataFrame:
+    """row_id, motivo: the first thing a row lacks, in the order of the business rules, or "" (FLT-06)."""
+    blank = lambda c: S.text(F.col(c)) == ""
+    reason = F.when(blank("sku"), "SKU_VAZIO").when(blank("qtd"), "QTD_VAZIA").when(blank("matricula"), "MATRICULA_NAO_ENCONTRADA").when(blank("pedido"), "PEDIDO_VAZIO").when(blank("data_remessa"), "DATA_INVALIDA")
+    return df.select("row_id", reason.otherwise("").alias("motivo"))
+
+
+def pending_keys(df: DataFrame) -> DataFrame:
+    """Customers of rejected rows with their orders, sorted and joined (AGG-06)."""
+    x = judged(df).filter("status <> ''").groupBy("matricula").agg(F.array_join(F.sort_array(F.collect_set("pedido_norm")), ", ").alias("pedidos"))
+    return x.select("matricula", S.key_type(F.col("matricula")).alias("tipo"), "pedidos")
+
+
+def issue_samples(df: DataFrame, most: int = 10) -> DataFrame:
+    """row_id, motivo, n: the first rows of each reason, as a report shows them (SRT-04)."""
+    x = judged(df).filter("status <> ''").select("row_id", F.explode(F.split("status", r" \| ")).alias("motivo"))
+    n = F.row_number().over(Window.partitionBy("motivo").orderBy("row_id"))
+    return x.withColumn("n", n).filter(F.col("n") <= most)

@@ -67,3 +67,43 @@ def attach_ship_date(items: DataFrame, ships: DataFrame) -> DataFrame:
 def dedup_shipments(ships: DataFrame) -> DataFrame:
     """First row of each customer, order and day (SET-05)."""
     return ships.groupBy("matricula", "pedido", "data_remessa").agg(F.min("row_id").alias("row_id"))
+
+
+def xref_lookup(items: DataFrame, xref: DataFrame) -> DataFrame:
+    """row_id, achada, qualidade for items with lido (a key) and rede (a network) (J-03).
+
+    Keys meet by any of their forms; equal keys are best, then long forms, then the first 12 digits. Entries of the item's network
+    come first; those of other networks count only if all name one customer.
+    """
+    forms = lambda c: F.array_distinct(F.concat(S.key_forms(c), F.when(F.length(S.digits(c)) >= 13, F.array(F.substring(S.digits(c), 1, 12))).otherwise(F.array().cast("array<string>"))))
+    asked = items.select("row_id", S.digits(F.col("lido")).alias("lido"), F.upper("rede").alias("na"), F.explode(forms(F.col("lido"))).alias("k"))
+    entries = xref.select(F.col("row_id").alias("entry"), "rede", "chave", "matricula", F.explode(forms(F.col("chave"))).alias("k"))
+    quality = F.when(F.col("lido") == F.col("chave"), 1000).when(F.length("k") >= 14, 800).when(F.length("k") == 13, 700).when(F.length("k") == 12, 300).otherwise(100)
+    met = asked.join(entries, "k").select("row_id", "entry", "matricula", (F.col("na") == F.col("rede")).alias("own"), quality.alias("q"))
+    x = met.groupBy("row_id").agg(
+        F.max("own").alias("own"), F.countDistinct("matricula").alias("n"),
+        F.max_by(F.struct("matricula", "q"), F.struct("own", "q", (-F.col("entry")).alias("e"))).alias("x"),
+    )
+    return x.filter("own OR n = 1").select("row_id", F.col("x.matricula").alias("achada"), F.col("x.q").cast("long").alias("qualidade"))
+
+
+def resolve_conflicts(entries: DataFrame, scores: dict[str, int]) -> DataFrame:
+    """cnpj, escolhida, descartadas: of several customers of a company number, the one whose network's name scores most, the last of equals (AGG-12)."""
+    score = sum((F.when(F.upper("rede").contains(word), n).otherwise(0) for word, n in scores.items()), F.lit(0))
+    x = entries.filter("matricula <> ''").groupBy("cnpj").agg(F.max_by("matricula", F.struct(score.alias("s"), "row_id")).alias("escolhida"), F.collect_set("matricula").alias("todas"))
+    rest = F.sort_array(F.array_except("todas", F.array("escolhida")))
+    return x.select("cnpj", "escolhida", F.array_join(rest, "|").alias("descartadas"))
+
+
+def resolve_with_divergence(df: DataFrame, base: DataFrame, fallback: DataFrame) -> DataFrame:
+    """df (row_id, chave) with matricula and origem: the base's customer before the fallback's; DIVERGENTE where they differ (J-13)."""
+    b, f = base.select("chave", F.col("matricula").alias("b")), fallback.select("chave", F.col("matricula").alias("f"))
+    x = df.join(b, "chave", "left").join(f, "chave", "left")
+    origin = F.when(F.col("b").isNotNull() & F.col("f").isNotNull() & (F.col("b") != F.col("f")), "DIVERGENTE").when(F.col("b").isNotNull(), "BASE").when(F.col("f").isNotNull(), "RESERVA").otherwise("NENHUMA")
+    return x.select("row_id", "chave", F.coalesce("b", "f", F.lit("")).alias("matricula"), origin.alias("origem"))
+
+
+def overlay_map(default: DataFrame, own: DataFrame) -> DataFrame:
+    """chave, valor: the file's own entries over the default ones (J-22)."""
+    x = default.select("chave", F.col("valor").alias("d")).join(own.select("chave", F.col("valor").alias("o")), "chave", "full")
+    return x.select("chave", F.coalesce("o", "d").alias("valor"))

@@ -1,0 +1,49 @@
+"""Spreadsheet cells and positioned words to order items."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def matrix_items(cells: DataFrame, header: int = 1, article: int = 1, first: int = 3) -> DataFrame:
+    """file, matricula, sku, qtd of a sheet with articles down and customers across (EX-07); only positive whole numbers count.
+
+    cells: file, sheet, r, c, v. The two labels of a cell are found by joins on its column and on its row.
+    """
+    across = cells.filter(F.col("r") == header).select("file", "sheet", "c", F.col("v").alias("matricula")).filter("matricula <> ''")
+    down = cells.filter((F.col("c") == article) & (F.col("r") >= first)).select("file", "sheet", "r", F.col("v").alias("sku")).filter("sku <> ''")
+    body = cells.filter((F.col("r") >= first) & (F.col("c") > article) & F.col("v").rlike("^0*[1-9][0-9]{0,17}$"))
+    x = body.join(across, ["file", "sheet", "c"]).join(down, ["file", "sheet", "r"])
+    return x.select("file", "matricula", "sku", F.col("v").cast("long").alias("qtd"))
+
+
+def visual_lines(words: DataFrame, gap: float = 3.0) -> DataFrame:
+    """words with linha: a new line begins where a word lies more than gap below the one before it (WIN-08)."""
+    page = Window.partitionBy("file", "page").orderBy("top", "x0")
+    new = F.coalesce((F.col("top") - F.lag("top").over(page) > gap).cast("long"), F.lit(1))
+    return words.withColumn("_new", new).withColumn("linha", F.sum("_new").over(page)).drop("_new")
+
+
+def line_texts(words: DataFrame) -> DataFrame:
+    """file, page, linha, texto: the words of each visual line from left to right."""
+    x = visual_lines(words).groupBy("file", "page", "linha").agg(F.sort_array(F.collect_list(F.struct("x0", "text"))).alias("w"))
+    return x.select("file", "page", "linha", F.array_join("w.text", " ").alias("texto"))
+
+
+def band(x: Column, bands: dict[str, tuple[float, float]]) -> Column:
+    """Name of the half-open band that holds x, null if none does (J-16)."""
+    return F.coalesce(*[F.when((x >= lo) & (x < hi), F.lit(name)) for name, (lo, hi) in bands.items()])
+
+
+def nearest(x: Column, centres: dict[str, float], within: float = 24.0) -> Column:
+    """Name of the centre nearest to x, the first of equals; null beyond that distance (J-17)."""
+    near = F.array_min(F.array(*[F.struct(F.abs(x - at).alias("d"), F.lit(i).alias("i"), F.lit(name).alias("name")) for i, (name, at) in enumerate(centres.items())]))
+    return F.when(near["d"] <= within, near["name"])
+
+
+def items_by_position(words: DataFrame, bands: dict[str, tuple[float, float]]) -> DataFrame:
+    """file, page, linha and one text for each band: words of a visual line put into columns by where they begin (EX-14)."""
+    x = visual_lines(words).withColumn("_band", band(F.col("x0"), bands))
+    of = lambda name: F.array_join(F.sort_array(F.collect_list(F.when(F.col("_band") == name, F.struct("x0", "text"))))["text"], " ")
+    return x.groupBy("file", "page", "linha").agg(*[of(name).alias(name) for name in bands])
