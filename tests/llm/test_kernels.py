@@ -158,3 +158,42 @@ def test_languages_of_held_out_documents(spark):
     assert told.filter("lang_pred = lang").count() >= 0.97 * told.count()
     codes = language.codewords(4)
     assert min((codes[i] != codes[j]).sum() for i in range(4) for j in range(i)) >= 4
+
+
+def test_crowded_buckets_lose_no_link(spark, monkeypatch):
+    """Documents that share a passage, some of them alike: after one turn the rest is paired by rare shingles."""
+    rng = random.Random(7)
+    passage = [f"p{i}" for i in range(40)]
+    texts = []
+    for i in range(120):
+        own = [f"d{i}w{j}" for j in range(rng.choice((4, 8, 14, 20)))]
+        texts.append(passage + own)
+        if i % 4 == 0:
+            near = passage + own[:-1] + ["x"]
+            texts += [near, near[1:], near + ["y", "z"]]
+    rng.shuffle(texts)
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = [new if x == old else x for x in label]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    monkeypatch.setattr(minhash, "TURNS", 1)
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()}
+    assert [found[i] for i in range(len(texts))] == label
+    assert 1 < len(set(label)) < len(texts)
+
+
+def test_rare_pairs_hold_all_links(spark):
+    """Every link between different components is among the pairs, without sharing a bucket first."""
+    rng = random.Random(11)
+    texts = [[f"w{rng.randrange(12)}" for _ in range(rng.randrange(1, 30))] for _ in range(60)]
+    texts += [t + ["more"] for t in texts] + [t[1:] for t in texts if len(t) > 1]
+    sets = [{tuple(t[k : k + 5]) for k in range(max(len(t) - 4, 1))} for t in texts]
+    want = {(a, b) for b in range(len(texts)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    members = docs.selectExpr("doc_id AS node", "doc_id AS component")
+    pairs = {(r.a, r.b) for r in minhash.rare_pairs(members, minhash.pressed(docs)).collect()}
+    assert want and want <= pairs
