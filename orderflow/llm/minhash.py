@@ -185,33 +185,38 @@ def rare_pairs(members: DataFrame, texts: DataFrame, percent: int = PERCENT) ->
     return pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
 
 
+def joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """found (node, component) with the components that links (a, b) join made one; only links between components are followed."""
+    of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    x = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    step = cut(components(x.filter("a <> b").distinct()))
+    moved = found.join(step.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+    moved = moved.select("node", F.coalesce("to", "component").alias("component"))
+    return cut(moved.unionByName(step.join(found.select("node"), "node", "left_anti")))
+
+
 def bucket_links(members: DataFrame, texts: DataFrame) -> DataFrame:
     """node, component for the linked nodes of members (key long, node long), by turns as told above."""
-    spark = members.sparkSession
-    links = spark.createDataFrame([], "a long, b long")
-    found = spark.createDataFrame([], "node long, component long")
-    turn = 0
-    while True:
-        turn += 1
-        if turn <= TURNS:
-            first = members.groupBy("key").agg(F.min("node").alias("a"))
-            if turn > 1:
-                first = cut(first)
-            pairs = members.join(first, "key").filter("node <> a").select("a", F.col("node").alias("b"))
+    found = cut(members.sparkSession.createDataFrame([], "node long, component long"))
+    members = members.withColumn("component", F.col("node"))
+    for turn in range(TURNS + 1):
+        if turn < TURNS:
+            first = members.groupBy("key").agg(F.min(F.struct("node", "component")).alias("first"))
+            first = cut(first.select("key", F.col("first.node").alias("a"), F.col("first.component").alias("c")))
+            pairs = members.join(first, "key").filter("component <> c").select("a", F.col("node").alias("b"))
         else:  # those that share a bucket with documents that they aren't like
             pairs = rare_pairs(members, texts)
         new = cut(verified(pairs.distinct(), texts))
-        links = links.unionByName(new)
         if new.limit(1).count():
-            found = components(links)
-        if turn > TURNS:
-            return found
-        rest = members.join(first, "key").filter("node <> a").select("key", "node")
-        rest = rest.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        several = rest.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-        members = cut(rest.join(cut(several), "key"))
-        if not members.limit(1).count():
-            return found
+            found = joined(found, new)
+        if turn < TURNS:
+            rest = members.join(first, "key").filter("node <> a").select("key", "node")
+            rest = rest.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+            several = rest.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
+            members = cut(rest.join(cut(several), "key"))
+            if not members.limit(1).count():
+                break
+    return found
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
