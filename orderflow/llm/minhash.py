@@ -9,8 +9,8 @@ make buckets; documents of a bucket are compared on their full sets.
 Within a bucket not all pairs are compared. Documents of equal sets are one from the start. In turns, the least
 document of a bucket is compared with all others that are not in its component yet, then leaves the bucket. Only
 buckets that still hold several components go on, so a bucket of like documents is done after one turn. What is left
-after some turns are documents that share a passage but not most of their text, in crowded buckets. Those are paired by
-their rarest shingles instead: with shingles in one order, rare ones first, two sets at the wanted similarity must meet
+then are mostly documents that share a passage but not most of their text, of which further turns would settle few. They
+are paired by their rarest shingles instead: with shingles in one order, rare ones first, two sets at the wanted similarity must meet
 within their first few, and far enough from their ends. This filter is exact, so no link between different components
 is left out.
 """
@@ -32,7 +32,7 @@ SHINGLE = 5
 PERCENT = 75
 BANDS, ROWS = 64, 6  # a pair at 0.75 shares no band with probability (1 - 0.75 ** 6) ** 64 = 4e-6, one at 0.2 shares one with 0.4 %
 SLICE_BYTES = 2 << 20
-TURNS = 4
+TURNS = 1  # results are the same for any number
 
 
 def shingle_sets(column: pa.Array, length: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
