@@ -12,9 +12,9 @@ WEIGHTS = (5.0, 2.0, 1.0)
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which some language is found; null texts and texts without a letter go."""
-    told = language.identify(docs, language.fit(docs), keep=tuple(docs.columns))
-    return told.filter(F.col("lang_pred") != language.NONE).select(*docs.columns)
+    """Documents that the decoder does not reject; null texts and texts without a letter go too."""
+    told = language.identify(docs, language.fit(docs), keep=tuple(docs.columns), judge=True)
+    return told.filter(~F.col("rejected")).select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 Each language has a codeword; one binary classifier for each bit tells from byte n-grams whether the bit is set. The
 classifiers are log-odds of n-gram frequencies, learned from counts that Spark sums over all labelled documents. A
 text's bit scores are decoded to the codeword of least loss, weighed by how well each bit tells its two sides apart
-in the learned frequencies; a small margin to the second codeword flags the text as ambiguous.
+in the learned frequencies; a small margin to the second codeword flags the text as ambiguous. The decoder rejects a
+text that is ambiguous, that is far even from its nearest codeword, or that noise explains better than its language.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ GRAMS = (2, 3)
 SLICE_BYTES = 2 << 20
 EVIDENCE = 200.0
 NONE = "und"
+#: A text whose loss to the nearest codeword is above this is rejected. Bits without any evidence lose log 2 = 0.69.
+LOSS = 0.5
+#: So is a text whose n-grams have, on average, a lower log-odds of its language against evenly drawn n-grams.
+FIT = 0.5
 
 
 def _grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -84,6 +89,7 @@ class Model:
     codes: np.ndarray
     weights: np.ndarray  # bucket x bit
     trust: np.ndarray  # of each bit
+    fits: np.ndarray  # language x bucket: log-odds of the language against evenly drawn n-grams
 
 
 def fit(docs: DataFrame) -> Model:
@@ -105,14 +111,15 @@ def fit(docs: DataFrame) -> Model:
             weights[:, b] = odds
             trust[b] = min((one @ odds).min(), -(zero @ odds).max())
     trust = np.maximum(trust, 1e-3)
-    return Model(langs, codes, weights, trust / trust.sum() if len(trust) else trust)
+    return Model(langs, codes, weights, trust / trust.sum() if len(trust) else trust, np.log(share * BUCKETS).astype(np.float32))
 
 
-def identify(docs: DataFrame, model: Model, margin: float = 0.1, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, lang_pred, score (0 to 1), ambiguous; from the text alone.
+def identify(docs: DataFrame, model: Model, margin: float = 0.1, keep: tuple[str, ...] = ("doc_id",), judge: bool = False) -> DataFrame:
+    """keep, lang_pred, score (0 to 1), ambiguous, and with judge also rejected; from the text alone.
 
     Null texts and texts without a letter are "und", with score 0, as is all when nothing was learned. Repeated rows
-    and null ids are rows like others; further columns are left out unless named in keep.
+    and null ids are rows like others; further columns are left out unless named in keep. Rejected are "und", ambiguous
+    texts, and those beyond LOSS or FIT; a single language has no bits to lose, so there FIT alone tells.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -130,6 +137,10 @@ def identify(docs: DataFrame, model: Model, margin: float = 0.1, keep: tuple[str
             score /= np.maximum(number, 1)[:, None]
             pred, sure, doubt = [], [], []
             loss = np.logaddexp(0, -6.0 * score[:, None, :] * signs[None]) @ m.trust if m.langs else np.zeros((n, 0))
+            out = np.zeros(n, bool)
+            if judge and m.langs:
+                fit_of = np.bincount(rows, m.fits[loss.argmin(1)[rows], buckets], minlength=n) / np.maximum(number, 1)
+                out = (fit_of < FIT) | (loss.min(1) > LOSS) & (len(m.langs) > 1)
             for i, text in enumerate(column.to_pylist()):
                 if not m.langs or not text or not any(map(str.isalpha, text)):
                     pred.append(NONE), sure.append(0.0), doubt.append(False)
@@ -139,10 +150,14 @@ def identify(docs: DataFrame, model: Model, margin: float = 0.1, keep: tuple[str
                 best = int(loss[i].argmin())
                 second = np.partition(odds, -2)[-2] if len(odds) > 1 else 0.0
                 pred.append(m.langs[best]), sure.append(float(odds[best])), doubt.append(bool(odds[best] - second < margin))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(pred, pa.string()), pa.array(sure, pa.float64()), pa.array(doubt, pa.bool_())], names=[*keep, "lang_pred", "score", "ambiguous"])
+            told = [pa.array(pred, pa.string()), pa.array(sure, pa.float64()), pa.array(doubt, pa.bool_())]
+            if judge:
+                told.append(pa.array(out | np.array(doubt, bool) | np.array([x == NONE for x in pred], bool)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *told], names=[*keep, *named])
 
+    named = ["lang_pred", "score", "ambiguous", *(["rejected"] if judge else [])]
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, f"{kinds}, lang_pred string, score double, ambiguous boolean")
+    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, f"{kinds}, lang_pred string, score double, ambiguous boolean{', rejected boolean' if judge else ''}")
 
 
 def held_out_column() -> Column:
