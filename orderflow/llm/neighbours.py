@@ -1,6 +1,7 @@
 """Approximate nearest neighbours: a graph built by NN-descent, searched greedily.
 
-The graph starts from exact neighbours within cells of random hyperplanes. Each round joins every point's neighbours
+The graph starts from exact neighbours within cells of random hyperplanes, and within cells drawn by id, which leave no
+point alone. Each round joins every point's neighbours
 (forward and reverse) with each other, as a neighbour of a neighbour is likely to be one: the vectors of a point's
 neighbourhood meet in one group, and pairs closer than what either end has are kept. A search holds a pool of the
 nearest points found for each query and expands the pool's points along the graph, one Spark join a hop, until every
@@ -25,6 +26,7 @@ CELL = 256
 TREES = 3
 ROUNDS = 5
 POOL = 64
+DRAWN = 8
 HOPS = 12
 
 
@@ -65,7 +67,10 @@ def top(edges: DataFrame, by: str = "node", k: int = DEGREE) -> DataFrame:
 
 
 def first_edges(points: DataFrame, n: int, d: int, degree: int) -> DataFrame:
-    """Exact nearest others within cells: the signs against random planes, cells of many points being parted by id."""
+    """Exact nearest others within cells: the signs against random planes, cells of many points being parted by id.
+
+    Further cells are drawn by id: a point whose direction is its own, alone in its cell of every tree, has links by them.
+    """
     bits = max(0, math.ceil(math.log2(max(1, n / CELL))))
     planes = np.random.default_rng(7).standard_normal((TREES, bits, d)).astype(np.float32)
 
@@ -79,6 +84,8 @@ def first_edges(points: DataFrame, n: int, d: int, degree: int) -> DataFrame:
     dealt = points.select("node", "vec").mapInArrow(cells, "cell long, node long, vec binary")
     sizes = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
     parted = dealt.join(sizes, "cell").withColumn("cell", F.xxhash64("cell", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / (4 * CELL)))))
+    drawn = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(max(1, n // CELL)))
+    parted = parted.select("cell", "node", "vec").unionByName(points.select(F.xxhash64(F.lit("drawn"), drawn).alias("cell"), "node", "vec"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "cell", 4 * CELL):
@@ -167,6 +174,14 @@ def search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, entries: Da
     return found.select("query_id", "node", "near")
 
 
+def drawn_entries(points: DataFrame, queries: DataFrame, n: int) -> DataFrame:
+    """query_id, node: some DRAWN nodes for each query, other ones for each: two of the groups that a hash of the ids makes."""
+    groups = F.lit(max(1, n // (DRAWN // 2)))
+    dealt = points.select("node", F.pmod(F.xxhash64("node", F.lit(11)), groups).alias("drawn"))
+    asked = queries.select("query_id", F.explode(F.array(*(F.pmod(F.xxhash64("query_id", F.lit(i)), groups) for i in (12, 13)))).alias("drawn"))
+    return asked.join(dealt, "drawn").select("query_id", "node")
+
+
 def nearest(embeddings: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each vector whose id is divisible by every.
 
@@ -193,7 +208,7 @@ def nearest(embeddings: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     points = cut(vectors.mapInArrow(to_bytes, "node long, vec binary"))
     graph = build_graph(points, d)
     queries = cut(x.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "embedding"))
-    entries = queries.join(vectors, "embedding").select("query_id", "node")
+    entries = queries.join(vectors, "embedding").select("query_id", "node").unionByName(drawn_entries(points, queries, points.count()))
     found = search(graph, vectors, queries, entries, d, k)
     ids = members.select("node", "vec_id")
     near = found.join(ids, "node").filter(F.col("vec_id") != F.col("query_id"))

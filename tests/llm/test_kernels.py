@@ -152,6 +152,20 @@ def test_neighbours_recall(spark):
     assert hit >= 0.9 * 10 * len(found)
 
 
+def test_points_alone_in_their_cells_have_neighbours(spark):
+    """A hot cluster, and outliers in directions of their own: each query has ten rows, the outliers near each other are found."""
+    rng, d = np.random.default_rng(2), 8
+    hot = np.ones(d)
+    x = {i: hot + rng.normal(0, 0.01, d) for i in range(1, 1300) if i % 100}
+    x |= {100: -hot, 200: hot + 0.001, 300: 5 * np.eye(d)[0] - hot, 400: -5 * np.eye(d)[1], 500: -9 * hot}
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in x.items()], "vec_id long, embedding array<double>")
+    found = {}
+    for r in neighbours.nearest(vectors).collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    assert {q: len(v) for q, v in found.items()} == {q: 10 for q in (100, 200, 300, 400, 500)}
+    assert 100 in found[500]
+
+
 def test_languages_of_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     told = language.language_table(docs).filter("held_out").join(docs.select("doc_id", "lang"), "doc_id")
