@@ -22,13 +22,12 @@ from pyspark.sql import functions as F
 
 from .shared import cut, shuffle_partitions
 from .neighbours import whole_groups
-from .text import mix, prefix_sums, run_sums, slices, sums_between
+from .text import digest, mix, prefix_sums, slices, sums_between
 
 EDITS = 2
 NEAR_CHARS = 32
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 MANY = 8
-_SECOND = np.uint64(0xA0761D6478BD642F)
 
 
 def within(a: str, b: str, k: int) -> bool:
@@ -134,8 +133,11 @@ class Lines:
         some = ink[ends] > ink[starts]
         self.starts, self.ends, self.doc, self.number = starts[some], ends[some], doc[some], number[some]
         self.symbols = mix(self.code.astype(np.uint64) + np.uint64(1))
-        self.first = run_sums(self.symbols, self.starts, self.ends).view(np.int64)
-        self.second = run_sums(mix(self.symbols ^ _SECOND), self.starts, self.ends).view(np.int64)
+        width = 1 + (self.code >= 0x80).astype(np.int64) + (self.code >= 0x800) + (self.code >= 0x10000)
+        byte, origin = np.concatenate([[0], np.cumsum(width)]), starts[np.cumsum(counts) - counts][self.doc]
+        self.begin, self.end = (byte[at] - byte[origin] for at in (self.starts, self.ends))
+        names = b"".join(digest(self.code[a:b], 16) for a, b in zip(self.starts.tolist(), self.ends.tolist()))
+        self.first, self.second = np.frombuffer(names, np.int64).reshape(-1, 2).T
 
 
 def marked(docs: DataFrame) -> DataFrame:
@@ -145,18 +147,18 @@ def marked(docs: DataFrame) -> DataFrame:
 
 
 def occurrences(texts: DataFrame) -> DataFrame:
-    """first, second (fingerprints of a line), doc_id, mark, line (from 0), chars for each line that is not blank."""
+    """first, second (digest of a line), doc_id, mark, line (from 0), chars, begin, end (in bytes) of each line that is not blank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE_BYTES):
             x = Lines(batch.column("text").to_pylist())
             doc = pa.array(x.doc)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x.first), pa.array(x.second), batch.column("doc_id").take(doc), batch.column("mark").take(doc), pa.array(x.number.astype(np.int32)), pa.array((x.ends - x.starts).astype(np.int32))],
-                names=["first", "second", "doc_id", "mark", "line", "chars"],
+                [pa.array(x.first), pa.array(x.second), batch.column("doc_id").take(doc), batch.column("mark").take(doc), pa.array(x.number.astype(np.int32)), *(pa.array(v.astype(np.int32)) for v in (x.ends - x.starts, x.begin, x.end))],
+                names=["first", "second", "doc_id", "mark", "line", "chars", "begin", "end"],
             )
 
-    return texts.mapInArrow(run, "first long, second long, doc_id long, mark long, line int, chars int")
+    return texts.mapInArrow(run, "first long, second long, doc_id long, mark long, line int, chars int, begin int, end int")
 
 
 def meetings(texts: DataFrame, k: int, least: int, parts: int) -> DataFrame:
@@ -299,7 +301,7 @@ def near_lines(texts: DataFrame, firsts: DataFrame, k: int, least: int) -> DataF
 
 
 def dedup_lines(docs: DataFrame, k: int = EDITS, least: int = NEAR_CHARS) -> DataFrame:
-    """doc_id, mark, n_lines, n_links, removed (line numbers from 0) for documents that lose lines or have links.
+    """doc_id, mark, n_links, removed (line from 0, begin, end in bytes) for documents that lose lines or have links.
 
     Lines are ordered by (doc_id, null last; position). A line goes if an equal line comes earlier, or if a line that k
     edits part from it, both of least characters or more, comes first earlier than it does; such a line goes whether or
@@ -316,18 +318,27 @@ def dedup_lines(docs: DataFrame, k: int = EDITS, least: int = NEAR_CHARS) -> Dat
     told = firsts.join(near, ["first", "second"], "left").filter("n > 1 OR links IS NOT NULL")
     told = cut(told.select("first", "second", "at", F.coalesce(F.col("near") < F.col("at"), F.lit(False)).alias("late"), F.coalesce("links", F.lit(0)).alias("links")))
     gone = F.col("late") | ~((F.col("at.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("at.mark") == F.col("mark")) & (F.col("at.line") == F.col("line")))
-    found = lines.join(told, ["first", "second"]).select("doc_id", "mark", "line", "links", gone.alias("gone")).distinct()
-    return found.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list(F.when(F.col("gone"), F.col("line")))).alias("removed"), F.sum("links").alias("n_links"))
-
-
-def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with text replaced by its kept lines, and n_lines, n_removed, n_links added (a null text stays null)."""
-    found = dedup_lines(docs).select(F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark"), "removed", F.col("n_links").alias("__links"))
-    x = docs.drop("n_lines", "n_removed", "n_links").join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(text) == F.col("__mark")), "left")
-    lines = F.split(F.col(text), "\n", -1)
-    gone = F.coalesce(F.size("removed"), F.lit(0)).cast("long")
-    kept = F.when(gone == 0, F.col(text)).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("removed", i)), "\n"))
-    return x.withColumns({"n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "n_removed": gone, "n_links": F.coalesce("__links", F.lit(0)).cast("long")}).withColumn("n_lines", F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(F.col("n_lines"))).withColumn(text, kept).drop("__doc", "__mark", "removed", "__links")
+    found = lines.join(told, ["first", "second"]).select("doc_id", "mark", "line", "begin", "end", "links", gone.alias("gone")).distinct()
+    return found.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list(F.when(F.col("gone"), F.struct("line", "begin", "end")))).alias("removed"), F.sum("links").alias("n_links"))
+
+
+def without_repeats(docs: DataFrame, text: str = "text", names: tuple[str, str, str] = ("n_lines", "n_removed", "n_links")) -> DataFrame:
+    """docs with text replaced by its kept lines, and numbers of lines, removed lines and links added under the names.
+
+    A null text stays null and has no lines. Columns that have one of the names already are replaced.
+    """
+    found = dedup_lines(docs).select(F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark"), F.col("removed").alias("__removed"), F.col("n_links").alias("__links"))
+    x = docs.drop(*names).join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(text) == F.col("__mark")), "left")
+    some = F.size("__removed") > 0
+    data = F.col(text).cast("binary")
+    # Runs of kept lines lie between removed ones, whose line feeds go with them.
+    ends = F.concat(F.transform("__removed", lambda r: r["begin"] - 1), F.array(F.octet_length(text)))
+    begins = F.concat(F.array(F.lit(0)), F.transform("__removed", lambda r: r["end"] + 1))
+    runs = F.filter(F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda r: r["a"] <= r["b"])
+    kept = F.array_join(F.transform(runs, lambda r: F.substring(data, r["a"] + 1, r["b"] - r["a"]).cast("string")), "\n")
+    n_lines = F.coalesce(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1, F.lit(0))
+    counts = {names[0]: n_lines.cast("long"), names[1]: F.when(some, F.size("__removed")).otherwise(0).cast("long"), names[2]: F.coalesce("__links", F.lit(0)).cast("long")}
+    return x.withColumns(counts | {text: F.when(some, kept).otherwise(F.col(text))}).drop("__doc", "__mark", "__removed", "__links")
 
 
 def line_table(docs: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import cut
-from .text import lower, mix, raw, run_sums, slices, word_prints, word_spans
+from .text import lower, mix, pair, raw, slices, window_prints, word_prints, word_spans
 
 SHINGLE = 5
 PERCENT = 75
@@ -48,7 +48,11 @@ def shingle_sets(column: pa.Array, length: int = SHINGLE) -> tuple[np.ndarray, n
     n = np.where(sizes >= length, sizes - length + 1, np.minimum(sizes, 1))
     row = np.repeat(np.arange(len(sizes)), n)
     at = np.repeat(bounds[:-1] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    prints = run_sums(words, at, at + np.minimum(length, sizes)[row])
+    prints = window_prints(np.concatenate([words, np.zeros(length, np.uint64)]), length)[at]
+    for few in range(1, length):
+        some = np.flatnonzero(sizes[row] == few)
+        if len(some):
+            prints[some] = window_prints(words, few)[at[some]]
     order = np.lexsort((prints, row))
     row, prints = row[order], prints[order]
     new = np.ones(len(row), bool)
@@ -86,8 +90,10 @@ def signatures(docs: DataFrame) -> DataFrame:
             sizes = np.diff(bounds)
             keys = sketches(prints, bounds).reshape(-1, ROWS)
             band = np.tile(np.arange(BANDS, dtype=np.uint64), len(sizes))
-            ends = np.arange(len(keys) + 1) * ROWS
-            keys = mix(run_sums(keys.ravel(), ends[:-1], ends[1:]) ^ (band + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+            found = mix((band + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+            for coordinate in keys.T:
+                found = pair(found, coordinate)
+            keys = found.view(np.int64)
             sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(prints ^ np.uint64(salt)))]) for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
             same = np.stack([s[bounds[1:]] - s[bounds[:-1]] for s in sums], 1)
             yield pa.RecordBatch.from_arrays(

@@ -87,7 +87,7 @@ class Batch:
         at = self.windows[repeated[which]] if len(which) else self.windows
         half = self.least // 2
         head = window_prints(self.words, half)[at] if len(at) else np.zeros(0, np.uint64)
-        tail = (window_prints(self.words, self.least - half)[at + half] >> np.uint64(32)).astype(np.uint32) if len(at) else np.zeros(0, np.uint32)
+        tail = window_prints(self.words, self.least - half)[at + half] if len(at) else np.zeros(0, np.uint64)
         prefix = np.zeros(len(at), np.uint64)
         open_ = np.ones(len(at), bool)
         for depth in range(1, PREFIXES + 1):
@@ -212,7 +212,7 @@ def repeated_suffixes(packed: DataFrame, anchors: DataFrame, least: int, heavy:
     def subtree(table: pa.Table) -> pa.Table:
         sizes = table.column("n").to_numpy()
         head = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("head").to_pylist()])
-        tail = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("tail").to_pylist()])
+        tail = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("tail").to_pylist()])
         low = np.concatenate([from_planes(x, n, np.int64) for x, n in zip(table.column("low").to_pylist(), sizes)])
         order = np.lexsort((tail, head))
         deep = np.concatenate([[True], (head[order][1:] != head[order][:-1]) | (tail[order][1:] != tail[order][:-1])])

@@ -1,11 +1,13 @@
 """Words, and fingerprints of words and of runs of words, for whole Arrow batches at a time.
 
-A word is a maximal run of bytes outside space and 0x09-0x0D. Fingerprints are 64-bit polynomial sums that are
-taken from prefix sums, so that any run costs the same, then mixed.
+A word is a maximal run of bytes outside space and 0x09-0x0D. Fingerprints have 64 bits. A word's takes eight bytes at
+a time through a mixing step; that of a run of words is put together from those of runs half as long. Sums between
+bounds (run_sums) are linear and serve only to find candidates that are then compared as they are.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +20,8 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _SYMBOL = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
 _POWERS: dict[str, np.ndarray] = {}
+_STEP, _PAIR = np.uint64(0x9DDFEA08EB382D69), np.uint64(0xC2B2AE3D27D4EB4F)
+_LONG = 512
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
@@ -42,6 +46,10 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def is_space(data: np.ndarray) -> np.ndarray:
+    return _SPACE[data]
+
+
 def lower(data: np.ndarray) -> np.ndarray:
     """A-Z in lower case, all else as it is."""
     return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
@@ -90,18 +98,49 @@ def sums_between(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 
 
 def run_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Mixed polynomial fingerprint of values[start:end] for each pair of bounds."""
+    """Mixed polynomial sum of values[start:end] for each pair of bounds: equal for equal runs, and seldom for others."""
     return sums_between(prefix_sums(values), starts, ends)
 
 
+def digest(data: np.ndarray, size: int = 8) -> bytes:
+    return hashlib.blake2b(data.tobytes(), digest_size=size).digest()
+
+
 def word_prints(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return run_sums(_SYMBOL[data], starts, ends)
+    """Fingerprint of data[start:end] for each pair of bounds; that of more than _LONG bytes is from its BLAKE2 digest."""
+    sizes = ends - starts
+    out = mix(sizes.astype(np.uint64) * _STEP)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    kept = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+    at, done = np.flatnonzero((sizes > 0) & (sizes <= _LONG)), 0
+    while len(at):
+        left = sizes[at] - done
+        out[at] = mix((out[at] ^ (eight[starts[at] + done] & kept[np.minimum(left, 8)])) * _STEP)
+        at, done = at[left > 8], done + 8
+    for i in np.flatnonzero(sizes > _LONG):
+        out[i] = np.frombuffer(digest(data[starts[i] : ends[i]]), np.uint64)[0]
+    return out
+
+
+def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Fingerprint of what a is of, followed by what b is of."""
+    return mix(a * _PAIR + b)
 
 
 def window_prints(words: np.ndarray, length: int) -> np.ndarray:
     """Fingerprint of each run of length words; runs that cross rows are the caller's to leave out."""
-    starts = np.arange(max(0, len(words) - length + 1))
-    return run_sums(words, starts, starts + length)
+    n = max(0, len(words) - length + 1)
+    out, done, size = np.full(n, length, np.uint64), 0, 1
+    while n:
+        if length & size:
+            out = pair(out, words[done : done + n])
+            done += size
+        if 2 * size > length:
+            break
+        words, size = pair(words[:-size], words[size:]), 2 * size
+    return out
 
 
 def within(bounds: np.ndarray, length: int) -> np.ndarray:
