@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .fixtures import ctes, view
 from .functions import scalars as S
 from .operators import conversion, dates, lines, lots, queue, resolve, sheets
 from .plans import operational
+from .registry import QUERIES as _QUERIES
+from .registry import TODAY, over
 from .sources import documents
 
-TODAY = "2026-03-17"
-_QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
-
 #: The cleaned queue in the oracle's own words.
 _JUDGED = """WITH c AS (SELECT row_id, qtd, CASE WHEN regexp_full_match(trim(matricula), '[0-9]+\\.0+') THEN split_part(trim(matricula), '.', 1) ELSE regexp_replace(matricula, '[^0-9]', '', 'g') END AS matricula,
   CASE WHEN regexp_full_match(trim(sku), '[0-9]+\\.0+') THEN split_part(trim(sku), '.', 1) ELSE regexp_replace(sku, '[^0-9]', '', 'g') END AS sku_norm,
@@ -31,12 +30,6 @@ _CONTEXT = """WITH x AS (SELECT *, coalesce(last_value(nullif(regexp_extract(lin
 _ITEM = "'^([0-9]{6}) ([0-9]+) (.+) CX ([0-9]+) ([0-9]+),00 [0-9]+,[0-9]{4}$'"
 
 
-def over(name: str, f: Callable[..., DataFrame], views: str, sql: str) -> None:
-    """Registers f over views, by name and in order."""
-    wanted = views.split()
-    _QUERIES[name] = (lambda spark, sf_dir: f(*(view(spark, sf_dir, v) for v in wanted)), ctes(sql))
-
-
 over("flt_05_validate_queue", lambda q: queue.judged(q).select("row_id", "matricula", "sku_norm", "pedido_norm", "qtd_int", "data_norm", "status"), "f1_queue", _JUDGED + " SELECT row_id, matricula, sku_norm, pedido_norm, CASE WHEN q IS NULL THEN NULL ELSE qtd_int END AS qtd_int, data_norm, status FROM j")
 over("flt_04_safe_rows", queue.safe_rows, "f1_queue", """WITH c AS (SELECT *, CASE WHEN qtd LIKE '%,%' THEN replace(replace(qtd, '.', ''), ',', '.') ELSE qtd END AS p FROM f1_queue),
 b AS (SELECT row_id, list_filter([CASE WHEN matricula = '' THEN 'MATRICULA' END, CASE WHEN sku = '' THEN 'SKU' END, CASE WHEN TRY_CAST(p AS DECIMAL(18,6)) IS NULL OR TRY_CAST(p AS DECIMAL(18,6)) <= 0 OR TRY_CAST(p AS DECIMAL(18,6)) % 1 <> 0 THEN 'QTD' END, CASE WHEN pedido = '' THEN 'PEDIDO' END, CASE WHEN data_remessa = '' THEN 'DATA' END], lambda r: r IS NOT NULL) AS r FROM c)
@@ -143,7 +136,7 @@ over("str_03_folded_names", lambda m: m.select("row_id", S.folded(F.col("descric
 over("arr_07_key_types", lambda x: x.select("row_id", S.key_type(F.col("chave_lida")).alias("tipo")), "f2_xref", "SELECT row_id, CASE length(chave_lida) WHEN 14 THEN 'CNPJ' WHEN 13 THEN 'GLN' ELSE 'CHAVE' END AS tipo FROM f2_xref")
 over("win_06_item_section", lambda x: lines.item_section(x).select("file", "line_no", "line"), "f6_lines", "WITH x AS (SELECT *, last_value(CASE WHEN line LIKE 'PEDIDO DE COMPRAS %' THEN 1 WHEN line LIKE 'TOTAIS %' THEN 0 END IGNORE NULLS) OVER (PARTITION BY file ORDER BY page, line_no) AS a FROM f6_lines) SELECT file, line_no, line FROM x WHERE a = 1 AND line NOT LIKE 'PEDIDO DE COMPRAS %'")
 over("win_04_following_total", lines.with_following_total, "f6_lines", "WITH x AS (SELECT *, first_value(CASE WHEN line LIKE 'PEDIDO DE COMPRAS %' OR line LIKE 'TOTAIS %' THEN line END IGNORE NULLS) OVER (PARTITION BY file ORDER BY page, line_no ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING) AS n FROM f6_lines) SELECT file, line_no, regexp_extract(coalesce(n, ''), '^TOTAIS ([0-9]+),00$', 1) AS total FROM x WHERE line LIKE 'PEDIDO DE COMPRAS %'")
-over("ex_07_matrix_items", sheets.matrix_items, "f7_cells", "SELECT b.file, h.v AS matricula, s.v AS sku, CAST(b.v AS BIGINT) AS qtd FROM f7_cells b JOIN f7_cells h ON h.c = b.c AND h.r = 1 JOIN f7_cells s ON s.r = b.r AND s.c = 1 WHERE b.r >= 3 AND b.c > 1 AND TRY_CAST(b.v AS BIGINT) > 0")
+over("ex_07_matrix_items", sheets.matrix_items, "f7_cells", "WITH x AS MATERIALIZED (SELECT * FROM f7_cells), h AS (SELECT file, sheet, c, v FROM x WHERE r = 1 AND v <> ''), s AS (SELECT file, sheet, r, v FROM x WHERE c = 1 AND r >= 3 AND v <> ''), b AS (SELECT file, sheet, r, c, TRY_CAST(v AS BIGINT) AS q FROM x WHERE r >= 3 AND c > 1) SELECT b.file, h.v AS matricula, s.v AS sku, q AS qtd FROM b JOIN h USING (file, sheet, c) JOIN s USING (file, sheet, r) WHERE q > 0")
 over("win_08_visual_lines", sheets.line_texts, "f8_words", _PAGE + " SELECT file, page, linha, string_agg(text, ' ' ORDER BY x0) AS texto FROM v GROUP BY 1, 2, 3")
 over("ex_14_items_by_position", lambda w: sheets.items_by_position(w, BANDS), "f8_words", _PAGE + " SELECT file, page, linha, string_agg(text, ' ' ORDER BY x0) FILTER (x0 < 100) AS sku, string_agg(text, ' ' ORDER BY x0) FILTER (x0 >= 100 AND x0 < 250) AS descricao, string_agg(text, ' ' ORDER BY x0) FILTER (x0 >= 250) AS qtd FROM v GROUP BY 1, 2, 3")
 over("j_17_assign_nearest", lambda w: w.withColumn("alvo", sheets.nearest((F.col("x0") + F.col("x1")) / 2, CENTRES)).filter("alvo IS NOT NULL").select("file", "page", "top", "alvo"), "f8_words", "SELECT file, page, top, CASE WHEN (x0 + x1) / 2 <= 295 THEN 'L1' WHEN (x0 + x1) / 2 <= 306 THEN 'L2' ELSE 'L3' END AS alvo FROM f8_words WHERE (x0 + x1) / 2 BETWEEN 266 AND 336")
@@ -154,6 +147,10 @@ SELECT doc_id AS file, page, unnest(range(1, len(string_split(t, chr(10))) + 1))
 )
 
 
+for _more in ("catalog_scalars", "catalog_orders", "catalog_documents", "catalog_reports"):
+    importlib.import_module(f".{_more}", __package__)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _QUERIES["pipe_03_item_records"][0](spark, sf_dir)
 

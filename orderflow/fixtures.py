@@ -59,6 +59,20 @@ FROM part CROSS JOIN (SELECT 0 AS c UNION ALL SELECT 1 UNION ALL SELECT 2) y""",
     "f10_ship": """SELECT event_id AS row_id, CAST(user_id AS STRING) AS matricula, CAST(event_id%60 AS STRING) AS pedido,
  CASE WHEN event_id%4=0 THEN 'PR' WHEN event_id%4=1 THEN 'SC' WHEN event_id%4=2 THEN 'SP' ELSE 'RS' END AS regional,
  CASE WHEN event_type='error' THEN '' ELSE concat(lpad(CAST(day(ts) AS STRING),2,'0'),'/01/2024') END AS data_remessa FROM events""",
+    "f11_values": f"""SELECT row_id, CASE k WHEN 0 THEN '' WHEN 1 THEN 'nan' WHEN 2 THEN '*' WHEN 3 THEN 'abc' WHEN 4 THEN concat('R$ ',n,',50') WHEN 5 THEN concat('1.',p3) WHEN 6 THEN concat('1.',p3,',25')
+  WHEN 7 THEN concat(n,',',p3) WHEN 8 THEN concat(n,'.5') WHEN 9 THEN concat('-',n) WHEN 10 THEN '0' WHEN 11 THEN concat(n,',00') WHEN 12 THEN concat(n,' CX') WHEN 13 THEN concat(n,',',p3,'7')
+  WHEN 14 THEN concat('10',n,'.',p3) WHEN 15 THEN concat('12.345.',p3) WHEN 16 THEN concat(n,',5') WHEN 17 THEN concat(n,'.0') WHEN 18 THEN '1,7E+09' ELSE n END AS num,
+ CASE k WHEN 0 THEN '' WHEN 1 THEN cust WHEN 2 THEN lpad(cust,13,'7') WHEN 3 THEN lpad(cust,14,'0') WHEN 4 THEN lpad(cust,12,'3') WHEN 5 THEN lpad(cust,15,'9') WHEN 6 THEN concat('Loja ',p3)
+  WHEN 7 THEN concat('12.345.',p3,'/0001-77') WHEN 8 THEN lpad(cust,8,'5') WHEN 9 THEN concat('000',lpad(cust,7,'4')) WHEN 10 THEN 'Loja Centro-Sul' ELSE lpad(cust,10,'1') END AS code,
+ CASE k WHEN 0 THEN '' WHEN 1 THEN concat('São José – Distribuição ',n) WHEN 2 THEN '  Rede   Íris  PDF ' WHEN 3 THEN concat('layout excel NORTE ',n) WHEN 4 THEN 'CTBA' WHEN 5 THEN 'sp - hortolândia'
+  WHEN 6 THEN 'Porto Alegre' WHEN 7 THEN concat('pão|leite; de casa,,pão',n) WHEN 8 THEN 'Ação-Çedilha ÑANDÚ' WHEN 9 THEN concat('Página ',n,' sem texto | linha ',p3,' | x') WHEN 10 THEN concat('A very long name of a file that goes on and on ',cust)
+  WHEN 11 THEN concat('Pedido_0',p3,'41_NOME ',n,'.xlsx') ELSE nm END AS phrase,
+ CASE k WHEN 0 THEN '' WHEN 1 THEN concat(d,'.',m,'.',y) WHEN 2 THEN concat(d,'/',m,'/',y) WHEN 3 THEN concat(y,'-',m,'-',d) WHEN 4 THEN concat(d,'-',m,'-',y) WHEN 5 THEN concat(d,m,y) WHEN 6 THEN concat(d,'/',m,'/',substring(y,3,2))
+  WHEN 7 THEN concat('Entrega ',d,'/',m,'/',substring(y,3,2),' cedo') WHEN 8 THEN concat('44',p3) WHEN 9 THEN '31/02/2024' WHEN 10 THEN 'segunda' ELSE concat(d,'/',m,'/',y) END AS dia,
+ CASE k%4 WHEN 0 THEN concat('<p>Olá ',n,'</p><br>SKU&nbsp;',p3,' &amp; mais<style>x{{}}</style>') WHEN 1 THEN concat('CNPJ 12.345.',p3,'/0001-77 e 7',lpad(cust,9,'2'),' fim') WHEN 2 THEN concat('doc -77 12.345.',p3,'/0001 loja') ELSE concat('sem numero ',n) END AS corpo,
+ concat('{{"arquivo":"',CASE WHEN k%3=0 THEN '' ELSE concat('a',n,'.pdf') END,'","nome_original":"o',p3,'.pdf","assunto":"Pedido ',cust,'"}}') AS meta
+FROM (SELECT l_orderkey*1000+rn AS row_id, (l_orderkey*13+l_partkey*5+l_suppkey)%23 AS k, CAST(CAST(l_quantity AS BIGINT) AS STRING) AS n, lpad(CAST(l_partkey%1000 AS STRING),3,'0') AS p3, CAST(o_custkey AS STRING) AS cust, o_orderpriority AS nm,
+  lpad(CAST(day(o_orderdate) AS STRING),2,'0') AS d, lpad(CAST(month(o_orderdate) AS STRING),2,'0') AS m, CAST(year(o_orderdate) AS STRING) AS y FROM {_ROWS}) z""",
 }
 
 

@@ -72,7 +72,7 @@ def cnpj_mask(c: Column) -> Column:
 def key_forms(c: Column) -> Column:
     """Forms under which a company number may be kept: as read, padded to 14, without leading zeros."""
     d = digits(c)
-    padded = F.when(F.length(d) < 14, F.lpad(d, 14, "0"))
+    padded = F.when((d != "") & (F.length(d) < 14), F.lpad(d, 14, "0"))
     return F.filter(F.array_distinct(F.array_compact(F.array(d, padded, F.regexp_replace(d, "^0+", "")))), lambda x: x != "")
 
 
