@@ -19,12 +19,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import cut
 from .text import lower, raw, slices
 
 BUCKETS = 1 << 15
 GRAMS = (2, 3)
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 EVIDENCE = 200.0
+MARGIN = 0.1
+#: So many languages are learned at most.
+LANGUAGES = 256
 NONE = "und"
 #: A text whose loss to the nearest codeword is above this is rejected. Bits without any evidence lose log 2 = 0.69.
 LOSS = 0.5
@@ -32,26 +36,27 @@ LOSS = 0.5
 FIT = 0.5
 
 
-def _grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each n-gram, and the row it is of. Bytes that are ASCII but no letter count as one blank kind."""
+def _grams(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bucket of each n-gram, and the row it is of, some of them at a time whatever the length of a text.
+
+    Bytes that are ASCII but no letter count as one blank kind.
+    """
     data, offsets = raw(column)
     data = lower(data)
-    data = np.where((data < 128) & ((data < 97) | (data > 122)), 32, data).astype(np.uint32)
-    row = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
-    buckets, rows = [], []
-    for n in GRAMS:
-        if len(data) < n:
-            continue
-        code = np.zeros(len(data) - n + 1, np.uint32)
-        for i in range(n):
-            code = code * np.uint32(0x01000193) ^ data[i : len(data) - n + 1 + i]
-        code = (code * np.uint32(0x9E3779B1)) >> np.uint32(17)
-        inside = row[: len(code)] == row[n - 1 :]
-        buckets.append(code[inside].astype(np.int32))
-        rows.append(row[: len(code)][inside])
-    if not buckets:
-        return np.zeros(0, np.int32), np.zeros(0, np.int32)
-    return np.concatenate(buckets), np.concatenate(rows)
+    data[(data < 128) & ((data < 97) | (data > 122))] = 32
+    for begin in range(0, len(data), SLICE_BYTES):
+        piece = data[begin : begin + SLICE_BYTES + max(GRAMS) - 1].astype(np.uint32)
+        row = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(np.clip(offsets - begin, 0, len(piece))))
+        for n in GRAMS:
+            size = min(SLICE_BYTES, len(piece) - n + 1)
+            if size < 1:
+                continue
+            code = np.zeros(size, np.uint32)
+            for i in range(n):
+                code = code * np.uint32(0x01000193) ^ piece[i : size + i]
+            code = (code * np.uint32(0x9E3779B1)) >> np.uint32(17)
+            inside = row[:size] == row[n - 1 : n - 1 + size]
+            yield code[inside].astype(np.int32), row[:size][inside]
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
@@ -60,11 +65,11 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in slices(batches, "text", SLICE_BYTES):
-            langs = np.array(batch.column("lang").to_pylist(), object)
-            buckets, rows = _grams(batch.column("text"))
-            for lang in set(langs):
-                mine = (langs == lang)[rows]
-                sums[lang] = sums.get(lang, 0) + np.bincount(buckets[mine], minlength=BUCKETS)
+            langs, which = np.unique(np.array(batch.column("lang").to_pylist(), str), return_inverse=True)
+            for buckets, rows in _grams(batch.column("text")):
+                of = which[rows]
+                for i in np.unique(of):
+                    sums[langs[i]] = sums.get(langs[i], 0) + np.bincount(buckets[of == i], minlength=BUCKETS)
         for lang, n in sums.items():
             some = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array(n[some], pa.int64())], names=["lang", "bucket", "n"])
@@ -92,12 +97,15 @@ class Model:
     fits: np.ndarray  # language x bucket: log-odds of the language against evenly drawn n-grams
 
 
-def fit(docs: DataFrame) -> Model:
-    """From every row of docs whose text and lang are not null.
+def fit(docs: DataFrame, most: int = LANGUAGES) -> Model:
+    """From every row of docs whose text and lang are not null, for the most frequent languages.
 
-    What comes to the driver is one count for each language and n-gram bucket, at most BUCKETS for a language.
+    A label beyond the most languages of the greatest counts is not learned: what comes to the driver is one count for each learned
+    language and n-gram bucket, at most most * BUCKETS. Labels of equal counts are taken in their order.
     """
-    found = gram_counts(docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())).toPandas()
+    counted = cut(gram_counts(docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())))
+    common = counted.groupBy("lang").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "lang").limit(most)
+    found = counted.join(F.broadcast(common), "lang").select("lang", "bucket", "n").toPandas()
     langs = sorted(found["lang"].unique())
     counts = np.zeros((len(langs), BUCKETS))
     counts[found["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(int), found["bucket"].to_numpy(int)] = found["n"].to_numpy()
@@ -114,50 +122,70 @@ def fit(docs: DataFrame) -> Model:
     return Model(langs, codes, weights, trust / trust.sum() if len(trust) else trust, np.log(share * BUCKETS).astype(np.float32))
 
 
-def identify(docs: DataFrame, model: Model, margin: float = 0.1, keep: tuple[str, ...] = ("doc_id",), judge: bool = False) -> DataFrame:
-    """keep, lang_pred, score (0 to 1), ambiguous, and with judge also rejected; from the text alone.
+def _told(column: pa.Array, m: Model, margin: float) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text: language, sureness, whether it is ambiguous, its least loss, and its nearest codeword."""
+    n, bits = len(column), m.weights.shape[1]
+    signs = m.codes.astype(np.float64) * 2 - 1
+    score, number = np.zeros((n, bits)), np.zeros(n, np.int64)
+    for buckets, rows in _grams(column):
+        number += np.bincount(rows, minlength=n)
+        for b in range(bits):
+            score[:, b] += np.bincount(rows, m.weights[buckets, b], minlength=n)
+    score /= np.maximum(number, 1)[:, None]
+    letters = [bool(m.langs and text and any(map(str.isalpha, text))) for text in column.to_pylist()]
+    if not m.langs:
+        return [NONE] * n, np.zeros(n), np.zeros(n, bool), np.zeros(n), np.zeros(n, np.int64)
+    loss = np.logaddexp(0, -6.0 * score[:, None, :] * signs[None]) @ m.trust
+    odds = np.exp(-(loss - loss.min(1, keepdims=True)) * np.minimum(number, EVIDENCE)[:, None] / 4)
+    odds /= odds.sum(1, keepdims=True)
+    best, each = loss.argmin(1), np.arange(n)
+    sure = odds[each, best]
+    second = np.partition(odds, -2, axis=1)[:, -2] if len(m.langs) > 1 else np.zeros(n)
+    pred = [m.langs[i] if ok else NONE for i, ok in zip(best, letters)]
+    ok = np.array(letters, bool)
+    return pred, np.where(ok, sure, 0.0), ok & (sure - second < margin), loss.min(1), best
+
+
+def identify(docs: DataFrame, model: Model, margin: float = MARGIN, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keep, lang_pred, score (0 to 1), ambiguous; from the text alone.
 
     Null texts and texts without a letter are "und", with score 0, as is all when nothing was learned. Repeated rows
-    and null ids are rows like others; further columns are left out unless named in keep. Rejected are "und", ambiguous
-    texts, and those beyond LOSS or FIT; a single language has no bits to lose, so there FIT alone tells.
+    and null ids are rows like others; further columns are left out unless named in keep.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        signs = m.codes.astype(np.float64) * 2 - 1
         for batch in slices(batches, "__text", SLICE_BYTES):
-            column = batch.column("__text")
-            buckets, rows = _grams(column)
-            n = batch.num_rows
-            score = np.zeros((n, m.weights.shape[1]))
-            number = np.bincount(rows, minlength=n)
-            for b in range(m.weights.shape[1]):
-                score[:, b] = np.bincount(rows, m.weights[buckets, b], minlength=n)
-            score /= np.maximum(number, 1)[:, None]
-            pred, sure, doubt = [], [], []
-            loss = np.logaddexp(0, -6.0 * score[:, None, :] * signs[None]) @ m.trust if m.langs else np.zeros((n, 0))
-            out = np.zeros(n, bool)
-            if judge and m.langs:
-                fit_of = np.bincount(rows, m.fits[loss.argmin(1)[rows], buckets], minlength=n) / np.maximum(number, 1)
-                out = (fit_of < FIT) | (loss.min(1) > LOSS) & (len(m.langs) > 1)
-            for i, text in enumerate(column.to_pylist()):
-                if not m.langs or not text or not any(map(str.isalpha, text)):
-                    pred.append(NONE), sure.append(0.0), doubt.append(False)
-                    continue
-                odds = np.exp(-(loss[i] - loss[i].min()) * min(number[i], EVIDENCE) / 4)
-                odds /= odds.sum()
-                best = int(loss[i].argmin())
-                second = np.partition(odds, -2)[-2] if len(odds) > 1 else 0.0
-                pred.append(m.langs[best]), sure.append(float(odds[best])), doubt.append(bool(odds[best] - second < margin))
+            pred, sure, doubt, _, _ = _told(batch.column("__text"), sent.value, margin)
             told = [pa.array(pred, pa.string()), pa.array(sure, pa.float64()), pa.array(doubt, pa.bool_())]
-            if judge:
-                told.append(pa.array(out | np.array(doubt, bool) | np.array([x == NONE for x in pred], bool)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *told], names=[*keep, *named])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *told], names=[*keep, "lang_pred", "score", "ambiguous"])
 
-    named = ["lang_pred", "score", "ambiguous", *(["rejected"] if judge else [])]
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, f"{kinds}, lang_pred string, score double, ambiguous boolean{', rejected boolean' if judge else ''}")
+    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, f"{kinds}, lang_pred string, score double, ambiguous boolean")
+
+
+def accepted(docs: DataFrame, model: Model, margin: float = MARGIN) -> DataFrame:
+    """The rows of docs, as they are, that the decoder does not reject.
+
+    Rejected are null texts and texts without a letter, ambiguous texts, and those beyond LOSS or FIT; a single
+    language has no bits to lose, so there FIT alone tells. Where nothing was learned all is rejected.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", SLICE_BYTES):
+            m, column = sent.value, batch.column("text")
+            pred, _, doubt, least, best = _told(column, m, margin)
+            ok = np.array([x != NONE for x in pred], bool) & ~doubt
+            if m.langs:
+                fits, number = np.zeros(len(column)), np.zeros(len(column))
+                for buckets, rows in _grams(column):
+                    fits += np.bincount(rows, m.fits[best[rows], buckets], minlength=len(column))
+                    number += np.bincount(rows, minlength=len(column))
+                ok &= (fits >= FIT * np.maximum(number, 1)) & ((least <= LOSS) | (len(m.langs) == 1))
+            yield batch.filter(pa.array(ok))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def held_out_column() -> Column:
