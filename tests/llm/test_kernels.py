@@ -52,27 +52,74 @@ def test_tokens_are_those_of_the_library(spark):
 
 
 def test_records_hold_the_library_s_ids(spark, tmp_path):
+    import zlib
+
     import public_tokenizers as P
     from tokenizers import Tokenizer
 
     said = open(P.path("word_bpe_49k.json"), encoding="utf-8").read()
     library = Tokenizer.from_str(said)
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = ["<|endoftext|>", "a<|endoftext|>b <|ENDOFTEXT|> <|StartOfText|>", "It's ÀÉ don\u2019t A\u0308 x\u00a0y\u2028z ##@@!! 12 <a>", "ΣΑΣ Σ. I\u0307 \U0001f600\u200d", "", None, "\t \n", "x" * 3000]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(odd)], "doc_id long, text string"))
     out = records.record_table(docs, said, 1, f"{tmp_path}/records").orderBy("doc_id").collect()
-    start, texts = 0, {r.doc_id: r.text for r in docs.collect()}
+    start, texts = 0, {r.doc_id: r.text or "" for r in docs.collect()}
+    ids = {i: np.array([*library.encode(t, add_special_tokens=False).ids, 1], "<u4") for i, t in texts.items()}
+    assert len(out) == len(texts)
     for r in out:
-        n = len(library.encode(texts[r.doc_id], add_special_tokens=False).ids) + 1
-        assert (r.start, r.n_tokens) == (start, n)
-        start += n
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids[r.doc_id]), zlib.crc32(ids[r.doc_id].tobytes()))
+        start += r.n_tokens
     index = spark.read.parquet(f"{tmp_path}/records-index")
-    for r in records.read_at(spark, f"{tmp_path}/records", index.filter("doc_id % 17 = 3")).collect():
-        assert r.ids == [*library.encode(texts[r.doc_id], add_special_tokens=False).ids, 1]
+    wanted = index.filter("doc_id % 17 = 3")
+    for place in (f"{tmp_path}/records", f"file://{tmp_path}/records"):
+        read = records.read_at(spark, place, wanted).collect()
+        assert len(read) == wanted.count()
+        assert all(r.ids == ids[r.doc_id].tolist() for r in read)
     data = records.frame(5, 2, b"\x01\x00") + b"\n"
     assert next(records.frames(data))[2] == 5
     with pytest.raises(ValueError):
         list(records.frames(data[:13] + b"\xff" + data[14:]))
 
 
+def test_a_small_cache_gives_the_same_ids(monkeypatch):
+    import public_tokenizers as P
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(records, "CACHED_WORDS", 3)
+    said = open(P.path("word_bpe_49k.json"), encoding="utf-8").read()
+    known, library = records._Words(said, 2), Tokenizer.from_str(said)
+    for text in ("a b c d e f", "f e d, a", "new a b words, more words than fit", "a b c"):
+        assert records.encoded(pa.array([text]), known)[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_long_words_of_regular_build_differ(spark):
+    """Words for which polynomials modulo a power of two agree: Thue-Morse over two letters, and its complement."""
+    from orderflow.llm import substrings
+
+    one = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    rows = [(i, " ".join([w] * 15) + "\n" + w) for i, w in enumerate((one, two))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.n_removed for r in substrings.remove_repeats(docs).collect()] == [0, 0]
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == {0: 0, 1: 1}
+    assert [r.n_removed for r in lines.line_table(docs).collect()] == [0, 0]
+
+
+def test_window_prints_tell_order_and_length():
+    words = np.random.default_rng(1).integers(0, 1 << 63, 40).astype(np.uint64)
+    for length in (1, 2, 3, 5, 7, 13):
+        from orderflow.llm.text import window_prints
+
+        found = window_prints(words, length)
+        again = window_prints(words[5:], length)
+        assert len(found) == 41 - length and (found[5:] == again).all() and len(set(found.tolist())) == len(found)
+        if length > 1:
+            swapped = words.copy()
+            swapped[[0, 1]] = words[[1, 0]]
+            assert window_prints(swapped, length)[0] != found[0]
+
+
 def test_banded_edits():
     def plain(a, b):
         row = list(range(len(b) + 1))
