@@ -25,7 +25,7 @@ b AS (SELECT *, CAST(greatest(1, floor(q)) AS BIGINT) AS qtd_int, strftime(d, '%
   list_filter([CASE WHEN matricula = '' THEN 'MATRICULA_VAZIA' END, CASE WHEN sku_norm = '' THEN 'SKU_VAZIO' END, CASE WHEN pedido_norm = '' THEN 'PEDIDO_VAZIO' END,
    CASE WHEN trim(qtd) = '' THEN 'QTD_VAZIA' WHEN q IS NULL THEN concat('QTD_INVALIDA: ', qtd) END, CASE WHEN trim(data_remessa) = '' THEN 'DATA_VAZIA' WHEN d IS NULL THEN 'DATA_INVALIDA' END], lambda r: r IS NOT NULL) AS r FROM c),
 j AS (SELECT *, CASE WHEN len(r) > 0 THEN array_to_string(r, ' | ') WHEN length(sku_norm) > 14 THEN 'SKU_MAIS_14' ELSE '' END AS status FROM b)"""
-_CONSOLIDATED = _JUDGED + """, k AS (SELECT matricula, pedido_norm, sku_norm, data_norm, min(row_id) AS row_id, CAST(sum(qtd_int) AS BIGINT) AS qtd, count(*) AS linhas FROM j WHERE status = '' GROUP BY ALL)"""
+CONSOLIDATED = _CONSOLIDATED = _JUDGED + """, k AS (SELECT matricula, pedido_norm, sku_norm, data_norm, min(row_id) AS row_id, CAST(sum(qtd_int) AS BIGINT) AS qtd, count(*) AS linhas FROM j WHERE status = '' GROUP BY ALL)"""
 _CONTEXT = """WITH x AS (SELECT *, coalesce(last_value(nullif(regexp_extract(line, '^PEDIDO DE COMPRAS ([0-9]+)/', 1), '') IGNORE NULLS) OVER (PARTITION BY file ORDER BY page, line_no), '') AS pedido FROM f6_lines)"""
 _ITEM = "'^([0-9]{6}) ([0-9]+) (.+) CX ([0-9]+) ([0-9]+),00 [0-9]+,[0-9]{4}$'"
 
@@ -35,7 +35,7 @@ over("flt_04_safe_rows", queue.safe_rows, "f1_queue", """WITH c AS (SELECT *, CA
 b AS (SELECT row_id, list_filter([CASE WHEN matricula = '' THEN 'MATRICULA' END, CASE WHEN sku = '' THEN 'SKU' END, CASE WHEN TRY_CAST(p AS DECIMAL(18,6)) IS NULL OR TRY_CAST(p AS DECIMAL(18,6)) <= 0 OR TRY_CAST(p AS DECIMAL(18,6)) % 1 <> 0 THEN 'QTD' END, CASE WHEN pedido = '' THEN 'PEDIDO' END, CASE WHEN data_remessa = '' THEN 'DATA' END], lambda r: r IS NOT NULL) AS r FROM c)
 SELECT row_id, array_to_string(r, ' | ') AS motivos, len(r) = 0 AS segura FROM b""")
 over("flt_10_blocking_errors", lambda q: queue.blocking(q, ("DATA_VAZIA", "DATA_INVALIDA")), "f1_queue", _JUDGED + " SELECT row_id, len(list_filter(string_split(status, ' | '), lambda s: s NOT IN ('DATA_VAZIA', 'DATA_INVALIDA'))) > 0 AS bloqueia FROM j WHERE status <> ''")
-over("agg_01_consolidate_skus", lambda q: queue.consolidate(queue.validate_queue(q)[0]), "f1_queue", _CONSOLIDATED + " SELECT matricula, pedido_norm, sku_norm, data_norm, row_id, qtd, linhas, CASE WHEN linhas > 1 THEN concat('SKU_DUPLICADO_CONSOLIDADO | linhas=', linhas, ' | qtd_total=', qtd) ELSE '' END AS observacao FROM k")
+over("agg_01_consolidate_skus", lambda q: queue.consolidate(queue.validate_queue(q)[0]).drop("data_remessa"), "f1_queue", _CONSOLIDATED + " SELECT matricula, pedido_norm, sku_norm, data_norm, row_id, (SELECT f.sku FROM f1_queue f WHERE f.row_id = k.row_id) AS sku, (SELECT f.pedido FROM f1_queue f WHERE f.row_id = k.row_id) AS pedido, qtd, linhas, CASE WHEN linhas > 1 THEN concat('SKU_DUPLICADO_CONSOLIDADO | linhas=', linhas, ' | qtd_total=', qtd) ELSE '' END AS observacao FROM k")
 over("agg_05_potential_duplicates", queue.potential_duplicates, "f1_queue", _JUDGED + " SELECT pedido_norm, matricula, sku_norm, count(*) AS linhas, CAST(sum(CASE WHEN q IS NULL THEN NULL ELSE qtd_int END) AS BIGINT) AS qtd_total FROM j WHERE matricula <> '' AND sku_norm <> '' AND pedido_norm NOT IN ('', '.') GROUP BY ALL HAVING count(*) > 1")
 over("agg_08_executive_panel", queue.executive_panel, "f1_queue", _JUDGED + """, s AS (SELECT count(*) AS a, count(*) FILTER (status = '') AS b, count(*) FILTER (status <> '') AS c, count(DISTINCT matricula) FILTER (status = '') AS d, CAST(sum(qtd_int) FILTER (status = '') AS BIGINT) AS e FROM j)
 SELECT unnest(['lidas', 'validas', 'rejeitadas', 'clientes', 'unidades']) AS indicador, unnest([a, b, c, d, e]) AS valor FROM s""")

@@ -73,6 +73,18 @@ FROM part CROSS JOIN (SELECT 0 AS c UNION ALL SELECT 1 UNION ALL SELECT 2) y""",
  concat('{{"arquivo":"',CASE WHEN k%3=0 THEN '' ELSE concat('a',n,'.pdf') END,'","nome_original":"o',p3,'.pdf","assunto":"Pedido ',cust,'"}}') AS meta
 FROM (SELECT l_orderkey*1000+rn AS row_id, (l_orderkey*13+l_partkey*5+l_suppkey)%23 AS k, CAST(CAST(l_quantity AS BIGINT) AS STRING) AS n, lpad(CAST(l_partkey%1000 AS STRING),3,'0') AS p3, CAST(o_custkey AS STRING) AS cust, o_orderpriority AS nm,
   lpad(CAST(day(o_orderdate) AS STRING),2,'0') AS d, lpad(CAST(month(o_orderdate) AS STRING),2,'0') AS m, CAST(year(o_orderdate) AS STRING) AS y FROM {_ROWS}) z""",
+    "f12_items": f"""SELECT row_id, CASE WHEN k IN (0,1,30) THEN '' WHEN k=2 THEN '123' ELSE lpad(CAST(cust+1000000 AS STRING),14,'0') END AS cnpj_lido, CASE WHEN k=1 THEN lpad(CAST(cust AS STRING),13,'7') ELSE '' END AS gln_lido,
+ CASE WHEN k=30 THEN concat('L',CAST(cust AS STRING)) ELSE '' END AS codigo_loja_lido, CASE WHEN k IN (0,1) THEN '' WHEN k=2 THEN '99' WHEN k%3=0 THEN CAST(7120000000+cust AS STRING) ELSE '' END AS matricula_lida,
+ CASE WHEN k IN (3,6) THEN '' WHEN k=4 THEN concat('789',lpad(CAST(part AS STRING),10,'0')) WHEN k=5 THEN lpad(CAST(part AS STRING),8,'2') ELSE CAST(part+100000 AS STRING) END AS sku_lido,
+ CASE WHEN k=6 THEN concat('789',lpad(CAST(part AS STRING),10,'0')) WHEN k=7 THEN '12345' ELSE '' END AS ean_lido,
+ CASE k WHEN 8 THEN '' WHEN 9 THEN 'abc' WHEN 10 THEN '-3' WHEN 11 THEN '2,4733' WHEN 12 THEN '1.320' WHEN 13 THEN '12,50' ELSE qty END AS quantidade_lida,
+ CASE k WHEN 14 THEN '' WHEN 15 THEN '.' WHEN 16 THEN '12' WHEN 17 THEN lpad(CAST(cust+1000000 AS STRING),14,'0') WHEN 18 THEN CAST(part+100000 AS STRING) ELSE CAST(ord+100000 AS STRING) END AS numero_pedido_lido,
+ CASE k WHEN 25 THEN '' WHEN 26 THEN '31/02/2024' ELSE {_DAY} END AS data_entrega_lida, CASE k WHEN 19 THEN 'ALERTA_LEITURA' WHEN 20 THEN 'PENDENTE' WHEN 21 THEN 'ALERTA' ELSE '' END AS status_extracao,
+ CASE k WHEN 19 THEN 'RASTREABILIDADE_LAYOUT | REF_DIFERENTE_DO_COD_FORN_MANTIDO_COMO_AUDITORIA' WHEN 20 THEN 'ERRO leitura' WHEN 21 THEN 'RASTREABILIDADE_LAYOUT conferir' ELSE '' END AS alerta_extracao,
+ CASE ord%3 WHEN 0 THEN 'REDE ÚM PDF' WHEN 1 THEN 'REDE DOIS' ELSE 'RASTREABILIDADE -> REDE UM' END AS layout_usado,
+ CASE k WHEN 22 THEN 'VALIDAR CONVERSAO' WHEN 23 THEN 'OK CONVERTIDO' WHEN 24 THEN 'ALERTA - NÃO CONVERTIDO' WHEN 27 THEN 'OK - SEM CONVERSÃO' WHEN 28 THEN 'outro NAO_CONVERTIDO' ELSE '' END AS status_conversao,
+ CASE cust%4 WHEN 0 THEN 'PR' WHEN 1 THEN 'SC' WHEN 2 THEN 'SP' ELSE 'RS' END AS regional
+FROM (SELECT l_orderkey*1000+rn AS row_id, (l_orderkey*17+l_partkey*3+l_suppkey)%37 AS k, o_custkey AS cust, l_partkey AS part, l_orderkey AS ord, o_orderdate, CAST(CAST(l_quantity AS BIGINT) AS STRING) AS qty FROM {_ROWS}) z""",
 }
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -10,6 +10,11 @@ def text(c: Column) -> Column:
     return F.trim(F.coalesce(c.cast("string"), F.lit("")))
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are made once a row: by a generator, past which filters and later columns don't carry their expressions."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def digits(c: Column) -> Column:
     return F.regexp_replace(text(c), "[^0-9]", "")
 

@@ -13,17 +13,21 @@ def _reasons(*when: Column) -> Column:
 
 
 def judged(df: DataFrame) -> DataFrame:
-    """df with cleaned fields and status: all reasons of a row, or "" (FLT-05). A code above 14 digits counts only alone."""
-    x = df.withColumns({
-        "matricula": S.rescued_digits(F.col("matricula")), "sku_norm": S.sku(F.col("sku")), "pedido_norm": S.order_number(F.col("pedido")),
-        "qtd_int": S.queue_quantity(F.col("qtd")), "data_norm": S.day_text(F.col("data_remessa")),
-    })
+    """df with cleaned fields and status: all reasons of a row, or "" (FLT-05). A code above 14 digits counts only alone.
+
+    Fields are parsed by a generator of one row, which filters on the status don't pass, so each is parsed once a row.
+    """
+    x = S.once(
+        df, _matricula=S.rescued_digits(F.col("matricula")), sku_norm=S.sku(F.col("sku")), pedido_norm=S.order_number(F.col("pedido")),
+        qtd_int=S.queue_quantity(F.col("qtd")), _dia=S.day(F.col("data_remessa")),
+    )
+    blank = lambda c: F.lower(S.text(F.col(c))).isin("", "nan")
     base = _reasons(
-        F.when(F.col("matricula") == "", "MATRICULA_VAZIA"), F.when(F.col("sku_norm") == "", "SKU_VAZIO"), F.when(F.col("pedido_norm") == "", "PEDIDO_VAZIO"),
-        S.quantity_error(F.col("qtd")), S.day_error(F.col("data_remessa")),
+        F.when(F.col("_matricula") == "", "MATRICULA_VAZIA"), F.when(F.col("sku_norm") == "", "SKU_VAZIO"), F.when(F.col("pedido_norm") == "", "PEDIDO_VAZIO"),
+        F.when(blank("qtd"), "QTD_VAZIA").when(F.col("qtd_int").isNull(), F.concat(F.lit("QTD_INVALIDA: "), S.text(F.col("qtd")))), F.when(blank("data_remessa"), "DATA_VAZIA").when(F.col("_dia").isNull(), "DATA_INVALIDA"),
     )
     status = F.when(F.size(base) > 0, F.concat_ws(" | ", base)).when(F.length("sku_norm") > 14, F.lit("SKU_MAIS_14")).otherwise(F.lit(""))
-    return x.withColumn("status", status)
+    return x.withColumns({"status": status, "matricula": F.col("_matricula"), "data_norm": F.date_format("_dia", "dd/MM/yyyy")}).drop("_matricula", "_dia")
 
 
 def validate_queue(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -32,9 +36,12 @@ def validate_queue(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def consolidate(df: DataFrame) -> DataFrame:
-    """One row for each customer, order, article and day, in the words of its first row, quantities added (AGG-01)."""
+    """One row for each customer, order, article and day, with the other fields of its first row, quantities added (AGG-01)."""
     keys = ["matricula", "pedido_norm", "sku_norm", "data_norm"]
-    x = df.groupBy(*keys).agg(F.min("row_id").alias("row_id"), F.sum("qtd_int").alias("qtd"), F.count(F.lit(1)).alias("linhas"))
+    others = [c for c in df.columns if c not in (*keys, "row_id", "qtd", "qtd_int", "status")]
+    first = F.min_by(F.struct("row_id", *others), "row_id") if others else F.struct(F.min("row_id").alias("row_id"))
+    x = df.groupBy(*keys).agg(first.alias("_first"), F.sum("qtd_int").alias("qtd"), F.count(F.lit(1)).alias("linhas"))
+    x = x.select(*keys, "_first.*", "qtd", "linhas")
     note = F.concat(F.lit("SKU_DUPLICADO_CONSOLIDADO | linhas="), F.col("linhas"), F.lit(" | qtd_total="), F.col("qtd"))
     return x.withColumn("observacao", F.when(F.col("linhas") > 1, note).otherwise(F.lit("")))
 
@@ -81,7 +88,7 @@ def error_groups(df: DataFrame) -> DataFrame:
 
 
 def executive_panel(df: DataFrame) -> DataFrame:
-    """Indicators as rows (AGG-07, AGG-08)."""
+    """Figures of the queue as rows (part of AGG-08)."""
     ok = F.col("status") == ""
     x = judged(df).agg(F.count(F.lit(1)).alias("lidas"), F.sum(ok.cast("long")).alias("validas"), F.sum((~ok).cast("long")).alias("rejeitadas"), F.countDistinct(F.when(ok, F.col("matricula"))).alias("clientes"), F.sum(F.when(ok, F.col("qtd_int"))).alias("unidades"))
     return x.selectExpr("stack(5, 'lidas', lidas, 'validas', validas, 'rejeitadas', rejeitadas, 'clientes', clientes, 'unidades', unidades) AS (indicador, valor)")

@@ -6,13 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import queue, resolve
+from . import interchange
 
 
 def item_records(rows: DataFrame, gln: DataFrame, today: str) -> DataFrame:
     """matricula, pedido, seq, registro: one record for each consolidated item whose customer has a GLN (FXW-06)."""
-    ok, _ = queue.validate_queue(rows)
-    x = queue.consolidate(ok)
-    x = x.withColumn("pedido", S.order_or_fallback(F.col("matricula"), F.col("pedido_norm"), F.lit(today).cast("date")))
-    x = queue.with_sequence(resolve.attach_gln(x, gln).filter("gln <> ''"))
+    x, _ = interchange.order_lines(rows, gln, today)
     return x.select("matricula", "pedido", F.col("seq").cast("long").alias("seq"), S.item_record(F.col("seq"), F.col("sku_norm"), F.col("qtd"), F.col("gln"), F.col("matricula")).alias("registro"))
+
+
+def operational_output(rows: DataFrame, gln: DataFrame, today: str, now: str) -> dict[str, DataFrame]:
+    """Order tables, order files, and what is left out: rejected rows, and items of customers without GLN."""
+    from ..operators import queue
+
+    lines, without_gln = interchange.order_lines(rows, gln, today)
+    return {"tabelas": interchange.order_table(lines), "arquivos": interchange.order_files(lines, now), "rejeitadas": queue.validate_queue(rows)[1], "sem_gln": without_gln}
