@@ -26,6 +26,7 @@ from .text import is_space, raw, slices, word_spans
 SLICE_BYTES = 4 << 20
 SHARD_BYTES = 256 << 20
 CACHED_WORDS = 150_000
+JOINED = 500
 #: Fixed value: how a pre-tokenizer that parts letters, digits and other marks says so.
 PARTING = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: 1: ASCII letters and digits; 2: marks that are no part of a contraction or a special token.
@@ -35,11 +36,14 @@ _SIDES[[ord(c) for c in ".,;:!?#*$%&()[]{}\"/\\+=@^_~-`"]] = 2
 _MASK = 0xA282EAD8
 
 
-def masked(data: bytes) -> int:
-    crc = zlib.crc32(data)
+def _mask(crc: int) -> int:
     return ((crc >> 15 | crc << 17 & 0xFFFFFFFF) + _MASK) & 0xFFFFFFFF
 
 
+def masked(data: bytes) -> int:
+    return _mask(zlib.crc32(data))
+
+
 def frame(doc_id: int | None, width: int, ids: bytes) -> bytes:
     payload = struct.pack("<BBq", doc_id is None, width, doc_id or 0) + ids
     length = struct.pack("<Q", len(payload))
@@ -48,16 +52,15 @@ def frame(doc_id: int | None, width: int, ids: bytes) -> bytes:
 
 def frames(content: bytes | memoryview) -> Iterator[tuple[int, int, int | None, np.ndarray]]:
     """Offset, length, document id and token ids of each frame; ValueError where a checksum doesn't hold."""
-    at = 0
-    while at < len(content):
-        length = content[at : at + 8]
-        (size,), (check,) = struct.unpack("<Q", length), struct.unpack_from("<I", content, at + 8)
+    at, end, crc = 0, len(content), zlib.crc32
+    head, tail, top = struct.Struct("<QI").unpack_from, struct.Struct("<I").unpack_from, struct.Struct("<BBq").unpack_from
+    while at < end:
+        size, check = head(content, at)
         payload = content[at + 12 : at + 12 + size]
-        if check != masked(length) or struct.unpack_from("<I", content, at + 12 + size)[0] != masked(payload):
+        if check != _mask(crc(content[at : at + 8])) or tail(content, at + 12 + size)[0] != _mask(crc(payload)):
             raise ValueError(f"damaged record at byte {at}")
-        null, width, doc_id = struct.unpack_from("<BBq", payload)
-        ids = np.frombuffer(payload, "<u2" if width == 2 else "<u4", offset=10)
-        yield at, size + 16, None if null else doc_id, ids.astype("<u4")
+        null, width, doc_id = top(payload)
+        yield at, size + 16, None if null else doc_id, np.frombuffer(payload, "<u2" if width == 2 else "<u4", offset=10).astype("<u4")
         at += size + 17
 
 
@@ -102,23 +105,44 @@ class _Words:
             special = {x.content: i for i, x in added.items() if x.special}
             self.between, self.mark = next(iter(special.items()), ("", -1))
             self.heads = {x.content.encode()[:1] for x in added.values()}
-        kind, size = f"<u{self.width}", self.width
-        found: dict[bytes, bytes] = {}
-        plain = [w for w in words if self.between and not any(h in w for h in self.heads)]
-        for begin in range(0, len(plain), 500):
-            some = plain[begin : begin + 500]
-            ids = np.array(self.library.encode_batch_fast([self.between.join(w.decode(errors="replace") for w in some)], add_special_tokens=False)[0].ids, kind)
-            bounds = [0, *(np.flatnonzero(ids == self.mark) + 1).tolist(), len(ids) + 1]
-            assert len(bounds) == len(some) + 1
-            flat = ids.tobytes()
-            found.update((w, flat[a * size : (b - 1) * size]) for w, a, b in zip(some, bounds, bounds[1:]))
-        if len(found) < len(words):
-            rest = [w for w in words if w not in found]
-            for begin in range(0, len(rest), 500):
-                some = rest[begin : begin + 500]
-                for w, x in zip(some, self.library.encode_batch_fast([w.decode(errors="replace") for w in some], add_special_tokens=False)):
-                    found[w] = np.array(x.ids, kind).tobytes()
-        return [found[w] for w in words]
+            suffix = json.loads(self.tokenizer)["model"].get("end_of_word_suffix") if self.parts else None
+            self.ends = np.array([i for t, i in self.library.get_vocab(with_added_tokens=False).items() if suffix and t.endswith(suffix)], np.int64)
+            self.last = np.zeros(max([*self.library.get_vocab().values(), 0]) + 1, bool)
+            self.last[self.ends] = True
+        said = [w.decode(errors="replace") for w in words]
+        found: list[bytes | None] = [None] * len(words)
+        letters = [i for i, x in enumerate(said) if x.isalpha()] if len(self.ends) else []
+        self.joined(said, letters, found, " ")
+        rest = [i for i, x in enumerate(found) if x is None]
+        plain = [i for i in rest if self.between and not any(h in words[i] for h in self.heads)]
+        self.joined(said, plain, found, self.between)
+        rest = [i for i in rest if found[i] is None]
+        for begin in range(0, len(rest), JOINED):
+            some = rest[begin : begin + JOINED]
+            for i, x in zip(some, self.library.encode_batch_fast([said[i] for i in some], add_special_tokens=False)):
+                found[i] = np.array(x.ids, f"<u{self.width}").tobytes()
+        return found
+
+    def joined(self, said: list[str], which: list[int], found: list[bytes | None], between: str) -> None:
+        """Encodes some words as one text: a space between words of letters, which end in a token that ends a word, else a special token.
+
+        Words whose ids aren't told apart so are left for another way.
+        """
+        size = self.width
+        for begin in range(0, len(which), JOINED):
+            some = which[begin : begin + JOINED]
+            ids = np.array(self.library.encode_batch_fast([between.join([said[i] for i in some])], add_special_tokens=False)[0].ids, np.int64)
+            if between == " ":
+                ends = np.flatnonzero(self.last[ids]) + 1
+                starts = np.concatenate([[0], ends[:-1]])
+            else:
+                at = np.flatnonzero(ids == self.mark)
+                ends, starts = np.concatenate([at, [len(ids)]]), np.concatenate([[0], at + 1])
+            if len(ends) != len(some):
+                continue
+            flat = ids.astype(f"<u{size}").tobytes()
+            for i, a, b in zip(some, (starts * size).tolist(), (ends * size).tolist()):
+                found[i] = flat[a:b]
 
 
 def encoded(column: pa.Array, known: _Words) -> tuple[np.ndarray, np.ndarray]:
@@ -230,7 +254,17 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 def write_index(spark: SparkSession, path: str, index: str) -> DataFrame:
     """The offset index of the shards in path, written to index: where each record lies, its ids' number and CRC-32."""
-    read_records(spark, path).select("shard", "offset", "length", "doc_id", "first", "n_ids", F.crc32("ids").alias("ids_crc32")).write.parquet(index)
+    names = ["shard", "offset", "length", "doc_id", "first", "n_ids", "ids_crc32"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, content in zip(batch.column("shard").to_pylist(), batch.column("content")):
+                rows = [(offset, length, doc_id, len(ids), zlib.crc32(ids)) for offset, length, doc_id, ids in frames(memoryview(content.as_buffer()))]
+                offset, length, doc_id, n, crc = (pa.array(x, pa.int64()) for x in (zip(*rows) if rows else [()] * 5))
+                first = np.cumsum(n.to_numpy()) - n.to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(rows), pa.string()), offset, length, doc_id, pa.array(first, pa.int64()), n, crc], names=names)
+
+    _files(spark, path).mapInArrow(run, "shard string, offset long, length long, doc_id long, first long, n_ids long, ids_crc32 long").write.parquet(index)
     return spark.read.parquet(index)
 
 
