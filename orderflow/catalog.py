@@ -160,4 +160,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _QUERIES.items()}
+    return {name: sql for name, (_, sql) in _QUERIES.items() if sql}

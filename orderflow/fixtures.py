@@ -98,4 +98,6 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ctes(sql: str) -> str:
     """sql, with each view that it names as a table expression before it."""
     used = [f"{name} AS ({text})" for name, text in VIEWS.items() if name in sql]
+    if not used:
+        return sql
     return f"WITH {', '.join(used)}{', ' if sql.startswith('WITH ') else ' '}{sql.removeprefix('WITH ')}"

@@ -36,6 +36,12 @@ def lot_totals(items: DataFrame) -> DataFrame:
     return items.groupBy("lote").agg(F.count(F.lit(1)).alias("itens"), F.countDistinct("push").alias("pushes"), F.max("push").alias("ultimo_push"))
 
 
+def lot_success(files: DataFrame) -> DataFrame:
+    """lote, arquivos, itens, sucesso: files with items, order, company number and customer are a success (AGG-18)."""
+    ok = (F.col("itens") > 0) & (F.col("pedido") != "") & (F.col("cnpj") != "") & (F.col("matricula") != "")
+    return files.groupBy("lote").agg(F.count(F.lit(1)).alias("arquivos"), F.sum("itens").alias("itens"), F.sum(ok.cast("long")).alias("sucesso"))
+
+
 def next_push(history: DataFrame) -> DataFrame:
     """The number of the push to come (WIN-13)."""
     return history.agg((F.coalesce(F.max("push"), F.lit(0)) + 1).cast("long").alias("push"))
@@ -47,3 +53,41 @@ def lot_queue(items: DataFrame) -> DataFrame:
     many = x.filter("n > 1")
     kept = items.join(many.select("push", "pedido"), ["push", "pedido"], "left_anti").select("row_id", "pedido", F.lit("").alias("alerta"))
     return kept.unionByName(many.select(F.col("first").alias("row_id"), "pedido", F.concat(F.lit("PEDIDO_DUPLICADO | linhas="), F.col("n")).alias("alerta")))
+
+
+def gated_queue(items: DataFrame, issues: DataFrame, with_duplicates: bool = False, with_alerts: bool = False) -> DataFrame:
+    """row_id, pedido, alerta: rows of a lot, "" for those that enter the queue (FLT-16).
+
+    Repeated orders, orders with any issue and incomplete rows are left out, for the first of these reasons. items: row_id,
+    arquivo, pedido, matricula, sku, qtd; an order is repeated if it is in several files; issues: pedido.
+    """
+    many = items.groupBy("pedido").agg(F.countDistinct("arquivo").alias("n")).filter("n > 1").select("pedido", F.lit(True).alias("_many"))
+    alerted = issues.select("pedido").distinct().withColumn("_alert", F.lit(True))
+    x = items.join(many, "pedido", "left").join(alerted, "pedido", "left")
+    incomplete = (F.col("matricula") == "") | (F.col("sku") == "") | (F.col("pedido") == "") | (F.coalesce("qtd", F.lit(0)) <= 0)
+    why = F.when(F.lit(not with_duplicates) & F.col("_many"), "PEDIDO_DUPLICADO").when(F.lit(not with_alerts) & F.col("_alert"), "PEDIDO_COM_ALERTA").when(incomplete, "LINHA_INCOMPLETA").otherwise("")
+    return x.select("row_id", "pedido", why.alias("alerta"))
+
+
+def without_alerted(items: DataFrame, issues: DataFrame) -> DataFrame:
+    """items of orders without any issue (J-14, the anti side)."""
+    return items.join(issues.select("pedido").distinct(), "pedido", "left_anti")
+
+
+def issue_counts(issues: DataFrame) -> DataFrame:
+    """tipo, n, posicao: issues by kind, the commonest first (AGG-16). One row a kind is ranked."""
+    x = issues.groupBy("tipo").agg(F.count(F.lit(1)).alias("n"))
+    return x.withColumn("posicao", F.row_number().over(Window.orderBy(F.desc("n"), "tipo")).cast("long"))
+
+
+def duplicate_mirror(items: DataFrame) -> DataFrame:
+    """The rows of orders that are in several files, as they stand now (SET-09): writing them over the old mirror drops stale ones."""
+    many = items.groupBy("pedido").agg(F.countDistinct("arquivo").alias("n")).filter("n > 1").select("pedido")
+    return items.join(many, "pedido", "left_semi")
+
+
+def consolidated(files: DataFrame) -> DataFrame:
+    """layout_usado, arquivos, modo: LOTE for layouts of several files of which none is generic or doubtful, else ARQUIVO (SET-02)."""
+    doubtful = F.max((F.upper("layout_usado").contains("GENERIC") | (F.col("layout_usado") != F.col("layout_referencia"))).cast("int"))
+    x = files.groupBy("layout_usado").agg(F.countDistinct("arquivo").alias("arquivos"), doubtful.alias("d"))
+    return x.select("layout_usado", "arquivos", F.when((F.col("arquivos") > 1) & (F.col("d") == 0), "LOTE").otherwise("ARQUIVO").alias("modo"))

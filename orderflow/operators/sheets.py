@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import numbers as N
+from ..functions import scalars as S
+from ..functions import texts as X
+
 
 def matrix_items(cells: DataFrame, header: int = 1, article: int = 1, first: int = 3) -> DataFrame:
     """file, matricula, sku, qtd of a sheet with articles down and customers across (EX-07); only positive whole numbers count.
@@ -47,3 +51,118 @@ def items_by_position(words: DataFrame, bands: dict[str, tuple[float, float]]) -
     x = visual_lines(words).withColumn("_band", band(F.col("x0"), bands))
     of = lambda name: F.array_join(F.sort_array(F.collect_list(F.when(F.col("_band") == name, F.struct("x0", "text"))))["text"], " ")
     return x.groupBy("file", "page", "linha").agg(*[of(name).alias(name) for name in bands])
+
+
+def generic_cells(cells: DataFrame, headers: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """sheet, r and one column a field: the rows below each sheet's discovered header (EX-07). headers: as find_header gives them."""
+    roles = headers.select("sheet", F.col("r").alias("head"), F.explode("columns").alias("field", "c"))
+    x = cells.join(F.broadcast(roles), ["sheet", "c"]).filter(F.col("r") > F.col("head"))
+    of = lambda f: F.coalesce(F.max(F.when(F.col("field") == f, S.text(F.col("v")))), F.lit("")).alias(f)
+    return x.groupBy("sheet", "r").agg(*map(of, fields)).filter(F.concat(*fields) != "")
+
+
+def unpivot_sku_store(cells: DataFrame, label: str = "SKU") -> DataFrame:
+    """sheet, r, c, matricula, sku, qtd (text) of a sheet of articles by stores: customers are in the row above the first that names the label (EX-08).
+
+    Only positive quantities of columns with a customer number of six digits count.
+    """
+    head = cells.filter(F.upper(S.text(F.col("v"))) == label).groupBy("sheet").agg(F.min(F.struct("r", "c")).alias("at")).select("sheet", F.col("at.r").alias("hr"), F.col("at.c").alias("hc"))
+    x = cells.join(F.broadcast(head), "sheet")
+    stores = x.filter((F.col("r") == F.col("hr") - 1) & (F.col("c") != F.col("hc"))).select("sheet", "c", S.digits(F.col("v")).alias("matricula")).filter("length(matricula) >= 6")
+    articles = x.filter((F.col("c") == F.col("hc")) & (F.col("r") > F.col("hr"))).select("sheet", "r", S.sku(F.col("v")).alias("sku")).filter("sku <> ''")
+    body = x.filter((F.col("r") > F.col("hr")) & (F.col("c") != F.col("hc"))).select("sheet", "r", "c", N.positive_text(F.col("v"), "groups").alias("qtd")).filter("qtd <> ''")
+    return body.join(stores, ["sheet", "c"]).join(articles, ["sheet", "r"]).select("sheet", "r", "c", "matricula", "sku", "qtd")
+
+
+def unpivot_store_sku(cells: DataFrame, store_column: int = 2, least: int = 3) -> DataFrame:
+    """sheet, r, c, matricula, sku, qtd of a sheet of stores by articles: the header is the first row with three codes of five digits (EX-09)."""
+    coded = cells.withColumn("code", F.regexp_extract("v", "[0-9]{5,}", 0))
+    head = coded.filter("code <> ''").groupBy("sheet", "r").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).groupBy("sheet").agg(F.min("r").alias("hr"))
+    x = coded.join(F.broadcast(head), "sheet")
+    articles = x.filter((F.col("r") == F.col("hr")) & (F.col("code") != "")).select("sheet", "c", F.col("code").alias("sku"))
+    stores = x.filter((F.col("c") == store_column) & (F.col("r") > F.col("hr"))).select("sheet", "r", S.digits(F.col("v")).alias("matricula")).filter("matricula <> ''")
+    body = x.filter((F.col("r") > F.col("hr")) & (F.col("c") != store_column)).select("sheet", "r", "c", N.positive_text(F.col("v"), "groups").alias("qtd")).filter("qtd <> ''")
+    return body.join(articles, ["sheet", "c"]).join(stores, ["sheet", "r"]).select("sheet", "r", "c", "matricula", "sku", "qtd")
+
+
+def unpivot_divisor(cells: DataFrame, header: int, sku_column: int, divisor: str = "DIVISOR", stops: tuple[str, ...] = ("TOTAL",)) -> DataFrame:
+    """sheet, r, c, loja, nome, sku, qtd: stores are the columns after the divisor and before the first stop header; names are above the header (EX-10)."""
+    folded = cells.filter(F.col("r") == header).withColumn("t", S.folded(F.col("v")))
+    stop = F.lit(False)
+    for word in stops:
+        stop = stop | F.col("t").contains(word)
+    first = F.max(F.when(F.col("t") == divisor, F.col("c")))
+    bounds = folded.groupBy("sheet").agg(first.alias("first"), F.min(F.when(stop, F.col("c"))).alias("stop"))
+    heads = folded.join(F.broadcast(bounds), "sheet").filter((F.col("c") > F.col("first")) & (F.col("stop").isNull() | (F.col("c") < F.col("stop"))) & (F.col("t") != ""))
+    names = cells.filter(F.col("r") == header - 1).select("sheet", "c", S.text(F.col("v")).alias("nome"))
+    stores = heads.select("sheet", "c", S.text(F.col("v")).alias("loja")).join(names, ["sheet", "c"], "left").withColumn("nome", F.coalesce("nome", F.lit("")))
+    articles = cells.filter((F.col("c") == sku_column) & (F.col("r") > header)).select("sheet", "r", S.digits(F.col("v")).alias("sku")).filter("sku <> ''")
+    body = cells.filter(F.col("r") > header).select("sheet", "r", "c", N.positive_text(F.col("v"), "either").alias("qtd")).filter("qtd <> ''")
+    return body.join(F.broadcast(stores), ["sheet", "c"]).join(articles, ["sheet", "r"]).select("sheet", "r", "c", "loja", "nome", "sku", "qtd")
+
+
+def unpivot_store_block(cells: DataFrame, header: int, stores: DataFrame, maps: DataFrame) -> DataFrame:
+    """sheet, r, c, loja, cnpj_loja, sku, qtd: store codes head the columns, their block gives company numbers, bar codes in column 1 become articles (EX-11)."""
+    from . import customers
+
+    heads = cells.filter((F.col("r") == header) & (F.col("c") > 1)).select("sheet", "c", S.text(F.col("v")).alias("loja")).filter("loja <> ''")
+    codes = cells.filter((F.col("c") == 1) & (F.col("r") > header)).select("sheet", "r", S.digits(F.col("v")).alias("ean")).filter("ean <> ''")
+    body = cells.filter((F.col("r") > header) & (F.col("c") > 1)).select("sheet", "r", "c", N.positive_text(F.col("v"), "comma").alias("qtd")).filter("qtd <> ''")
+    x = body.join(heads, ["sheet", "c"]).join(codes, ["sheet", "r"])
+    x = customers.attach_store(x, stores)
+    one = maps.groupBy("ean").agg(F.min_by("sku", "row_id").alias("sku"))
+    return x.join(one, "ean", "left").select("sheet", "r", "c", "loja", "cnpj_loja", F.coalesce("sku", "ean").alias("sku"), "qtd")
+
+
+def extract_blocks(cells: DataFrame, store: int, sku: int, qty: int, header: Column, total: Column) -> DataFrame:
+    """sheet, r, loja, sku, qtd of a sheet whose header repeats (EX-12): headers and totals are skipped, a blank store is that of the line above (WIN-02)."""
+    of = lambda c: F.coalesce(F.max(F.when(F.col("c") == c, S.text(F.col("v")))), F.lit(""))
+    said = F.upper(F.concat_ws(" ", F.sort_array(F.collect_list(F.struct("c", "v")))["v"]))
+    rows = cells.groupBy("sheet", "r").agg(of(store).alias("loja"), of(sku).alias("sku"), of(qty).alias("qtd"), said.alias("texto"))
+    x = rows.filter(~header & ~total).withColumns({"loja": S.digits(F.col("loja")), "sku": S.digits(F.col("sku")), "qtd": N.positive_text(F.col("qtd"), "groups")})
+    return inherited_store(x).filter("loja <> '' AND sku <> '' AND qtd <> ''").select("sheet", "r", "loja", "sku", "qtd")
+
+
+def inherited_store(rows: DataFrame) -> DataFrame:
+    """rows with loja of the last line that has one, where it is blank and the line has an article or a quantity (WIN-02)."""
+    above = Window.partitionBy("sheet").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.nullif(F.col("loja"), F.lit("")), ignorenulls=True).over(above)
+    return rows.withColumn("loja", F.when((F.col("loja") == "") & (F.concat("sku", "qtd") != ""), F.coalesce(last, F.lit(""))).otherwise(F.col("loja")))
+
+
+def order_column(cells: DataFrame, header: DataFrame, ahead: int = 19, least: int = 2) -> DataFrame:
+    """sheet, pedido_col: the column after the quantity, if two of the next 19 rows have a number of four digits there, else null (WIN-15). header: sheet, r, qtd_col."""
+    h = header.select("sheet", F.col("r").alias("head"), (F.col("qtd_col") + 1).alias("c"))
+    hits = cells.join(F.broadcast(h), ["sheet", "c"]).filter(F.col("r").between(F.col("head") + 1, F.col("head") + ahead) & (F.length(S.digits(F.col("v"))) >= 4))
+    n = hits.groupBy("sheet").agg(F.count(F.lit(1)).alias("n"))
+    return h.join(n, "sheet", "left").select("sheet", F.when(F.col("n") >= least, F.col("c")).alias("pedido_col"))
+
+
+def extract_form(cells: DataFrame, labels: dict[str, str], grid: dict[str, int], first: int) -> DataFrame:
+    """sheet, the labelled values, and each line of an order form's grid, with packs and status (EX-13).
+
+    labels: name of a value and the label to its left; grid: columns of sku, fardo, unidades and por_fardo. Packs that
+    are missing are units by units per pack, with an alert (NUM-10).
+    """
+    from ..sources import tables
+
+    of = lambda name: F.coalesce(F.max(F.when(F.col("c") == grid[name], S.text(F.col("v")))), F.lit("")).alias(name)
+    x = cells.filter(F.col("r") >= first).groupBy("sheet", "r").agg(*map(of, grid)).filter("sku <> ''")
+    fardo, packs = N.loose_number(F.col("fardo")), N.packs(N.loose_number(F.col("fardo")), N.loose_number(F.col("unidades")), N.loose_number(F.col("por_fardo")))
+    alert = F.when(fardo.isNotNull(), "").when(packs.isNotNull(), "QTD_CALCULADA_POR_UNIDADES").otherwise("QTD_FARDO_AUSENTE")
+    x = x.select("sheet", "r", S.digits(F.col("sku")).alias("sku"), N.said(packs).alias("qtd"), alert.alias("alerta"))
+    for name, label in labels.items():
+        x = x.join(F.broadcast(tables.value_beside(cells, label).withColumnRenamed("v", name)), "sheet", "left").withColumn(name, F.coalesce(name, F.lit("")))
+    return x
+
+
+def reconcile_row(cells: DataFrame, header: int, total: int) -> DataFrame:
+    """sheet, r, soma, total, confere: quantities of a row's stores against its total column (AGG-04)."""
+    x = cells.filter((F.col("r") > header) & (F.col("c") > 1)).withColumn("n", N.read(F.col("v"), "groups"))
+    x = x.groupBy("sheet", "r").agg(F.coalesce(F.sum(F.when(F.col("c") != total, F.col("n"))), F.lit(0)).alias("soma"), F.max(F.when(F.col("c") == total, F.col("n"))).alias("total"))
+    return x.select("sheet", "r", F.col("soma").cast("long").alias("soma"), F.col("total").cast("long").alias("total"), F.coalesce(F.col("soma") == F.col("total"), F.lit(False)).alias("confere"))
+
+
+def store_major(items: DataFrame) -> DataFrame:
+    """items with n: their place store by store, then down the sheet (SRT-05)."""
+    return items.withColumn("n", F.row_number().over(Window.partitionBy("sheet").orderBy("c", "r")).cast("long"))
