@@ -1,14 +1,15 @@
 """Mixing sources to target weights by entropy balancing.
 
-Among all document rates whose words add up to each source's target, those closest to 1 in relative entropy (weighed
-by words) are exponentials exp(l_s) of one dual variable for each source. The dual is convex and separable; Newton
-steps on it run over the table of sources, whose word sums are all it needs of the documents. Rates are rounded to
-whole copies systematically: along each source, in order of size, copies follow the running sum of the rates, so that
-the words taken stay within about one document of the target.
+Among all document rates whose words add up to each source's target, none above a limit, those closest to 1 in relative
+entropy are exponentials exp(l_s * size), one dual variable for each source. The dual is convex; Newton steps on it
+take their gradient and curvature from one aggregation over all documents each. Rates are rounded to whole copies
+systematically: along each source, in order of size, copies follow the running sum of the rates, so that the words
+taken stay within half the longest document of the target; a few single copies then close most of that.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,18 +44,46 @@ def targets(sources: DataFrame, weights: tuple[float, ...], budget: float = 1.0,
     return x.withColumn("level", first_free).select("source", "source_size", F.when(F.col("free"), F.col("level") * F.col("weight")).otherwise(F.col("cap")).alias("target"))
 
 
-def balanced(sources: DataFrame) -> DataFrame:
-    """sources (source, source_size, target) with rate: Newton on the dual until each source's words fit to 1e-9."""
-    x = sources.withColumn("dual", F.lit(0.0))
-    for step in range(STEPS):
-        words = F.col("source_size") * F.exp("dual")
-        gap = words - F.col("target")
-        if step % 8 == 7:
-            x = cut(x)
-            if not x.filter(F.abs(gap) > 1e-9 * F.col("target") + 1e-300).limit(1).count():
-                break
-        x = x.withColumn("dual", F.when((F.col("source_size") > 0) & (F.col("target") > 0), F.col("dual") - gap / words).otherwise(F.lit(0.0)))
-    return x.select("source", "source_size", "target", F.when(F.col("target") > 0, F.exp("dual")).otherwise(F.lit(0.0)).alias("rate"))
+def balanced(sizes: DataFrame, sources: DataFrame, most: float = MOST) -> DataFrame:
+    """source, size, rate, before (documents of the source of smaller size), sum_before (of their rates).
+
+    Minimises the relative entropy of document rates to 1, none above most, under each source's target of words: the
+    solution is exp(l * size) of one dual variable a source, cut at most. Each step of Newton's method on the dual is one
+    aggregation over all documents, which are first counted by source and size, for equal sizes have equal rates. A step
+    that leaves what is known of the solution's place is replaced by halving it. Sums are of decimals, so that reruns agree.
+    """
+    counted = cut(sizes.filter("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
+    scale = F.col("source_size") / F.col("documents")
+    x = sources.join(counted.groupBy(F.col("source").alias("s")).agg(F.sum("n").alias("documents")), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    x = x.withColumn("scale", F.coalesce(scale, F.lit(1.0)))
+    full = F.col("target") >= F.lit(most * (1 - 1e-12)) * F.col("source_size")
+    x = cut(x.withColumns({"full": full, "dual": F.lit(0.0), "low": F.lit(None).cast("double"), "high": F.lit(None).cast("double"), "gap": F.lit(None).cast("double")}))
+    exact = lambda c: F.coalesce(F.sum(c.cast("decimal(38,9)")).cast("double"), F.lit(0.0))
+    for _ in range(STEPS):
+        known = x.filter("NOT full").select(F.col("source").alias("s"), "scale", "dual")
+        y = counted.join(known, F.col("source").eqNullSafe(F.col("s")))
+        tilt = F.col("dual") * F.col("size") / F.col("scale")
+        words = F.col("n") * F.col("size") * F.least(F.exp(F.least(tilt, F.lit(math.log(most)))), F.lit(most))
+        slope = F.when(tilt < math.log(most), words * F.col("size") / F.col("scale")).otherwise(0.0)
+        sums = y.groupBy("s").agg(exact(words).alias("words"), exact(slope).alias("slope"))
+        z = x.join(sums, F.col("source").eqNullSafe(F.col("s")), "left")
+        gap = F.coalesce(F.col("words"), F.col("target")) - F.col("target")
+        low, high = F.when(gap <= 0, F.col("dual")).otherwise(F.col("low")), F.when(gap >= 0, F.col("dual")).otherwise(F.col("high"))
+        z = z.withColumns({"gap": gap, "low": low, "high": high})
+        newton = F.when(F.col("slope") > 0, F.col("dual") - F.col("gap") / F.col("slope"))
+        inside = (F.col("low").isNull() | (newton > F.col("low"))) & (F.col("high").isNull() | (newton < F.col("high")))
+        half = F.when(F.col("low").isNull(), F.least(2 * F.col("high"), F.col("high") - 1)).when(F.col("high").isNull(), F.greatest(2 * F.col("low"), F.col("low") + 1)).otherwise((F.col("low") + F.col("high")) / 2)
+        done = F.abs("gap") <= 1e-9 * F.col("target") + 1e-6
+        following = F.when(done | F.col("full"), F.col("dual")).otherwise(F.when(F.coalesce(inside, F.lit(False)), newton).otherwise(half))
+        x = cut(z.withColumn("dual", following).drop("s", "words", "slope"))
+        if not x.filter(~F.col("full") & (F.abs("gap") > 1e-9 * F.col("target") + 1e-6)).limit(1).count():
+            break
+    y = counted.join(x.select(F.col("source").alias("s"), "scale", "dual", "full", "target"), F.col("source").eqNullSafe(F.col("s")))
+    rate = F.when(F.col("target") <= 0, 0.0).when(F.col("full"), most).otherwise(F.least(F.exp(F.least(F.col("dual") * F.col("size") / F.col("scale"), F.lit(math.log(most)))), F.lit(most)))
+    y = y.select("source", "size", "n", rate.alias("rate"))
+    earlier = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    before, sum_before = F.coalesce(F.sum("n").over(earlier), F.lit(0)), F.coalesce(F.sum((F.col("n") * F.col("rate")).cast("decimal(38,12)")).over(earlier).cast("double"), F.lit(0.0))
+    return y.select("source", "size", "rate", before.alias("before"), sum_before.alias("sum_before"))
 
 
 def ranked(sizes: DataFrame) -> DataFrame:
@@ -114,12 +143,17 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...], budget: float = 1.0
     gives no rows.
     """
     sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    placed = cut(ranked(sizes))
-    sources = placed.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rates = balanced(cut(targets(sources, weights, budget, most)))
-    x = placed.join(rates.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    through = F.floor(F.col("rate") * F.col("place") + 0.5) - F.floor(F.col("rate") * (F.col("place") - 1) + 0.5)
-    x = x.withColumn("least", F.floor("rate")).withColumn("extra", F.when((F.col("size") > 0) & (F.col("rate") > F.col("least")), F.least(F.lit(1), through - F.col("least"))).otherwise(F.lit(0)).cast("int"))
-    x = evened(cut(x), int(most))
-    copies = F.when(F.col("size") > 0, F.col("least") + F.col("extra")).otherwise(F.lit(0)).cast("long")
-    return x.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    sizes = cut(sizes)
+    some = cut(ranked(sizes.filter("size > 0")))
+    sources = cut(targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, most))
+    rates = cut(balanced(sizes, sources, most)).withColumnsRenamed({"source": "s", "size": "z"})
+    told = sources.select(F.col("source").alias("t"), "source_size", "target")
+    x = some.join(rates, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).drop("s", "z")
+    upto = lambda places: F.floor(F.col("sum_before") + places * F.col("rate") + 0.5)
+    through = upto(F.col("place") - F.col("before")) - upto(F.col("place") - F.col("before") - 1)
+    x = x.withColumn("least", F.floor("rate")).withColumn("extra", F.when(F.col("rate") > F.col("least"), F.least(F.lit(1), F.greatest(F.lit(0), through - F.col("least")))).otherwise(F.lit(0)).cast("int"))
+    x = cut(x.join(told, F.col("source").eqNullSafe(F.col("t"))).drop("t", "before", "sum_before"))
+    x = evened(x, int(most)).select("doc_id", "source", "size", "source_size", "target", "rate", (F.col("least") + F.col("extra")).cast("long").alias("copies"))
+    none = sizes.filter("size = 0").join(told, F.col("source").eqNullSafe(F.col("t")))
+    x = x.unionByName(none.select("doc_id", "source", "size", "source_size", "target", F.lit(0.0).alias("rate"), F.lit(0).cast("long").alias("copies")))
+    return x.withColumn("taken", F.col("copies") * F.col("size"))

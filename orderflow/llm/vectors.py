@@ -32,19 +32,19 @@ def matrix(column: pa.Array | pa.ChunkedArray, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
 
-def packed(vectors: DataFrame, block: Column, d: int) -> DataFrame:
-    """block, n, ids, data: the vectors of a block as bytes (int64 ids, double components), in ascending order of id."""
+def packed(vectors: DataFrame, block: Column, d: int, kind: type = np.float64) -> DataFrame:
+    """block, n, ids, data: the vectors of a block as bytes (int64 ids, components of that kind), in ascending order of id."""
 
     def run(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("vec_id").to_numpy(), kind="stable")
         ids, data = table.column("vec_id").to_numpy()[order], matrix(table.column("embedding"), d)[order]
-        return pa.table({"block": table.column("block")[:1], "n": pa.array([len(ids)], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "data": pa.array([np.ascontiguousarray(data).tobytes()], pa.binary())})
+        return pa.table({"block": table.column("block")[:1], "n": pa.array([len(ids)], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "data": pa.array([np.ascontiguousarray(data, kind).tobytes()], pa.binary())})
 
     return vectors.withColumn("block", block.cast("long")).groupBy("block").applyInArrow(run, "block long, n int, ids binary, data binary")
 
 
-def unpack(ids: bytes, data: bytes, d: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, np.int64), np.frombuffer(data, np.float64).reshape(-1, d)
+def unpack(ids: bytes, data: bytes, d: int, kind: type = np.float64) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(ids, np.int64), np.frombuffer(data, kind).reshape(-1, d)
 
 
 def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:

@@ -258,3 +258,78 @@ def test_rare_pairs_hold_all_links(spark):
     members = docs.selectExpr("doc_id AS node", "doc_id AS component")
     pairs = {(r.a, r.b) for r in minhash.rare_pairs(members, minhash.pressed(docs)).collect()}
     assert want and want <= pairs
+
+
+def test_bound_stops_where_few_dimensions_decide():
+    rng = np.random.default_rng(8)
+    data = np.floor(256 * rng.normal(0, 1, (4000, 12)) * np.array([40, 9] + [0.3] * 10))
+    lists = topk.SortedLists(np.arange(4000), data)
+    for i in range(40):
+        score = data @ data[i]
+        score[i] = -np.inf
+        want = np.lexsort((np.arange(4000), -score))[:5]
+        assert lists.top(data[i], 5, i)[0].tolist() == want.tolist()
+        kth = int(score[want[-1]])
+        assert lists.top(data[i], 5, i, kth)[0].tolist() == want.tolist() and len(lists.top(data[i], 5, i, 10**15)[0]) == 0
+    assert lists.scored < 0.5 * 40 * 3 * 4000
+
+
+def test_products_over_many_blocks_and_beyond_doubles(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ROWS", 40)
+    monkeypatch.setattr(topk, "QUERIES", 7)
+    rng = np.random.default_rng(9)
+    for scale in (50, 3 * 10**8):
+        data = rng.integers(-scale, scale, (300, 6))
+        data[10:30] = data[10]
+        frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<long>")
+        got = topk.nearest_by_product(frame, frame.filter("vec_id % 10 = 0"), 5).collect()
+        found = {}
+        for r in sorted(got, key=lambda r: r["rank"]):
+            found.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        for q in range(0, 300, 10):
+            score = [(-sum(int(a) * int(b) for a, b in zip(data[q], data[i])), i) for i in range(300) if i != q]
+            assert found[q] == [(i, -s) for s, i in sorted(score)[:5]]
+    huge = spark.createDataFrame([(i, [1 << 40, 1]) for i in (0, 50)], "vec_id long, embedding array<long>")
+    with pytest.raises(ArithmeticError):
+        topk.nearest_by_product(huge, huge, 5)
+
+
+def test_mix_meets_targets_with_tilted_rates(spark):
+    """Targets by reshared weights, rates by bisection on the dual, bounds, nearness and reruns."""
+    import math
+
+    from orderflow.llm import mixing
+
+    rng = random.Random(4)
+    rows = [(i, " ".join(["w"] * (rng.choice((1, 3, 10, 40, 200)) + rng.randrange(5))), rng.choice("aaaaaabbcdd"), "x") for i in range(3000)] + [(9000 + i, "w " * 30, s, "x") for i, s in enumerate((None, None, "e"))] + [(9100, None, "a", "x"), (9101, "", "f", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, rate string")
+    out = mixing.mix_sources(docs, (5.0, 2.0, 1.0)).collect()
+    again = mixing.mix_sources(docs.repartition(5), (5.0, 2.0, 1.0)).collect()
+    assert sorted((r.doc_id, r.taken) for r in out) == sorted((r.doc_id, r.taken) for r in again) and len(out) == len(rows)
+    sizes = {}
+    for r in rows:
+        sizes.setdefault(r[2], []).append(len((r[1] or "").split()))
+    names = sorted((s for s in sizes if s is not None)) + [None]
+    weight = dict(zip(names, [5.0, 2.0, 1.0] * 3))
+    left, free, target = float(sum(map(sum, sizes.values()))), set(names), {}
+    while True:
+        over = [s for s in free if left * weight[s] / sum(weight[t] for t in free) > 3 * sum(sizes[s])]
+        if not over:
+            break
+        for s in over:
+            target[s] = 3.0 * sum(sizes[s])
+            free.remove(s)
+        left = sum(map(sum, sizes.values())) - sum(target.values())
+    target |= {s: left * weight[s] / sum(weight[t] for t in free) for s in free}
+    for s in names:
+        mine = [r for r in out if r.source == s]
+        assert all(abs(r.target - target[s]) <= 1e-9 * max(target[s], 1) and r.source_size == sum(sizes[s]) and 0 <= r.taken <= 3 * r.size for r in mine)
+        assert abs(sum(r.taken for r in mine) - target[s]) <= 0.5 * max(sizes[s])
+        low, high = -50.0, 50.0
+        for _ in range(200):
+            half = (low + high) / 2
+            words = sum(z * min(3.0, math.exp(min(half * z, 2))) for z in sizes[s])
+            low, high = (half, high) if words < target[s] else (low, half)
+        if 0 < target[s] < 3 * sum(sizes[s]):
+            assert all(abs(r.rate - min(3.0, math.exp(min(low * r.size, 2)))) < 1e-5 for r in mine if r.size)
+            assert all(r.copies in (math.floor(r.rate), math.floor(r.rate) + 1) for r in mine if r.size)
