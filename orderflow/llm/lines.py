@@ -8,7 +8,11 @@ Lines that meet at a key are verified by a banded bit-parallel edit distance.
 Where many lines meet at one key, they are not paired as they are. Each is keyed anew by the parity of its bigrams,
 in parts to which bigrams are hashed: one edit changes four bigrams at most, so of 4 * threshold + 1 parts one at least
 is equal in both lines. Of those that agree in a part only lines are paired whose parities differ in 4 * threshold bits
-at most.
+at most. Lines of one template agree in most parts, so large groups are split into blocks, and two blocks at a time
+are compared, each pair of them in a task of its own.
+
+How many edits link two lines grows with the shorter one: none below 16 characters, one below 32, then two. Where
+few characters leave few other lines, an edit tells words apart, not copies.
 """
 
 from __future__ import annotations
@@ -24,8 +28,9 @@ from .shared import cut, shuffle_partitions
 from .neighbours import whole_groups
 from .text import digest, mix, prefix_sums, slices, sums_between
 
-EDITS = 2
-NEAR_CHARS = 32
+#: Lines of so many characters or more are linked by one edit, and by two.
+NEAR_CHARS = (16, 32)
+BLOCK = 1000
 SLICE_BYTES = 1 << 19
 MANY = 8
 
@@ -71,6 +76,11 @@ def within(a: str, b: str, k: int) -> bool:
     return score <= k
 
 
+def allowed(chars: int, near: tuple[int, ...] = NEAR_CHARS) -> int:
+    """Edits that may part a line of so many characters from one as long or longer."""
+    return sum(chars >= n for n in near)
+
+
 def _common(a: str, b: str, n: int) -> int:
     """Length of the common beginning, at most n."""
     low, high = 0, n
@@ -94,31 +104,38 @@ def segments(length: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def line_keys(symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, k: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, the line each is of, and whether it is a probe, for lines of least characters or more."""
+def line_keys(symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, k: int, least: int, below: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, the line each is of, and whether it is a probe, for pairs whose shorter line has least characters or more, and less than below."""
     keys, lines, probes = [], [], []
     sums = prefix_sums(symbols)
+    below = int(lengths.max(initial=0)) + 1 if below is None else below
 
     def add(ok: np.ndarray, at: np.ndarray, size: np.ndarray, of: np.ndarray, i: int, probe: bool) -> None:
         some = np.flatnonzero(ok)
         begin = (starts + at)[some]
-        salt = of[some].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i + 1)
+        salt = of[some].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i + 1 + 16 * k)
         keys.append(mix(sums_between(sums, begin, begin + size[some]) ^ mix(salt)))
         lines.append(some)
         probes.append(np.full(len(some), probe))
 
-    long = lengths >= least
+    own = (lengths >= least) & (lengths < below)
     for i, (at, size) in enumerate(segments(lengths, k)):
-        add(long, at, size, lengths, i, False)
+        add(own, at, size, lengths, i, False)
     for less in range(k + 1):
         of = lengths - less
-        ok = of >= least
+        ok = (of >= least) & (of < below)
         for i, (at, size) in enumerate(segments(np.maximum(of, 0), k)):
             for shift in range(max(-i, less - (k - i)), min(i, less + (k - i)) + 1):
                 add(ok & (at + shift >= 0) & (at + shift + size <= lengths), at + shift, size, of, i, True)
     return np.concatenate(keys), np.concatenate(lines), np.concatenate(probes)
 
 
+def near_keys(symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, near: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of line_keys for each number of edits with the lengths that it holds for."""
+    found = [line_keys(symbols, starts, lengths, k, least, below) for k, least, below in zip(range(1, len(near) + 1), near, (*near[1:], None))]
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 class Lines:
     """Lines of a batch: texts split at line feeds. Blank ones (of white space only) take no part."""
 
@@ -161,17 +178,17 @@ def occurrences(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "first long, second long, doc_id long, mark long, line int, chars int, begin int, end int")
 
 
-def meetings(texts: DataFrame, k: int, least: int, parts: int) -> DataFrame:
+def meetings(texts: DataFrame, near: tuple[int, ...], parts: int) -> DataFrame:
     """key, a, b: fingerprints of lines that meet at a key, a the indexed one. Where many meet, b is null."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE_BYTES):
             x = Lines(batch.column("text").to_pylist())
             _, once = np.unique(x.first, return_index=True)
-            once = once[(x.ends - x.starts)[once] >= least]
+            once = once[(x.ends - x.starts)[once] >= near[0]]
             if not len(once):
                 continue
-            keys, lines, probe = line_keys(x.symbols, x.starts[once], (x.ends - x.starts)[once], k, least)
+            keys, lines, probe = near_keys(x.symbols, x.starts[once], (x.ends - x.starts)[once], near)
             names = x.first[once][lines]
             part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(part, kind="stable")
@@ -257,9 +274,10 @@ def bigram_parts(line: str, parts: int) -> list[int]:
     return [int(x) for x in (bits & 1) @ (np.int64(1) << np.arange(64, dtype=np.int64).clip(max=62))]
 
 
-def near_lines(texts: DataFrame, firsts: DataFrame, k: int, least: int) -> DataFrame:
-    """a, a2, b, b2: fingerprints of each two different lines that k edits part, each pair once in either direction."""
-    met = cut(meetings(texts, k, least, 4 * shuffle_partitions(texts.sparkSession)).distinct())
+def near_lines(texts: DataFrame, firsts: DataFrame, near: tuple[int, ...], block: int) -> DataFrame:
+    """a, a2, b, b2: digests of each two different lines that the allowed edits part, each pair once in either direction."""
+    k = len(near)
+    met = cut(meetings(texts, near, 4 * shuffle_partitions(texts.sparkSession)).distinct())
     names = met.select(F.col("a").alias("name")).unionByName(met.filter("b IS NOT NULL").select(F.col("b").alias("name"))).distinct()
     wanted = firsts.join(names, firsts["first"] == names["name"]).select("name", "second", "at.doc_id", "at.mark", "at.line")
     lines = cut(fetch(texts, wanted))
@@ -271,26 +289,35 @@ def near_lines(texts: DataFrame, firsts: DataFrame, k: int, least: int) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("name"), pa.array(values, pa.list_(pa.int64()))], names=["key", "name", "parts"])
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "key", 2000):
-            keys, name = table.column("key").to_numpy(), table.column("name").to_numpy()
-            parity = table.column("parts").combine_chunks().flatten().to_numpy().reshape(len(keys), parts).view(np.uint64)
-            bounds = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+        for table in whole_groups(batches, "cell", 2 * block):
+            cells, name, side = (table.column(c).to_numpy() for c in ("cell", "name", "side"))
+            parity = table.column("parts").combine_chunks().flatten().to_numpy().reshape(len(cells), parts).view(np.uint64)
+            bounds = np.concatenate([[0], np.flatnonzero(cells[1:] != cells[:-1]) + 1, [len(cells)]])
             for a, b in zip(bounds[:-1], bounds[1:]):
-                for i in range(a, b - 1):
-                    flips = np.bitwise_count(parity[i + 1 : b] ^ parity[i]).sum(1)
-                    near = np.flatnonzero(flips <= 4 * k) + i + 1
-                    if len(near):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(name[near], name[i])), pa.array(np.maximum(name[near], name[i]))], names=["a", "b"])
+                left, right = np.flatnonzero(side[a:b] <= 0) + a, np.flatnonzero(side[a:b] >= 0) + a
+                for i in left:
+                    others = right[name[right] > name[i]] if side[i] == 0 else right
+                    flips = np.bitwise_count(parity[others] ^ parity[i]).sum(1)
+                    found = others[flips <= 4 * k]
+                    if len(found):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(name[found], name[i])), pa.array(np.maximum(name[found], name[i]))], names=["a", "b"])
 
     many = met.filter("b IS NULL").select("key", F.col("a").alias("name")).join(lines, "name").select("key", "name", "line")
     many = many.mapInArrow(again, "key long, name long, parts array<long>")
-    many = many.select("name", "parts", "key", F.posexplode("parts").alias("part", "value")).select(F.xxhash64("key", "part", "value").alias("key"), "name", "parts").distinct()
-    pairs = many.repartition("key").sortWithinPartitions("key").mapInArrow(alike, "a long, b long").filter("a < b")
+    many = cut(many.select("name", "parts", "key", F.posexplode("parts").alias("part", "value")).select(F.xxhash64("key", "part", "value").alias("key"), "name", "parts").distinct())
+    sizes = many.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # A line of block i goes to the cells (i, j) of all blocks j; side: -1 or 1 in the lesser or greater of two blocks, 0 in one.
+    blocks = F.ceil(F.col("n") / block)
+    dealt = many.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("name", F.lit(5)), blocks))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    cell = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    dealt = dealt.select(cell.alias("cell"), "name", F.signum(F.col("own") - F.col("other")).cast("int").alias("side"), "parts")
+    pairs = dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(alike, "a long, b long").filter("a < b")
     pairs = pairs.unionByName(met.filter("b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = pa.array([x != y and within(x, y, k) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())], pa.bool_())
+            ok = pa.array([x != y and within(x, y, allowed(min(len(x), len(y)), near)) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())], pa.bool_())
             yield batch.select(["a", "a2", "b", "b2"]).filter(ok)
 
     left = lines.select(F.col("name").alias("a"), F.col("second").alias("a2"), F.col("line").alias("x"))
@@ -300,22 +327,22 @@ def near_lines(texts: DataFrame, firsts: DataFrame, k: int, least: int) -> DataF
     return found.unionByName(found.select(F.col("b").alias("a"), F.col("b2").alias("a2"), F.col("a").alias("b"), F.col("a2").alias("b2")))
 
 
-def dedup_lines(docs: DataFrame, k: int = EDITS, least: int = NEAR_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, near: tuple[int, ...] = NEAR_CHARS, block: int = BLOCK) -> DataFrame:
     """doc_id, mark, n_links, removed (line from 0, begin, end in bytes) for documents that lose lines or have links.
 
-    Lines are ordered by (doc_id, null last; position). A line goes if an equal line comes earlier, or if a line that k
-    edits part from it, both of least characters or more, comes first earlier than it does; such a line goes whether or
-    not the earlier one stays. Blank lines stay and link nothing. n_links: to how many other lines, each text counted
+    Lines are ordered by (doc_id, null last; position). A line goes if an equal line comes earlier, or if a line that the
+    allowed edits part from it comes first earlier than it does (near: from how many characters of the shorter line on one
+    edit is allowed, two, ...); such a line goes whether or not the earlier one stays. Blank lines stay and link nothing. n_links: to how many other lines, each text counted
     once, the document's lines are linked by edits. Null texts have no lines; an empty table gives no rows.
     """
     texts = marked(docs)
     lines = cut(occurrences(texts))
     at = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark", "line")
     firsts = cut(lines.groupBy("first", "second").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("n"), F.max("chars").alias("chars")))
-    links = near_lines(texts, firsts.filter(F.col("chars") >= least), k, least)
+    links = near_lines(texts, firsts.filter(F.col("chars") >= near[0]), near, block)
     of = firsts.select(F.col("first").alias("b"), F.col("second").alias("b2"), F.col("at").alias("near"))
-    near = links.join(of, ["b", "b2"]).groupBy(F.col("a").alias("first"), F.col("a2").alias("second")).agg(F.min("near").alias("near"), F.count(F.lit(1)).alias("links"))
-    told = firsts.join(near, ["first", "second"], "left").filter("n > 1 OR links IS NOT NULL")
+    nearest = links.join(of, ["b", "b2"]).groupBy(F.col("a").alias("first"), F.col("a2").alias("second")).agg(F.min("near").alias("near"), F.count(F.lit(1)).alias("links"))
+    told = firsts.join(nearest, ["first", "second"], "left").filter("n > 1 OR links IS NOT NULL")
     told = cut(told.select("first", "second", "at", F.coalesce(F.col("near") < F.col("at"), F.lit(False)).alias("late"), F.coalesce("links", F.lit(0)).alias("links")))
     gone = F.col("late") | ~((F.col("at.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("at.mark") == F.col("mark")) & (F.col("at.line") == F.col("line")))
     found = lines.join(told, ["first", "second"]).select("doc_id", "mark", "line", "begin", "end", "links", gone.alias("gone")).distinct()
