@@ -1,9 +1,9 @@
 """Secret scans through a trigram inverted index, with DataFrame functions only.
 
 Each rule's expression yields a Boolean query over the trigrams that any match must hold: an AND of clauses, each an
-OR of strings, each an AND of its trigrams. Postings of the trigrams that some query names are joined to the queries
-and intersected by counting; documents that satisfy a rule's query are scanned by its expression, which decides.
-Rules without a mandatory trigram scan every document.
+OR of strings, each an AND of its trigrams. The trigrams of every text are taken once; the postings of those that some
+query names are joined to the queries and intersected by counting. Documents that satisfy a rule's query are scanned by
+its expression, which decides. Rules without a mandatory trigram scan every document.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 try:
@@ -104,60 +104,63 @@ def trigrams(text: str) -> list[str]:
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """doc_id, kinds: the rules whose trigram queries a document satisfies, from postings of their trigrams."""
-    rows = [(r.kind, c, a, len(clause), len(trigrams(s)), t) for r in rules for c, clause in enumerate(trigram_query(r.pattern)) for a, s in enumerate(clause) for t in trigrams(s)]
+    """mark, kinds: the rules whose trigram queries a text satisfies, from postings of its trigrams. docs: mark, text.
+
+    A text is cut into threes at its first three places, which gives every trigram; those that some query names are its
+    postings. Queries are intersected by counting them.
+    """
+    rows = [(r.kind, c, a, len(trigrams(s)), t) for r in rules for c, clause in enumerate(trigram_query(r.pattern)) for a, s in enumerate(clause) for t in trigrams(s)]
     clauses = {r.kind: len(trigram_query(r.pattern)) for r in rules}
-    named = sorted({x[-1] for x in rows})
-    spark = docs.sparkSession
-    text = F.lower("text")
-    present = F.array_compact(F.array(*(F.when(text.contains(t), F.lit(t)) for t in named)))
-    postings = docs.select("doc_id", F.explode(present).alias("trigram"))
-    queries = spark.createDataFrame([(*x[:3], x[4], x[5]) for x in rows], "kind string, clause int, choice int, needs int, trigram string")
+    named = F.array(*map(F.lit, sorted({x[-1] for x in rows})))
+    queries = docs.sparkSession.createDataFrame(rows, "kind string, clause int, choice int, needs int, trigram string")
+    threes = [F.regexp_extract_all(F.substring(F.lower("text"), i, F.length(F.lower("text"))), F.lit("(?s).{3}"), F.lit(0)) for i in (1, 2, 3)]
+    postings = docs.select("mark", F.explode(F.array_intersect(F.concat(*threes), named)).alias("trigram")).distinct()
     held = postings.join(F.broadcast(queries), "trigram")  # as many rows as the rules name trigrams
-    choices = held.groupBy("doc_id", "kind", "clause", "choice").agg(F.countDistinct("trigram").alias("n"), F.first("needs").alias("needs")).filter("n = needs")
-    met = choices.groupBy("doc_id", "kind").agg(F.countDistinct("clause").alias("n"))
+    choices = held.groupBy("mark", "kind", "clause", "choice").agg(F.count(F.lit(1)).alias("n"), F.first("needs").alias("needs")).filter("n = needs")
+    met = choices.groupBy("mark", "kind").agg(F.countDistinct("clause").alias("n"))
     needs = F.create_map(*(F.lit(x) for kv in clauses.items() for x in kv))
-    return met.filter(F.col("n") == F.element_at(needs, F.col("kind"))).groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
+    return met.filter(F.col("n") == F.element_at(needs, F.col("kind"))).groupBy("mark").agg(F.collect_set("kind").alias("kinds"))
 
 
 def matches(text: Column, rule: Rule, order: int) -> Column:
-    """Array of (start, order, kind, end) of the rule's matches, leftmost and not overlapping, in code points."""
+    """Array of (order, place, gap, size, kept) of the rule's matches, leftmost and not overlapping, in code points.
+
+    gap: from the match before it; kept: characters of the group that counts.
+    """
     p = F.lit(rule.pattern)
     found = F.regexp_extract_all(text, p, F.lit(0))
-    sizes = F.transform(F.regexp_extract_all(text, p, F.lit(rule.group)), F.char_length)
-    between = F.transform(F.split(text, rule.pattern, -1), F.char_length)
-    pairs = F.zip_with(F.slice(between, 1, F.size(found)), F.transform(found, F.char_length), lambda a, b: F.struct(a.alias("gap"), b.alias("size")))
-    rows = F.zip_with(pairs, sizes, lambda a, b: F.struct(a["gap"].alias("gap"), a["size"].alias("size"), b.alias("kept")))
-    kind = "array<struct<start:int,order:int,kind:string,end:int>>"
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("spans"))
-
-    def step(state: Column, x: Column) -> Column:
-        start = (state["at"] + x["gap"]).cast("int")
-        end = (start + x["size"]).cast("int")
-        span = F.struct(start.alias("start"), F.lit(order).alias("order"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        spans = F.when(x["kept"] >= rule.least, F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
-        return F.struct(end.alias("at"), spans.alias("spans"))
-
-    return F.aggregate(rows, empty, step)["spans"]
+    gaps = F.transform(F.split(text, rule.pattern, -1), F.char_length)
+    sizes, kept = F.transform(found, F.char_length), F.transform(F.regexp_extract_all(text, p, F.lit(rule.group)), F.char_length)
+    rows = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), sizes.alias("size"), kept.alias("kept"))
+    return F.transform(rows, lambda x, i: F.struct(F.lit(order).alias("order"), i.alias("place"), x["gap"].alias("gap"), x["size"].alias("size"), x["kept"].alias("kept")))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, found: array of (start, order, kind, end) by start, then kind as listed, for each row of docs.
 
-    Whole texts; null is empty and has none. Candidates are joined by id, so rows that share an id (or have none)
-    share candidates, and the expressions decide for each row. An empty table gives no rows.
+    Whole texts; null is empty and has none. Texts are known by a hash, under which the index may only propose too much:
+    the expressions decide, for each row. Matches are rows, whose places are running sums of gaps and sizes, so a text may
+    have any number. Equal rows share a result; an empty table gives no rows; further columns are left out.
     """
-    docs = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    base = docs.select("doc_id", F.xxhash64(text).alias("mark"), text.alias("text"))
     indexed = tuple(r for r in rules if trigram_query(r.pattern))
-    to_scan = candidates(docs, indexed).withColumnRenamed("doc_id", "of")
-    x = docs.join(to_scan, F.col("doc_id").eqNullSafe(F.col("of")), "left")
-    text = F.col("text")
-    none = F.array().cast("array<struct<start:int,order:int,kind:string,end:int>>")
+    x = base.join(candidates(base.select("mark", "text"), indexed), "mark", "left")
+    none = F.array().cast("array<struct<order:int,place:int,gap:int,size:int,kept:int>>")
     found = []
     for order, rule in enumerate(rules):
         wanted = F.array_contains("kinds", rule.kind) if rule in indexed else F.lit(True)
-        found.append(F.when(wanted & text.rlike(rule.pattern), matches(text, rule, order)).otherwise(none))
-    return x.select("doc_id", F.array_sort(F.concat(*found)).alias("found"))
+        found.append(F.when(wanted & F.col("text").rlike(rule.pattern), matches(F.col("text"), rule, order)).otherwise(none))
+    rows = x.select("doc_id", "mark", F.inline(F.concat(*found))).distinct()
+    so_far = Window.partitionBy("doc_id", "mark", "order").orderBy("place")
+    end = F.sum(F.col("gap") + F.col("size")).over(so_far)
+    kinds, least = (F.array(*[F.lit(v) for v in values]) for values in ([r.kind for r in rules], [r.least for r in rules]))
+    span = F.struct((F.col("end") - F.col("size")).cast("int").alias("start"), "order", F.get(kinds, F.col("order")).alias("kind"), F.col("end").cast("int").alias("end"))
+    kept = rows.withColumn("end", end).filter(F.col("kept") >= F.get(least, F.col("order")))
+    spans = kept.groupBy(F.col("doc_id").alias("of"), F.col("mark").alias("m")).agg(F.array_sort(F.collect_list(span)).alias("found"))
+    empty = F.array().cast("array<struct<start:int,order:int,kind:string,end:int>>")
+    told = base.select("doc_id", "mark").join(spans, (F.col("mark") == F.col("m")) & F.col("doc_id").eqNullSafe(F.col("of")), "left")
+    return told.select("doc_id", F.coalesce("found", empty).alias("found"))
 
 
 def secret_table(docs: DataFrame) -> DataFrame:
