@@ -1,14 +1,16 @@
 """Substring deduplication over prefix-partitioned suffix trees.
 
 A suffix is a document's words from some word on, down to the depth at which a repeat counts. Suffixes are dealt to
-groups by a prefix of variable length: one word where few suffixes begin with it, more words below common prefixes,
-so that a group fits a task's memory. A group's subtree is its suffixes in order, with edges named by fingerprints;
-the internal nodes at full depth are the repeats, and each knows the smallest document below it. A maximal repeat of
-any length is a run of such nodes, so removing what they cover removes maximal repeats.
+groups by a prefix of variable length: one word where few suffixes begin so, more words below common prefixes, until the
+entries of a group fit the memory that a task may take; exact counts over all suffixes decide. A group's subtree is built from its
+suffixes in order: the depth that neighbours share makes the internal nodes, whose edges are named by fingerprints of
+their words. Every node at full depth is a repeat and knows the smallest document below it; its neighbours to the left and right
+in a text are nodes too where the repeat is longer, so that runs of them are the maximal repeats, and their words go.
 
 Before that, anchors leave out suffixes that cannot repeat. Of the shorter runs of words within a window the one of
 least fingerprint is its anchor; equal windows have equal anchors, so a window whose anchor is in one document only
-is in one document only. Texts travel packed in batches, and within a batch an anchor or suffix is sent once.
+is in one document only. Texts travel packed in batches, and within a batch an anchor or suffix is sent once. So what
+a batch sends of a repeat is one entry, however often the repeat occurs in it.
 """
 
 from __future__ import annotations
@@ -26,7 +28,10 @@ from .shared import cut, shuffle_partitions
 from .text import raw, slices, window_prints, within, word_prints, word_spans
 
 BATCH_BYTES = 2 << 20
-PREFIXES = 4
+GROUP_BYTES = 32 << 20
+ENTRY_BYTES = 24  # of a suffix in a group: the two edges below the root, and the least document
+#: Words of a prefix, until a group is small enough; a whole suffix is the last one.
+DEPTHS = (1, 2, 3, 4, 6, 9)
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -82,19 +87,23 @@ class Batch:
         low, high = least_and_most(self.owners(self.windows), which, len(found))
         return found, which, low != high
 
+    def prefixes(self, depth: int, at: np.ndarray, groups: int) -> np.ndarray:
+        """The group that the first words of each suffix would give."""
+        prints = window_prints(self.words, min(depth, self.least))
+        return (prints[at] % np.uint64(groups)).astype(np.int64) if len(at) else np.zeros(0, np.int64)
+
     def suffixes(self, repeated: np.ndarray, which: np.ndarray, heavy: list[np.ndarray], groups: int):
         """Of windows with a repeated anchor: where they begin, and of the distinct ones (by group): group, head, tail, least id."""
         at = self.windows[repeated[which]] if len(which) else self.windows
         half = self.least // 2
         head = window_prints(self.words, half)[at] if len(at) else np.zeros(0, np.uint64)
         tail = window_prints(self.words, self.least - half)[at + half] if len(at) else np.zeros(0, np.uint64)
-        prefix = np.zeros(len(at), np.uint64)
+        group = np.zeros(len(at), np.int64)
         open_ = np.ones(len(at), bool)
-        for depth in range(1, PREFIXES + 1):
-            if len(at) and open_.any():
-                prefix[open_] = window_prints(self.words, min(depth, self.least))[at[open_]]
-                open_ &= np.isin(prefix, heavy[depth - 1])
-        group = (prefix % np.uint64(groups)).astype(np.int64)
+        for depth, full in zip((*DEPTHS, self.least), (*heavy, np.zeros(0, np.int64))):
+            if open_.any():
+                group[open_] = self.prefixes(depth, at[open_], groups)
+                open_ &= np.isin(group, full)
         order = np.lexsort((tail, head, group))
         g, h, t = group[order], head[order], tail[order]
         new = np.ones(len(at), bool)
@@ -171,25 +180,49 @@ def repeated_anchors(packed: DataFrame, least: int, parts: int) -> DataFrame:
     return _by_batch(sent.groupBy("part").applyInArrow(meet, "batch long, part int, n int, bits binary"))
 
 
-def heavy_prefixes(packed: DataFrame, least: int, limit: int) -> list[np.ndarray]:
-    """For each length, fingerprints of prefixes with over limit suffixes, in order.
+def heavy_prefixes(packed: DataFrame, anchors: DataFrame, least: int, limit: int, groups: int) -> list[np.ndarray]:
+    """For each prefix length, the groups that would hold over limit entries by it, in order.
 
-    A batch names the prefixes that begin a 256th of its suffixes or more. All counts of one length add up to the
-    suffixes at most, so no more than suffixes / limit prefixes of a length come to the driver.
+    Counts are of what batches will send, over all of them, one number a length and group from each task. All counts of a length add
+    up to the entries, so no more than entries / limit groups of it come to the driver.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(DEPTHS), groups), np.int64)
         for batch in batches:
             for row in batch.to_pylist():
                 b = Batch(row, least)
-                for depth in range(1, PREFIXES + 1):
-                    prints, n = np.unique(window_prints(b.words, min(depth, least))[b.windows] if len(b.windows) else np.zeros(0, np.uint64), return_counts=True)
-                    often = n * 256 >= len(b.windows)
-                    yield pa.RecordBatch.from_arrays([pa.array([depth] * int(often.sum()), pa.int32()), pa.array(prints[often].view(np.int64)), pa.array(n[often], pa.int64())], names=["depth", "prefix", "n"])
-
-    counts = packed.select("ids", "offsets", "data").mapInArrow(count, "depth int, prefix long, n long")
-    found = counts.groupBy("depth", "prefix").agg(F.sum("n").alias("n")).filter(F.col("n") > limit).collect()
-    return [np.sort(np.array([r["prefix"] for r in found if r["depth"] == d], np.int64).view(np.uint64)) for d in range(1, PREFIXES + 1)]
+                found, which, _ = b.anchors()
+                answers = _answers(row["parts"], len(found))
+                at = b.windows[answers[which]] if len(which) else b.windows
+                whole = window_prints(b.words, least)
+                at = at[np.unique(whole[at], return_index=True)[1]] if len(at) else at
+                for i, depth in enumerate(DEPTHS):
+                    sums[i] += np.bincount(b.prefixes(depth, at, groups), minlength=groups)
+        depth, group = np.nonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(depth, pa.int32()), pa.array(group, pa.int64()), pa.array(sums[depth, group])], names=["depth", "part", "n"])
+
+    joined = packed.join(anchors, "batch", "left").select("ids", "offsets", "data", F.col("parts").cast(_BITS).alias("parts"))
+    counts = joined.mapInArrow(count, "depth int, part long, n long")
+    found = counts.groupBy("depth", "part").agg(F.sum("n").alias("n")).filter(F.col("n") > limit).collect()
+    return [np.sort(np.array([r["part"] for r in found if r["depth"] == d], np.int64)) for d in range(len(DEPTHS))]
+
+
+def subtree(head: np.ndarray, tail: np.ndarray, low: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """order of the suffixes, and of each internal node of their tree: depth, first leaf in that order, least document below.
+
+    head and tail name the edges of the first least // 2 words and of the rest. Of suffixes in order, neighbours share
+    all words, the first edge's, or fewer; a node is a run of leaves that share its depth.
+    """
+    order = np.lexsort((tail, head))
+    h, t = head[order], tail[order]
+    shared = np.zeros(len(order) + 1, np.int64)
+    shared[1:-1] = np.where(h[1:] != h[:-1], 0, np.where(t[1:] != t[:-1], least // 2, least))
+    nodes = []
+    for depth in (least // 2, least):
+        first = np.flatnonzero(shared[:-1] < depth)
+        nodes.append((np.full(len(first), depth), first, np.minimum.reduceat(low[order], first) if len(first) else first))
+    return order, *(np.concatenate(x) for x in zip(*nodes))
 
 
 def repeated_suffixes(packed: DataFrame, anchors: DataFrame, least: int, heavy: list[np.ndarray], groups: int) -> DataFrame:
@@ -209,37 +242,39 @@ def repeated_suffixes(packed: DataFrame, anchors: DataFrame, least: int, heavy:
                     names=["part", "batch", "n", "head", "tail", "low"],
                 )
 
-    def subtree(table: pa.Table) -> pa.Table:
+    def answer(table: pa.Table) -> pa.Table:
         sizes = table.column("n").to_numpy()
         head = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("head").to_pylist()])
         tail = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("tail").to_pylist()])
         low = np.concatenate([from_planes(x, n, np.int64) for x, n in zip(table.column("low").to_pylist(), sizes)])
-        order = np.lexsort((tail, head))
-        deep = np.concatenate([[True], (head[order][1:] != head[order][:-1]) | (tail[order][1:] != tail[order][:-1])])
-        least_below = np.minimum.reduceat(low[order], np.flatnonzero(deep))
+        order, depth, first, least_below = subtree(head, tail, low, least)
+        deep = depth == least
+        leaves = np.diff(np.append(first[deep], len(order)))
         bits = np.empty(len(head), np.uint8)
-        bits[order] = least_below[np.cumsum(deep) - 1] < low[order]
+        bits[order] = np.repeat(least_below[deep], leaves) < low[order]
         cuts = np.split(bits, np.cumsum(sizes)[:-1])
         return pa.table({"batch": table.column("batch"), "part": table.column("part"), "n": table.column("n"), "bits": pa.array([np.packbits(x).tobytes() for x in cuts], pa.binary())})
 
     joined = packed.join(anchors, "batch", "left").select("batch", "ids", "offsets", "data", F.col("parts").cast(_BITS).alias("parts"))
     sent = joined.mapInArrow(send, "part int, batch long, n int, head binary, tail binary, low binary")
-    return _by_batch(sent.groupBy("part").applyInArrow(subtree, "batch long, part int, n int, bits binary"))
+    return _by_batch(sent.groupBy("part").applyInArrow(answer, "batch long, part int, n int, bits binary"))
 
 
-def remove_repeats(docs: DataFrame, least: int = 13) -> DataFrame:
+def remove_repeats(docs: DataFrame, least: int = 13, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, removed (array of start, end in words), kept (binary: kept words, one space between).
 
     A word goes if some window of least words that covers it also begins in a document of smaller doc_id. Null and
     empty texts have no words. Rows that share an id are one document and don't remove from each other; a null id
-    counts as larger than all. An empty table gives no rows; further columns are left out.
+    counts as larger than all. An empty table gives no rows; further columns are left out. A group of suffixes holds
+    about group_bytes; only one suffix that very many batches have can take more, at one entry a batch.
     """
     spark = docs.sparkSession
     packed = pack(docs)
     total = packed.agg(F.sum("n_words")).first()[0] or 0
-    groups = 4 * shuffle_partitions(spark)
-    heavy = heavy_prefixes(packed, least, max(1, total // (4 * groups)))
+    limit = max(1, group_bytes // ENTRY_BYTES)
+    groups = max(4 * shuffle_partitions(spark), -(-4 * total // limit))
     anchors = cut(repeated_anchors(packed, least, groups))
+    heavy = heavy_prefixes(packed, anchors, least, min(limit, max(1, total // groups)), groups)
     nodes = repeated_suffixes(packed, anchors, least, heavy, groups).withColumnRenamed("parts", "nodes")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -397,3 +397,36 @@ def test_line_table_is_the_definition(spark, monkeypatch):
     assert sum(x[3] for x in want) > 100 and any(near[a] < 10**9 and len(a) < 32 for a in near)
     again = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), block=7)
     assert sum(len(r.removed) for r in again.collect()) == len(gone)
+
+
+def test_subtree_nodes():
+    from orderflow.llm.substrings import subtree
+
+    rng = np.random.default_rng(3)
+    head, tail, low = rng.integers(0, 5, 60).astype(np.uint64), rng.integers(0, 4, 60).astype(np.uint64), rng.integers(0, 99, 60)
+    order, depth, first, least = subtree(head, tail, low, 13)
+    for d, keys in ((6, [(int(h),) for h in head]), (13, list(zip(head.tolist(), tail.tolist())))):
+        want = {k: min(int(v) for v, x in zip(low, keys) if x == k) for k in keys}
+        assert {keys[order[f]]: int(v) for f, v in zip(first[depth == d], least[depth == d])} == want
+    assert [len(x) for x in subtree(head[:0], tail[:0], low[:0], 13)] == [0, 0, 0, 0]
+
+
+def test_common_prefixes_are_split(spark):
+    """Groups of a few entries, so that prefixes of every length are used; against the definition."""
+    from orderflow.llm import substrings
+
+    rng = random.Random(5)
+    head = [f"h{i}" for i in range(14)]
+    texts = [head[: rng.randrange(15)] + rng.choices("abc", k=rng.randrange(40)) + (head if rng.random() < 0.3 else []) for _ in range(150)]
+    owner = {}
+    for i, t in enumerate(texts):
+        for j in range(len(t) - 12):
+            owner.setdefault(tuple(t[j : j + 13]), i)
+    want = []
+    for i, t in enumerate(texts):
+        gone = {p for j in range(len(t) - 12) if owner[tuple(t[j : j + 13])] < i for p in range(j, j + 13)}
+        want.append((i, len(gone), " ".join(w for p, w in enumerate(t) if p not in gone)))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(6)
+    got = substrings.remove_repeats(docs, group_bytes=24 * 40)
+    assert sorted((r.doc_id, r.n_removed, bytes(r.kept).decode()) for r in got.collect()) == want
+    assert sum(n for _, n, _ in want) > 100
