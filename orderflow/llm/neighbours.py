@@ -3,7 +3,8 @@
 The graph starts from exact neighbours within cells of random hyperplanes, and within cells drawn by id, which leave no
 point alone. Each round joins every point's neighbours
 (forward and reverse) with each other, as a neighbour of a neighbour is likely to be one: the vectors of a point's
-neighbourhood meet in one group, and pairs closer than what either end has are kept. A search holds a pool of the
+neighbourhood meet in one group, and pairs of which one end is new there and that are closer than what either end has
+are kept. A search holds a pool of the
 nearest points found for each query and expands the pool's points along the graph, one Spark join a hop, until every
 point of the pool is expanded. Equal vectors are one point, so that no common vector makes a large neighbourhood.
 """
@@ -24,10 +25,9 @@ from .vectors import dimensions, matrix, usable
 DEGREE = 16
 CELL = 256
 TREES = 3
-ROUNDS = 5
+ROUNDS = 8
 POOL = 64
 DRAWN = 8
-HOPS = 12
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str, least: int = 20_000) -> Iterator[pa.Table]:
@@ -59,8 +59,8 @@ def _distances(a: np.ndarray) -> np.ndarray:
 
 
 def top(edges: DataFrame, by: str = "node", k: int = DEGREE) -> DataFrame:
-    """node, other, near: the k nearest others of each node, ties to the smaller id."""
-    once = edges.groupBy("node", "other").agg(F.min("near").alias("near"))
+    """node, other, near, fresh: the k nearest others of each node, ties to the smaller node; fresh unless some of an edge's rows isn't."""
+    once = edges.groupBy("node", "other").agg(F.min("near").alias("near"), F.min("fresh").alias("fresh"))
     other = "other" if by == "node" else "node"
     place = F.row_number().over(Window.partitionBy(by).orderBy("near", other))
     return once.withColumn("place", place).filter(F.col("place") <= k).drop("place")
@@ -105,10 +105,10 @@ def first_edges(points: DataFrame, n: int, d: int, degree: int) -> DataFrame:
 
 
 def descend(graph: DataFrame, points: DataFrame, d: int, degree: int) -> DataFrame:
-    """Pairs that one round of joining neighbours of neighbours finds: node, other, near."""
-    both = graph.select("node", "other", "near").unionByName(top(graph, "other", degree).select(F.col("other").alias("node"), F.col("node").alias("other"), "near"))
-    members = both.select("node", F.col("other").alias("member")).distinct()
-    members = members.unionByName(points.select("node", F.col("node").alias("member")))
+    """Pairs that one round of joining neighbours of neighbours finds: node, other, near. A task keeps the best degree of a node."""
+    both = graph.select("node", "other", "fresh").unionByName(top(graph, "other", degree).select(F.col("other").alias("node"), F.col("node").alias("other"), "fresh"))
+    members = both.groupBy("node", F.col("other").alias("member")).agg(F.max("fresh").alias("fresh"))
+    members = members.unionByName(points.select("node", F.col("node").alias("member"), F.lit(False).alias("fresh")))
     reach = graph.groupBy("node").agg(F.max("near").alias("reach"), F.count(F.lit(1)).alias("n"))
     reach = points.join(reach, "node", "left").select(F.col("node").alias("member"), "vec", F.when(F.col("n") >= degree, F.col("reach")).otherwise(F.lit(float("inf"))).alias("reach"))
     met = members.join(reach, "member").repartition("node").sortWithinPartitions("node")
@@ -117,33 +117,46 @@ def descend(graph: DataFrame, points: DataFrame, d: int, degree: int) -> DataFra
         for table in whole_groups(batches, "node"):
             bounds = _bounds(table.column("node").to_numpy())
             ids, reach_of = table.column("member").to_numpy(), table.column("reach").to_numpy()
+            fresh = table.column("fresh").to_numpy(zero_copy_only=False).astype(bool)
             x = np.frombuffer(b"".join(table.column("vec").to_pylist()), np.float32).reshape(-1, d).astype(np.float64)
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for a, b in zip(bounds[:-1], bounds[1:]):
+                new = fresh[a:b]
+                if not new.any():
+                    continue
                 near = _distances(x[a:b])
                 np.fill_diagonal(near, np.inf)
-                i, j = np.nonzero(near < reach_of[a:b, None])
+                i, j = np.nonzero((near < reach_of[a:b, None]) & (new[:, None] | new[None]))
                 out.append((ids[a:b][i], ids[a:b][j], near[i, j]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["node", "other", "near"])
+            if not out:
+                continue
+            node, other, near = (np.concatenate(v) for v in zip(*out))
+            order = np.lexsort((other, near, node))
+            node, other, near = node[order], other[order], near[order]
+            once = np.ones(len(node), bool)
+            once[1:] = (node[1:] != node[:-1]) | (other[1:] != other[:-1])  # equal pairs lie at one distance
+            node, other, near = node[once], other[once], near[once]
+            first = np.searchsorted(node, node)
+            best = np.arange(len(node)) - first < degree
+            yield pa.RecordBatch.from_arrays([pa.array(v[best]) for v in (node, other, near)], names=["node", "other", "near"])
 
-    return met.select("node", "member", "vec", "reach").mapInArrow(join, "node long, other long, near double").distinct()
+    return met.select("node", "member", "vec", "reach", "fresh").mapInArrow(join, "node long, other long, near double")
 
 
 def build_graph(points: DataFrame, d: int, degree: int = DEGREE, rounds: int = ROUNDS) -> DataFrame:
-    """node, other, near for points (node long, vec: float32 bytes); rounds end early once few edges change."""
+    """node, other, near for points (node long, vec: float32 bytes); rounds, of which rounds are the most, end once few edges change."""
     n = points.count()
-    graph = cut(top(first_edges(points, n, d, degree), k=degree))
+    graph = cut(top(first_edges(points, n, d, degree).withColumn("fresh", F.lit(True)), k=degree))
     for _ in range(rounds):
-        following = cut(top(graph.unionByName(descend(graph, points, d, degree)), k=degree))
-        changed = following.join(graph, ["node", "other"], "left_anti").count()
-        graph = following
-        if changed <= 0.005 * n * degree:
+        known = graph.select("node", "other", "near", F.lit(False).alias("fresh"))
+        graph = cut(top(known.unionByName(descend(graph, points, d, degree).withColumn("fresh", F.lit(True))), k=degree))
+        if graph.filter("fresh").count() <= 0.005 * n * degree:
             break
-    return graph
+    return graph.drop("fresh")
 
 
-def search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, entries: DataFrame, d: int, k: int, pool: int = POOL, hops: int = HOPS) -> DataFrame:
-    """query_id, node, near: up to pool nodes found nearest each query. Greedy: only what is in the pool is expanded.
+def search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, entries: DataFrame, d: int, pool: int = POOL) -> DataFrame:
+    """query_id, node, near: up to pool nodes found nearest each query. Greedy: only what is in the pool is expanded, all of it.
 
     vectors: node, embedding; queries: query_id, embedding; entries: query_id, node, where the search starts.
     """
@@ -165,7 +178,7 @@ def search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, entries: Da
     found = cut(best(measured(entries.select("query_id", "node").distinct())).withColumn("done", F.lit(False)))
     links = graph.select(F.col("node").alias("at"), F.col("other").alias("node"))
     links = cut(links.unionByName(links.select(F.col("node").alias("at"), F.col("at").alias("node"))).distinct())
-    for _ in range(hops):
+    while True:
         ahead = found.filter(~F.col("done")).select("query_id", F.col("node").alias("at")).join(links, "at").select("query_id", "node").distinct()
         new = measured(ahead.join(found, ["query_id", "node"], "left_anti")).withColumn("done", F.lit(False))
         found = cut(best(found.withColumn("done", F.lit(True)).unionByName(new)))
@@ -186,18 +199,19 @@ def nearest(embeddings: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each vector whose id is divisible by every.
 
     Euclidean distance in double precision, ties to the smaller id. Vectors that are null, zero, or hold null or
-    non-finite components take no part, nor those of an unusual length. A query enters the graph at its own point, so
-    that equal vectors and near ones are found at once, and at points drawn by id.
+    non-finite components take no part, nor those of an unusual length, to which no distance is defined. A query enters
+    the graph at its own point, so that equal vectors and near ones are found at once, and at points drawn by id. Points
+    are known by a hash of their vectors, so ids may repeat: each row is then a query or a candidate of its own, rows that agree in
+    id and vector are one, and rows that have the query's id are never its results. An empty table gives no rows.
     """
     spark = embeddings.sparkSession
     x = usable(embeddings, zero_too=False)
     d = dimensions(x)
     if not d:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    x = x.filter(F.size("embedding") == d)
-    place = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
-    members = x.withColumn("place", place).filter(F.col("place") <= k + 1)  # no more of a point's ids can be among k results
-    members = cut(members.withColumn("node", F.min("vec_id").over(Window.partitionBy("embedding"))))
+    x = cut(x.filter(F.size("embedding") == d).withColumn("node", F.xxhash64("embedding")).dropDuplicates(["vec_id", "node"]))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))
+    members = cut(x.withColumn("place", place).filter(F.col("place") <= k + 1))  # no more of a point's ids can be among k results
     vectors = members.filter(F.col("place") == 1).select("node", "embedding")
 
     def to_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,10 +221,10 @@ def nearest(embeddings: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
 
     points = cut(vectors.mapInArrow(to_bytes, "node long, vec binary"))
     graph = build_graph(points, d)
-    queries = cut(x.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "embedding"))
-    entries = queries.join(vectors, "embedding").select("query_id", "node").unionByName(drawn_entries(points, queries, points.count()))
-    found = search(graph, vectors, queries, entries, d, k)
-    ids = members.select("node", "vec_id")
-    near = found.join(ids, "node").filter(F.col("vec_id") != F.col("query_id"))
+    asked = cut(x.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("asker"), F.xxhash64("vec_id", "node").alias("query_id"), "node", "embedding"))
+    queries = asked.select("query_id", "embedding")
+    entries = asked.select("query_id", "node").unionByName(drawn_entries(points, queries, points.count()))
+    found = search(graph, vectors, queries, entries, d)
+    near = found.join(members.select("node", "vec_id"), "node").join(asked.select("query_id", "asker"), "query_id").filter(F.col("vec_id") != F.col("asker"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("near", "vec_id"))
-    return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("near").alias("score"))
+    return near.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("asker").alias("query_id"), "rank", "vec_id", F.col("near").alias("score"))

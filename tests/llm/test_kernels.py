@@ -430,3 +430,16 @@ def test_common_prefixes_are_split(spark):
     got = substrings.remove_repeats(docs, group_bytes=24 * 40)
     assert sorted((r.doc_id, r.n_removed, bytes(r.kept).decode()) for r in got.collect()) == want
     assert sum(n for _, n, _ in want) > 100
+
+
+def test_repeated_ids_are_rows_of_their_own(spark):
+    rng = np.random.default_rng(6)
+    x = [(i, v.tolist()) for i, v in enumerate(rng.normal(0, 1, (40, 5)), 1)]
+    x += [(5, (np.array(x[6][1]) + 0.01).tolist()), (100, x[6][1]), (100, x[20][1]), (7, x[6][1]), (7, x[6][1])]
+    got = neighbours.nearest(spark.createDataFrame(x, "vec_id long, embedding array<double>")).collect()
+    once = {(i, tuple(v)) for i, v in x}
+    want = []
+    for v in (x[6][1], x[20][1]):
+        near = sorted((float(np.sqrt(((np.array(o) - v) ** 2).sum())), i) for i, o in once if i != 100)[:10]
+        want += [(100, rank, i, round(s, 9)) for rank, (s, i) in enumerate(near, 1)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in got) == sorted(want)
