@@ -135,7 +135,7 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Data
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             prints, bounds = shingle_sets(pa.array([unpress(x) for x in batch.column("right").to_pylist()], pa.large_binary()))
             yes = np.zeros(len(a), bool)
-            for i, of in enumerate(a):
+            for i, of in enumerate(batch.column("mark").to_pylist()):
                 if held[0] != of:
                     held = (of, shingle_sets(pa.array([unpress(batch.column("left")[i].as_py())], pa.large_binary()))[0])
                 left, right = held[1], prints[bounds[i] : bounds[i + 1]]
@@ -147,7 +147,7 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Data
 
     right = pairs.join(texts.select(F.col("node").alias("b"), F.col("packed").alias("right")), "b")
     both = right.join(texts.select(F.col("node").alias("a"), F.col("packed").alias("left")), "a")
-    return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", F.xxhash64("left").alias("mark"), "left", "right").mapInArrow(run, "a long, b long")
 
 
 def rare_pairs(members: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -163,18 +163,18 @@ def rare_pairs(members: DataFrame, texts: DataFrame, percent: int = PERCENT) ->
 
         unpress = zstandard.ZstdDecompressor().decompress
         for batch in slices(batches, "packed", SLICE_BYTES // 4):
-            nodes, components_ = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "component"))
+            nodes, components_, marks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "component", "mark"))
             prints, bounds = shingle_sets(pa.array([unpress(x) for x in batch.column("packed").to_pylist()], pa.large_binary()))
             n = np.diff(bounds)
             for begin in range(0, len(prints), 1 << 17):
                 row = np.searchsorted(bounds, np.arange(begin, min(begin + (1 << 17), len(prints))), "right") - 1
-                columns = [nodes[row], components_[row], n[row], prints[begin : begin + len(row)].view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["node", "component", "n", "print"])
+                columns = [nodes[row], components_[row], marks[row], n[row], prints[begin : begin + len(row)].view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["node", "component", "mark", "n", "print"])
 
     distinct = members.select("node", "component").distinct()
-    sets = cut(distinct.join(texts, "node").select("node", "component", "packed").mapInArrow(run, "node long, component long, n long, print long"))
+    sets = cut(distinct.join(texts, "node").select("node", "component", F.xxhash64("packed").alias("mark"), "packed").dropDuplicates(["node", "mark"]).mapInArrow(run, "node long, component long, mark long, n long, print long"))
     often = sets.groupBy("print").agg(F.count("*").alias("often"))
-    place = F.row_number().over(Window.partitionBy("node").orderBy("often", "print"))
+    place = F.row_number().over(Window.partitionBy("node", "mark").orderBy("often", "print"))
     placed = sets.join(often, "print").withColumn("place", place)
     probe = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     first = cut(placed.filter((F.col("often") > 1) & (F.col("place") <= probe)))
@@ -229,7 +229,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs.
 
     Rows of null or wordless text have an empty set and are linked with nothing; neither are rows without an id, whose
-    component_id is null and which are kept. Rows that share an id are one document. An empty table gives no rows.
+    component_id is null and which are kept. Rows that share an id are one document, linked by what any of its texts is like.
+    An empty table gives no rows; further columns are left out.
     """
     base = cut(signatures(docs))
     some = base.filter("same IS NOT NULL AND doc_id IS NOT NULL")
@@ -239,6 +240,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = cut(spread.join(full, "key").select("key", "node"))
     texts = cut(pressed(docs).join(members.select("node").distinct(), "node"))
     found = bucket_links(members, texts)
+    several = some.groupBy("doc_id").agg(F.min("same").alias("s"), F.max("same").alias("t")).filter("s < t").select("doc_id")
+    shared = cut(some.join(several, "doc_id").select("doc_id", "same").distinct().join(classes.select("same", "node"), "same").select("doc_id", "node"))
+    if shared.limit(1).count():  # ids with different texts make one of their classes
+        least = shared.groupBy("doc_id").agg(F.min("node").alias("a"))
+        found = joined(found, shared.join(least, "doc_id").filter("node <> a").select("a", F.col("node").alias("b")).distinct())
     of = classes.select("same", "node").join(found, "node", "left").select(F.col("same").alias("of"), F.coalesce("component", "node").alias("c"))
     x = base.join(cut(of), F.col("same") == F.col("of"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))

@@ -75,3 +75,104 @@ def test_language_stage_rejects_what_its_decoder_rejects(spark):
 def test_a_single_language_has_no_bits_to_lose(spark):
     docs = spark.read.parquet(DOCS).filter("lang = 'en'")
     assert corpus_pipeline.keep_languages(spark, docs, "").count() == docs.filter("text rlike '[A-Za-z]'").count()
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, lang_pred string, n_lines string, copies string, node string, key string"
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, t, "en", s, None if t is None else len(t), *("x",) * 6) for i, t, s in rows], SCHEMA)
+
+
+def as_rows(df):
+    return sorted(([str(v) for v in r] for r in df.collect()))
+
+
+WORDS = [f"word{i}" for i in range(60)]
+
+
+def passages(rng, n):
+    rows = []
+    for i in range(n):
+        words = rng.choices(WORDS, k=rng.choice((3, 9, 40, 80)))
+        rows.append((i, " ".join(words), rng.choice(("a", "b", None))))
+        if i % 3 == 0:
+            near = list(words)
+            near[-1] = "other"
+            rows.append((1000 + i, " ".join(near), "b"))
+        if i % 5 == 0:
+            rows.append((2000 + i, " ".join(words).upper(), "a"))
+    return rows + [(None, "no id here at all", "a"), (None, "no id here at all", "a"), (7, "shares an id with another row", "c"), (8, None, "a"), (9, "", "a"), (3, rows[3][1], rows[3][2])]
+
+
+def test_near_duplicates_stage_keeps_one_of_each_group(spark):
+    rows = passages(random.Random(1), 60)
+    ids = sorted({i for i, _, _ in rows if i is not None})
+    sets = {}
+    for i, t, _ in rows:
+        w = (t or "").lower().split()
+        grams = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
+        sets.setdefault(i, []).append(grams)
+    label = {i: i for i in ids}
+    for a in ids:
+        for b in ids:
+            if b < a and any(100 * len(x & y) >= 75 * len(x | y) > 0 for x in sets[a] for y in sets[b]):
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = {i: new if v == old else v for i, v in label.items()}
+    got = corpus_pipeline.drop_near_duplicates(spark, table(spark, rows), "")
+    kept = [(i, t, s) for i, t, s in rows if i is None or label[i] == i]
+    assert as_rows(got) == as_rows(table(spark, kept))
+    assert len(kept) < len(rows) - 20
+
+
+def test_lines_stage_removes_what_came_before(spark):
+    rows = [(1, "a line of the first text, long enough\nshared boilerplate at the end", "a"), (2, "shared boilerplate at the End\nown line of two", "a"), (3, "shared boilerplate at the end", "b"), (4, "", "b"), (5, None, "b"), (None, "shared boilerplate at the end\nlast words", "b"), (6, "own line of two\n\nkept", "c"), (6, "another text of the same id", "c")]
+    got = {(r.doc_id, r.text, r.n_chars, r.n_lines) for r in corpus_pipeline.drop_lines(spark, table(spark, rows), "").collect()}
+    want = [(1, rows[0][1]), (2, "own line of two"), (4, ""), (5, None), (None, "last words"), (6, "\nkept"), (6, "another text of the same id")]
+    assert got == {(i, t, None if t is None else len(t), "x") for i, t in want}
+
+
+def test_mix_stage_takes_whole_copies(spark):
+    from orderflow.llm import mixing
+
+    rows = passages(random.Random(2), 90)
+    docs = table(spark, rows)
+    key = F.xxhash64(F.struct(*docs.columns))
+    mixed = {}
+    for r in mixing.mix_sources(docs.select(key.alias("doc_id"), "source", "text"), corpus_pipeline.WEIGHTS).collect():
+        mixed[r.doc_id] = mixed.get(r.doc_id, 0) + r.copies
+    want = sorted([str(v) for v in r[:-1]] for r in docs.withColumn("k", key).distinct().collect() for _ in range(mixed[r.k]))
+    got = corpus_pipeline.mix(spark, docs, "")
+    assert got.columns == docs.columns and as_rows(got) == want
+    assert as_rows(corpus_pipeline.mix(spark, docs.repartition(3), "")) == want
+
+
+def test_tokens_stage_is_the_library(spark):
+    import hashlib
+
+    import public_tokenizers as P
+    import tiktoken
+
+    from orderflow.llm import bpe
+
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    rows = passages(random.Random(3), 20)
+    want = sorted([str(i), str(len(ids)), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()] for i, t, _ in rows for ids in [library.encode_ordinary(t or "")])
+    assert as_rows(corpus_pipeline.tokenize(spark, table(spark, rows), "").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")) == want
+
+
+def test_stages_on_empty_tables_and_odd_rows(spark):
+    empty = table(spark, [])
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "").collect() == []
+        if name != "tokens":
+            assert stage(spark, table(spark, passages(random.Random(4), 9)), "").columns == empty.columns
+
+
+def test_run_is_its_stages(spark, tmp_path):
+    docs = spark.read.parquet(DOCS)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    step = docs
+    for _, stage in corpus_pipeline.STAGES:
+        step = stage(spark, step, "")
+    assert as_rows(corpus_pipeline.run(spark, str(tmp_path))) == as_rows(step)
