@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, lines, minhash, mixing, neighbours, records, secrets, substrings, topk
+from . import bpe, fingerprints, language, lines, middles, minhash, mixing, neighbours, records, runs, secrets, substrings, topk
 from .shared import scratch
 
 
@@ -62,9 +62,21 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.record_table(table(spark, sf_dir, "documents"), said, 1, scratch(spark, "records"))
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_table(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_table(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middles.middle_table(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": substrings.ORACLE, "op4_exact_top_k": topk.ORACLE, "op8_near_duplicates": minhash.ORACLE, "op9_secret_scan": secrets.oracle()}
+    return {"op1_substring_dedup": substrings.ORACLE, "op4_exact_top_k": topk.ORACLE, "op8_near_duplicates": minhash.ORACLE, "op9_secret_scan": secrets.oracle(), "op13_fill_in_middle": middles.ORACLE}
