@@ -85,6 +85,21 @@ FROM (SELECT l_orderkey*1000+rn AS row_id, (l_orderkey*13+l_partkey*5+l_suppkey)
  CASE k WHEN 22 THEN 'VALIDAR CONVERSAO' WHEN 23 THEN 'OK CONVERTIDO' WHEN 24 THEN 'ALERTA - NÃO CONVERTIDO' WHEN 27 THEN 'OK - SEM CONVERSÃO' WHEN 28 THEN 'outro NAO_CONVERTIDO' ELSE '' END AS status_conversao,
  CASE cust%4 WHEN 0 THEN 'PR' WHEN 1 THEN 'SC' WHEN 2 THEN 'SP' ELSE 'RS' END AS regional
 FROM (SELECT l_orderkey*1000+rn AS row_id, (l_orderkey*17+l_partkey*3+l_suppkey)%37 AS k, o_custkey AS cust, l_partkey AS part, l_orderkey AS ord, o_orderdate, CAST(CAST(l_quantity AS BIGINT) AS STRING) AS qty FROM {_ROWS}) z""",
+    "f13_lot": f"""SELECT concat('lote',CAST(ord+100000 AS STRING),'.pdf') AS file, CAST(page AS BIGINT) AS page, CAST(line_no AS BIGINT) AS line_no, line FROM (
+ SELECT o_orderkey AS ord, 1 AS page, h.k AS line_no, CASE h.k WHEN 1 THEN CASE o_orderkey%6 WHEN 0 THEN concat('P E D I D O   D E  C O M P R A: ',CAST(o_orderkey+100000 AS STRING)) WHEN 1 THEN concat('Número do Pedido: ',CAST(o_orderkey+100000 AS STRING)) WHEN 2 THEN concat('Nº Pedido : ',CAST(o_orderkey+100000 AS STRING))
+   WHEN 3 THEN concat('Pedido - ',CAST(o_orderkey%9000+100000 AS STRING)) WHEN 4 THEN 'Pedido: 100007' ELSE 'sem numero' END
+  WHEN 2 THEN CASE o_orderkey%5 WHEN 0 THEN 'Entrega na loja' ELSE concat('Local de Entrega: ',CAST(o_custkey%300 AS STRING),' - LOJA ',CAST(o_custkey AS STRING)) END
+  WHEN 3 THEN CASE WHEN o_orderkey%7=0 THEN 'CNPJ em branco' ELSE concat('CNPJ: ',substring(c14,1,2),'.',substring(c14,3,3),'.',substring(c14,6,3),'/',substring(c14,9,4),'-',substring(c14,13,2)) END
+  WHEN 4 THEN 'I.E.: 0621234567' WHEN 5 THEN 'Assinatura Fornecedor' WHEN 10 THEN 'Produto  Descrição Unidade Preço Normal Quantidade Valor Total' WHEN 500 THEN 'Total Pedido 99,00' ELSE '12345 FORA DA TABELA' END AS line
+ FROM (SELECT *, lpad(CAST(o_custkey+1000000 AS STRING),14,'0') AS c14 FROM orders) o CROSS JOIN (VALUES (1),(2),(3),(4),(5),(10),(500),(501)) AS h(k)
+ UNION ALL SELECT o_orderkey, CASE WHEN o_orderkey%2=1 THEN 2 ELSE 1 END, h.k, CASE WHEN h.k=900 THEN 'Totais 1' WHEN o_orderkey%2=1 THEN 'Folha 2' WHEN o_orderkey%4=0 THEN 'Código Cod Barras Cod Forn Descrição Qtde Emb Quant Emb' ELSE 'Código Cod Barras Descrição Marca Quant Pr Unit Vl Total Cod Forn' END
+ FROM orders CROSS JOIN (VALUES (510),(900)) AS h(k)
+ UNION ALL SELECT o_orderkey, CASE WHEN rn%2=0 AND o_orderkey%2=1 THEN 2 ELSE 1 END, CASE WHEN rn%2=0 THEN 510 ELSE 10 END + rn,
+  CASE WHEN rn%2=1 THEN CASE (l_orderkey*31+l_partkey*7+rn)%9 WHEN 0 THEN concat(part,'  SUCO 2L  CX C/ 12 3,5000 ',qty,',000 84,00') WHEN 1 THEN concat(part,' SUCO 2L 3,5000 1.',p3,',000 CX C/12 84,00') WHEN 2 THEN concat(part,' SUCO CX/12 10 ',qty,' 99')
+    WHEN 3 THEN concat(part,' SUCO 2 L 3,50 ',qty,',00 FD C/6') WHEN 4 THEN concat(part,' SUCO FD/6 3,5000 ',qty,',500 84,00') WHEN 5 THEN concat(part,' SUCO SEM UNIDADE') WHEN 6 THEN 'continua a descrição' WHEN 7 THEN concat(part,' SUCO fd 6 3,50 ',qty,',00 84,00') ELSE concat(part,' 5 ',qty,' CX6') END
+  ELSE CASE (l_orderkey*17+l_partkey*3+rn)%8 WHEN 0 THEN concat('1784412 7894900087000 ',part,' REFRI LATA ',qty,' 80,000 FD/2 6,2300 149,52') WHEN 1 THEN concat('1784412 7894900087000 ',part,' REFRI ',qty,' FD/2 80,000 6,2300 149,52') WHEN 2 THEN concat('1784412 7894900087000 ',part,' REFRI ',qty,',000 6,2300 149,52')
+    WHEN 3 THEN concat('1784412 7894900087000 REFRI LATA MARCA ',qty,',000 6,23 149,52 ',part) WHEN 4 THEN concat('1784412 7894900087000 A B C D ',CAST(rn AS STRING)) WHEN 5 THEN concat('1784412 7894900087000 X ',qty) WHEN 6 THEN concat('1784412 7894900087000 REFRI LATA MARCA ',qty,',250 6,23 149,52 9;',part,',12') ELSE concat('178441 7894900087000 ',part,' REFRI UN CX C/12 10,00 ',qty,',000 7,00') END END
+ FROM (SELECT *, lpad(CAST(l_partkey%90000+10000 AS STRING),5,'0') AS part, lpad(CAST(l_partkey%1000 AS STRING),3,'0') AS p3, CAST(CAST(l_quantity AS BIGINT) AS STRING) AS qty FROM {_ROWS}) w) z""",
 }
 
 

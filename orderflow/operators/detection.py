@@ -154,6 +154,16 @@ def layout_confidence(text: Column, marks: dict[str, int]) -> Column:
     return sum((F.when(t.contains(word), n).otherwise(0) for word, n in marks.items()), F.lit(0)).cast("long")
 
 
+def text_quality(text: Column, words: tuple[str, ...], number: Column, spaced: str = "pedidodecompra") -> Column:
+    """EX-17: how well a reading of a file went: 3 for each word it holds, 8 for a title even if its letters stand apart, 10 for an order
+    number, 1 for each company number up to 5 and for each line that begins with a code up to 10."""
+    t = X.lower_folded(text)
+    held = sum((F.when(t.contains(w), 3).otherwise(0) for w in words), F.lit(0))
+    title = F.when(F.regexp_replace(t, r"\s+", "").contains(spaced), 8).otherwise(0)
+    count = lambda p, most: F.least(F.lit(most), F.regexp_count(text, F.lit(p)))
+    return (held + title + F.when(number != "", 10).otherwise(0) + count(r"[0-9]{2}\.[0-9]{3}\.[0-9]{3}/[0-9]{4}-[0-9]{2}|[0-9]{13,14}", 5) + count(r"(?m)^\s*[0-9]{4,8}\s+", 10)).cast("long")
+
+
 def store_identity(text: Column, subject: Column) -> tuple[Column, Column]:
     """EX-18: number and name of the store a text delivers to, else the number in the subject."""
     place = r"(?i)Local\s+de\s+Entrega\s*:?\s*([0-9]{1,5})\s*[-–]\s*([^\r\n]+)"

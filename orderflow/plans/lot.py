@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import scalars as S
-from ..operators import customers, detection, identity, lines, reports, resolve, sheets
+from ..operators import customers, detection, identity, lines, lot_items, lots, reports, resolve, sheets
 from ..operators.identity import Layout
 from ..sources import tables
 from . import standardize
@@ -51,6 +51,52 @@ def process_lot(text_lines: DataFrame, base: DataFrame, history: DataFrame) -> D
     return x.withColumns({"matricula": F.coalesce("matricula", F.lit("")), "repetido": F.coalesce("repetido", F.lit(False)), "no_historico": F.coalesce("no_historico", F.lit(False))})
 
 
+#: How documents of a lot write their order number, in order of trust.
+ORDER_FORMS = (
+    r"(?i)P\s*E\s*D\s*I\s*D\s*O\s*D\s*E\s*C\s*O\s*M\s*P\s*R\s*A\s*:\s*([0-9]+)", r"(?iu)N[uú]mero\s+do\s+Pedido\s*:\s*([0-9]+)", r"(?iu)N[uú]mero\s+Pedido\s*:\s*([0-9]+)",
+    r"(?iu)N[ºo°]?\s*Pedido\s*:\s*([0-9]+)", r"(?i)Pedido\s*[:\-]\s*([0-9]{4,})",
+)
+
+
+def run_lot(text_lines: DataFrame, entries: DataFrame, fallback: DataFrame, history: DataFrame, scores: dict[str, int], supplier: tuple[str, ...], today: str, with_duplicates: bool = False, with_alerts: bool = False) -> dict[str, DataFrame]:
+    """A lot's documents to files, items, issues and queue (PIPE-05).
+
+    Of each file the order number, delivery company number and store are read from its text, its items from tables of two formats
+    (EX-15). Customers come from entries (row_id, rede, cnpj, matricula), of which several of a number are told apart by scores of
+    their network's name, else from fallback (chave, matricula). A file without items is FORA_LAYOUT. Orders that an earlier file of the lot (by name) or
+    history (pedido) has are issues. The queue leaves out repeated orders, those with any issue and incomplete rows, each with its reason.
+    """
+    by_place = F.array_join(F.sort_array(F.collect_list(F.struct("page", "line_no", "line")))["line"], "\n")
+    docs = text_lines.groupBy(F.col("file").alias("row_id")).agg(by_place.alias("texto"))
+    number, name = detection.store_identity(F.col("texto"), F.lit(""))
+    heads = docs.select("row_id", lines.order_number(F.col("texto"), F.lit(""), ORDER_FORMS).alias("pedido"), number.alias("loja_numero"), name.alias("loja_nome"))
+    base = resolve.resolve_conflicts(entries, scores).select(F.col("cnpj").alias("chave"), F.col("escolhida").alias("matricula"))
+    places = detection.delivery_cnpj(docs, base.select(F.col("chave").alias("cnpj")), supplier)
+    found = resolve.resolve_with_divergence(places.select("row_id", F.col("cnpj").alias("chave")), base, fallback)
+    heads = heads.join(found.withColumnRenamed("chave", "cnpj"), "row_id").withColumnRenamed("row_id", "file")
+
+    items, noted = lot_items.lot_items(text_lines)
+    n = items.groupBy("file").agg(F.count(F.lit(1)).alias("itens"))
+    first = heads.filter("pedido <> ''").groupBy("pedido").agg(F.min("file").alias("primeiro"), F.count(F.lit(1)).alias("arquivos"))
+    known = history.select("pedido").distinct().withColumn("no_historico", F.lit(True))
+    files = heads.join(n, "file", "left").join(first, "pedido", "left").join(known, "pedido", "left").fillna(0, ["itens"])
+    why = F.array_compact(F.array(
+        F.when(F.col("pedido") == "", "PEDIDO_NAO_ENCONTRADO"), F.when(F.col("cnpj") == "", "CNPJ_NAO_ENCONTRADO"), F.when(F.col("origem") == "DIVERGENTE", "DIVERGENCIA_BH_GLN"), F.when(F.col("origem") == "RESERVA", "MATRICULA_VIA_GLN"),
+        F.when((F.col("origem") == "NENHUMA") & (F.col("cnpj") != ""), "MATRICULA_NAO_ENCONTRADA"), F.when(F.col("itens") == 0, "SEM_ITENS"), F.when(F.col("itens") == 0, "PEDIDO_FORA_LAYOUT"),
+        F.when((F.col("itens") > 0) & (F.col("file") > F.col("primeiro")), "PEDIDO_REPETIDO_PUSH"), F.when((F.col("itens") > 0) & F.col("no_historico"), "PEDIDO_REPETIDO_HISTORICO"),
+    ))
+    complete = (F.col("itens") > 0) & (F.col("pedido") != "") & (F.col("cnpj") != "") & (F.col("matricula") != "")
+    files = files.withColumns({"alertas": why, "situacao": F.when(F.col("itens") == 0, "FORA_LAYOUT").otherwise("OK"), "sucesso": complete})
+    issues = files.select("file", "pedido", F.lit(0).cast("long").alias("page"), F.lit(0).cast("long").alias("line_no"), F.explode("alertas").alias("tipo"), F.lit("").alias("linha"))
+    issues = issues.unionByName(noted.join(files.select("file", "pedido"), "file").select("file", "pedido", "page", "line_no", "tipo", "linha"))
+    rows = items.join(files.select("file", "pedido", "cnpj", "matricula", "loja_numero", "loja_nome"), "file")
+    asked = rows.withColumns({"row_id": F.struct("file", "page", "line_no"), "arquivo": F.col("file")})
+    gate = lots.gated_queue(asked, issues.filter("pedido <> ''"), with_duplicates, with_alerts).withColumnRenamed("pedido", "p")
+    day = F.date_format(F.date_add(F.lit(today).cast("date"), 1), "dd/MM/yyyy")
+    queue = asked.join(gate, "row_id").select("file", "page", "line_no", "matricula", "sku", "qtd", "pedido", day.alias("data_remessa"), "alerta")
+    return {"files": files.drop("primeiro", "no_historico"), "items": rows, "issues": issues, "queue": queue}
+
+
 def import_batch(items: DataFrame, results: DataFrame, layouts: dict[str, Layout], base: DataFrame, xref: DataFrame, today: str) -> tuple[DataFrame, DataFrame]:
     """Queue rows, and rows left out, of files of several layouts (PIPE-06).
 
