@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .fixtures_layouts import layout_lines
+
 _ROWS = "(SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey,l_suppkey,l_linenumber,l_extendedprice,l_quantity,l_shipdate) AS rn FROM lineitem) li JOIN orders ON l_orderkey=o_orderkey"
 _DAY = "concat(lpad(CAST(day(o_orderdate) AS STRING),2,'0'),'/',lpad(CAST(month(o_orderdate) AS STRING),2,'0'),'/',CAST(year(o_orderdate) AS STRING))"
 
@@ -101,6 +103,7 @@ FROM (SELECT l_orderkey*1000+rn AS row_id, (l_orderkey*17+l_partkey*3+l_suppkey)
     WHEN 3 THEN concat('1784412 7894900087000 REFRI LATA MARCA ',qty,',000 6,23 149,52 ',part) WHEN 4 THEN concat('1784412 7894900087000 A B C D ',CAST(rn AS STRING)) WHEN 5 THEN concat('1784412 7894900087000 X ',qty) WHEN 6 THEN concat('1784412 7894900087000 REFRI LATA MARCA ',qty,',250 6,23 149,52 9;',part,',12') ELSE concat('178441 7894900087000 ',part,' REFRI UN CX C/12 10,00 ',qty,',000 7,00') END END
  FROM (SELECT *, lpad(CAST(l_partkey%90000+10000 AS STRING),5,'0') AS part, lpad(CAST(l_partkey%1000 AS STRING),3,'0') AS p3, CAST(CAST(l_quantity AS BIGINT) AS STRING) AS qty FROM {_ROWS}) w) z""",
 }
+VIEWS["f14_lines"] = layout_lines(_ROWS)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
