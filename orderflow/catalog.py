@@ -136,7 +136,7 @@ over("str_03_folded_names", lambda m: m.select("row_id", S.folded(F.col("descric
 over("arr_07_key_types", lambda x: x.select("row_id", S.key_type(F.col("chave_lida")).alias("tipo")), "f2_xref", "SELECT row_id, CASE length(chave_lida) WHEN 14 THEN 'CNPJ' WHEN 13 THEN 'GLN' ELSE 'CHAVE' END AS tipo FROM f2_xref")
 over("win_06_item_section", lambda x: lines.item_section(x).select("file", "line_no", "line"), "f6_lines", "WITH x AS (SELECT *, last_value(CASE WHEN line LIKE 'PEDIDO DE COMPRAS %' THEN 1 WHEN line LIKE 'TOTAIS %' THEN 0 END IGNORE NULLS) OVER (PARTITION BY file ORDER BY page, line_no) AS a FROM f6_lines) SELECT file, line_no, line FROM x WHERE a = 1 AND line NOT LIKE 'PEDIDO DE COMPRAS %'")
 over("win_04_following_total", lines.with_following_total, "f6_lines", "WITH x AS (SELECT *, first_value(CASE WHEN line LIKE 'PEDIDO DE COMPRAS %' OR line LIKE 'TOTAIS %' THEN line END IGNORE NULLS) OVER (PARTITION BY file ORDER BY page, line_no ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING) AS n FROM f6_lines) SELECT file, line_no, regexp_extract(coalesce(n, ''), '^TOTAIS ([0-9]+),00$', 1) AS total FROM x WHERE line LIKE 'PEDIDO DE COMPRAS %'")
-over("ex_07_matrix_items", sheets.matrix_items, "f7_cells", "WITH x AS MATERIALIZED (SELECT * FROM f7_cells), h AS (SELECT file, sheet, c, v FROM x WHERE r = 1 AND v <> ''), s AS (SELECT file, sheet, r, v FROM x WHERE c = 1 AND r >= 3 AND v <> ''), b AS (SELECT file, sheet, r, c, TRY_CAST(v AS BIGINT) AS q FROM x WHERE r >= 3 AND c > 1) SELECT b.file, h.v AS matricula, s.v AS sku, q AS qtd FROM b JOIN h USING (file, sheet, c) JOIN s USING (file, sheet, r) WHERE q > 0")
+over("ex_07_matrix_items", sheets.matrix_items, "f7_cells", "WITH x AS (SELECT file, r, c, v, max(CASE WHEN r = 1 THEN v END) OVER (PARTITION BY file, sheet, c) AS store, max(CASE WHEN c = 1 THEN v END) OVER (PARTITION BY file, sheet, r) AS code FROM f7_cells) SELECT file, store AS matricula, code AS sku, TRY_CAST(v AS BIGINT) AS qtd FROM x WHERE r >= 3 AND c > 1 AND store <> '' AND code <> '' AND TRY_CAST(v AS BIGINT) > 0")
 over("win_08_visual_lines", sheets.line_texts, "f8_words", _PAGE + " SELECT file, page, linha, string_agg(text, ' ' ORDER BY x0) AS texto FROM v GROUP BY 1, 2, 3")
 over("ex_14_items_by_position", lambda w: sheets.items_by_position(w, BANDS), "f8_words", _PAGE + " SELECT file, page, linha, string_agg(text, ' ' ORDER BY x0) FILTER (x0 < 100) AS sku, string_agg(text, ' ' ORDER BY x0) FILTER (x0 >= 100 AND x0 < 250) AS descricao, string_agg(text, ' ' ORDER BY x0) FILTER (x0 >= 250) AS qtd FROM v GROUP BY 1, 2, 3")
 over("j_17_assign_nearest", lambda w: w.withColumn("alvo", sheets.nearest((F.col("x0") + F.col("x1")) / 2, CENTRES)).filter("alvo IS NOT NULL").select("file", "page", "top", "alvo"), "f8_words", "SELECT file, page, top, CASE WHEN (x0 + x1) / 2 <= 295 THEN 'L1' WHEN (x0 + x1) / 2 <= 306 THEN 'L2' ELSE 'L3' END AS alvo FROM f8_words WHERE (x0 + x1) / 2 BETWEEN 266 AND 336")

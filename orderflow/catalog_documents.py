@@ -134,7 +134,7 @@ over("ex_25_case_items", lambda x: lines.case_item(lines.extract_items(x), "REDE
 over("src_11_email_shipments", lambda i: tables.email_shipments(i.select("row_id", F.to_json(F.struct(F.concat(F.lit("<p>Olá</p><p>"), F.concat_ws(" ", "regional", F.lit("7120000001"), F.lpad(F.col("row_id") % 1000000, 6, "4"), F.lit("05/06/24")), F.lit("</p>fim")).alias("corpo_email"))).alias("meta"))).withColumn("data", F.date_format("data", "yyyy-MM-dd")), "f12_items", "SELECT row_id, 2 AS line_no, regional, '7120000001' AS matricula, lpad(CAST(row_id % 1000000 AS VARCHAR), 6, '4') AS pedido, '2024-06-05' AS data FROM f12_items")
 
 # Sheets
-over("ex_08_sku_by_store", lambda x: sheets.unpivot_sku_store(_vip(x)).drop("sheet"), "f7_cells", "WITH x AS MATERIALIZED (SELECT r, c, v FROM f7_cells), h AS (SELECT c, v FROM x WHERE r = 1 AND length(v) >= 6), s AS (SELECT r, v FROM x WHERE c = 1 AND r >= 3) SELECT x.r, x.c, h.v AS matricula, s.v AS sku, x.v AS qtd FROM x JOIN h USING (c) JOIN s USING (r) WHERE x.r >= 3 AND x.c > 1 AND TRY_CAST(x.v AS BIGINT) > 0")
+over("ex_08_sku_by_store", lambda x: sheets.unpivot_sku_store(_vip(x)).drop("sheet"), "f7_cells", "WITH x AS (SELECT r, c, v, max(CASE WHEN r = 1 AND length(v) >= 6 THEN v END) OVER (PARTITION BY c) AS store, max(CASE WHEN c = 1 THEN v END) OVER (PARTITION BY r) AS code FROM f7_cells) SELECT r, c, store AS matricula, code AS sku, v AS qtd FROM x WHERE r >= 3 AND c > 1 AND store IS NOT NULL AND code IS NOT NULL AND TRY_CAST(v AS BIGINT) > 0")
 
 
 def _vip(x: DataFrame) -> DataFrame:
@@ -149,7 +149,7 @@ def _stores_down(x: DataFrame) -> DataFrame:
     return heads.unionByName(stores).unionByName(body)
 
 
-over("ex_09_store_by_sku", lambda x: sheets.unpivot_store_sku(_stores_down(x)).drop("sheet"), "f7_cells", "WITH x AS MATERIALIZED (SELECT r, c, v FROM f7_cells), h AS (SELECT c, v FROM x WHERE r = 1), s AS (SELECT r, lpad(v, 6, '1') AS v FROM x WHERE c = 1 AND r >= 3) SELECT x.c + 1 AS r, x.r + 2 AS c, h.v AS matricula, s.v AS sku, x.v AS qtd FROM x JOIN h USING (c) JOIN s USING (r) WHERE x.r >= 3 AND x.c > 1 AND TRY_CAST(x.v AS BIGINT) > 0")
+over("ex_09_store_by_sku", lambda x: sheets.unpivot_store_sku(_stores_down(x)).drop("sheet"), "f7_cells", "WITH x AS (SELECT r, c, v, max(CASE WHEN r = 1 THEN v END) OVER (PARTITION BY c) AS store, max(CASE WHEN c = 1 THEN lpad(v, 6, '1') END) OVER (PARTITION BY r) AS code FROM f7_cells) SELECT c + 1 AS r, r + 2 AS c, store AS matricula, code AS sku, v AS qtd FROM x WHERE r >= 3 AND c > 1 AND store IS NOT NULL AND code IS NOT NULL AND TRY_CAST(v AS BIGINT) > 0")
 
 
 def _divided(x: DataFrame) -> DataFrame:
@@ -161,12 +161,12 @@ def _divided(x: DataFrame) -> DataFrame:
     return moved.unionByName(heads).unionByName(names).unionByName(fixed)
 
 
-_DIVIDED = "WITH x AS MATERIALIZED (SELECT r, c, v FROM f7_cells), h AS (SELECT c, v FROM x WHERE r = 1 AND c < 90), s AS (SELECT r, v FROM x WHERE c = 1 AND r >= 3), d AS (SELECT x.r, x.c + 10 AS c, x.c AS oc, h.v AS loja, CASE WHEN x.c % 2 = 0 THEN concat('Loja ', x.c) ELSE '' END AS nome, s.v AS sku, x.v AS qtd FROM x JOIN h USING (c) JOIN s USING (r) WHERE x.r >= 3 AND x.c > 1 AND TRY_CAST(x.v AS BIGINT) > 0)"
+_DIVIDED = "WITH x AS (SELECT r, c, v, max(CASE WHEN r = 1 AND c < 90 THEN v END) OVER (PARTITION BY c) AS store, max(CASE WHEN c = 1 THEN v END) OVER (PARTITION BY r) AS code FROM f7_cells), d AS (SELECT r, c + 10 AS c, c AS oc, store AS loja, CASE WHEN c % 2 = 0 THEN concat('Loja ', c) ELSE '' END AS nome, code AS sku, v AS qtd FROM x WHERE r >= 3 AND c > 1 AND store IS NOT NULL AND code IS NOT NULL AND TRY_CAST(v AS BIGINT) > 0)"
 over("ex_10_divided_matrix", lambda x: sheets.unpivot_divisor(_divided(x), 2, 1).drop("sheet"), "f7_cells", _DIVIDED + " SELECT r, c, loja, nome, sku, qtd FROM d")
 over("pipe_07_company_batch", lambda x, g, s: lot.company_batch(_divided(x), 2, 1, g.select("row_id", "cnpj", F.concat(F.lit("71400"), F.lpad("matricula", 5, "0")).alias("matricula")), s.select("row_id", F.expr("CAST(pedido AS INT)").alias("ordem"), F.concat(F.lit("71400"), F.lpad("matricula", 5, "0")).alias("matricula"), F.col("data_remessa").alias("data"))).drop("sheet"), "f7_cells f3_gln f10_ship", _DIVIDED + """, m AS (SELECT concat('71400', lpad(matricula, 5, '0')) AS matricula, arg_min(cnpj, row_id) AS cnpj FROM f3_gln GROUP BY 1), t AS (SELECT concat('71400', lpad(matricula, 5, '0')) AS matricula, arg_max(data_remessa, (CAST(pedido AS INT), row_id)) AS dt FROM f10_ship WHERE data_remessa <> '' GROUP BY 1)
 SELECT r, c, coalesce(m.cnpj, '') AS cnpj, loja AS matricula, sku, qtd, coalesce(dt, '') AS data_remessa FROM d LEFT JOIN m ON m.matricula = loja LEFT JOIN t ON t.matricula = loja""")
-over("ex_11_store_block", lambda x, g, m: sheets.unpivot_store_block(_coded(x), 1, g.select("row_id", F.concat(F.lit("71400"), F.lpad("matricula", 5, "0")).alias("loja"), "cnpj", F.col("gln").alias("nome")), m.filter("row_id % 4 <> 0")).drop("sheet"), "f7_cells f3_gln f4_map", """WITH x AS MATERIALIZED (SELECT r, c, v FROM f7_cells), h AS (SELECT c, v FROM x WHERE r = 1), s AS (SELECT r, concat('789', lpad(v, 10, '0')) AS e FROM x WHERE c = 1 AND r >= 3), g AS (SELECT concat('71400', lpad(matricula, 5, '0')) AS loja, arg_min(cnpj, row_id) AS cnpj FROM f3_gln GROUP BY 1), k AS (SELECT ean, arg_min(sku, row_id) AS sku FROM f4_map WHERE row_id % 4 <> 0 GROUP BY 1)
-SELECT x.r, x.c, h.v AS loja, coalesce(g.cnpj, '') AS cnpj_loja, coalesce(k.sku, e) AS sku, x.v AS qtd FROM x JOIN h USING (c) JOIN s USING (r) LEFT JOIN g ON g.loja = h.v LEFT JOIN k ON k.ean = e WHERE x.r >= 3 AND x.c > 1 AND TRY_CAST(x.v AS BIGINT) > 0""")
+over("ex_11_store_block", lambda x, g, m: sheets.unpivot_store_block(_coded(x), 1, g.select("row_id", F.concat(F.lit("71400"), F.lpad("matricula", 5, "0")).alias("loja"), "cnpj", F.col("gln").alias("nome")), m.filter("row_id % 4 <> 0")).drop("sheet"), "f7_cells f3_gln f4_map", """WITH x AS (SELECT r, c, v, max(CASE WHEN r = 1 THEN v END) OVER (PARTITION BY c) AS store, max(CASE WHEN c = 1 THEN concat('789', lpad(v, 10, '0')) END) OVER (PARTITION BY r) AS e FROM f7_cells), g AS (SELECT concat('71400', lpad(matricula, 5, '0')) AS loja, arg_min(cnpj, row_id) AS cnpj FROM f3_gln GROUP BY 1), k AS (SELECT ean, arg_min(sku, row_id) AS sku FROM f4_map WHERE row_id % 4 <> 0 GROUP BY 1)
+SELECT x.r, x.c, store AS loja, coalesce(g.cnpj, '') AS cnpj_loja, coalesce(k.sku, e) AS sku, x.v AS qtd FROM x LEFT JOIN g ON g.loja = store LEFT JOIN k ON k.ean = e WHERE x.r >= 3 AND x.c > 1 AND store IS NOT NULL AND e IS NOT NULL AND TRY_CAST(x.v AS BIGINT) > 0""")
 
 
 def _coded(x: DataFrame) -> DataFrame:
