@@ -97,13 +97,15 @@ over("pipe_04_approve_to_queue", lambda i: lot.approve_to_queue(_report(i), "val
 over("pipe_04_kept_out", lambda i: lot.approve_to_queue(_report(i), "validado", "conv")[1].select("row_id", "motivos"), "f12_items", _APPROVED + " SELECT row_id, motivos FROM b WHERE motivos <> ''")
 
 
-def _imported(i: DataFrame, g: DataFrame, x: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _imported(i: DataFrame, g: DataFrame, x: DataFrame) -> DataFrame:
     items = i.withColumn("arquivo", F.concat(F.lit("a"), F.col("row_id") % 4))
     results = i.sparkSession.createDataFrame([("a0", "UM", "ASSINATURA", 99), ("a1", "DOIS", "ASSINATURA", 99), ("a2", "TRES", "ASSINATURA", 90)], "arquivo string, layout string, modo string, confianca int")
-    return lot.import_batch(items, results, {"UM": Layout("UM", client="MATRICULA"), "DOIS": Layout("DOIS", client="MATRICULA", date_rule="COLUNA")}, g, x, TODAY)
+    why = F.col("motivo_descarte")
+    judged = lot.judge_batch(items, results, {"UM": Layout("UM", client="MATRICULA"), "DOIS": Layout("DOIS", client="MATRICULA", date_rule="COLUNA")}, g, x, TODAY)
+    return judged.groupBy("arquivo").agg(F.count_if(why != "").alias("fora"), F.count_if(why == "LAYOUT_NAO_SUPORTADO").alias("sem_layout"), F.count_if(why == "").alias("dentro"))
 
 
-over("pipe_06_imported_files", lambda i, g, x: _imported(i, g, x)[1].groupBy("arquivo").agg(F.count(F.lit(1)).alias("fora"), F.sum((F.col("motivo_descarte") == "LAYOUT_NAO_SUPORTADO").cast("long")).alias("sem_layout")).join(_imported(i, g, x)[0].groupBy("arquivo").agg(F.count(F.lit(1)).alias("dentro")), "arquivo", "left").fillna(0), "f12_items f3_gln f2_xref", r"""WITH a AS (SELECT row_id, concat('a', row_id % 4) AS arquivo, row_id % 4 AS k, *, CASE WHEN regexp_matches(quantidade_lida, '[A-Za-z]') THEN NULL WHEN regexp_full_match(quantidade_lida, '[0-9]{1,3}(\.[0-9]{3})+') THEN TRY_CAST(replace(quantidade_lida, '.', '') AS DECIMAL(30,8)) ELSE TRY_CAST(replace(quantidade_lida, ',', '.') AS DECIMAL(30,8)) END AS n, regexp_replace(numero_pedido_lido, '[^0-9]', '', 'g') AS p FROM f12_items),
+over("pipe_06_imported_files", _imported, "f12_items f3_gln f2_xref", r"""WITH a AS (SELECT row_id, concat('a', row_id % 4) AS arquivo, row_id % 4 AS k, *, CASE WHEN regexp_matches(quantidade_lida, '[A-Za-z]') THEN NULL WHEN regexp_full_match(quantidade_lida, '[0-9]{1,3}(\.[0-9]{3})+') THEN TRY_CAST(replace(quantidade_lida, '.', '') AS DECIMAL(30,8)) ELSE TRY_CAST(replace(quantidade_lida, ',', '.') AS DECIMAL(30,8)) END AS n, regexp_replace(numero_pedido_lido, '[^0-9]', '', 'g') AS p FROM f12_items),
 b AS (SELECT arquivo, k, length(p) BETWEEN 3 AND 20 AND p <> cnpj_lido AND p <> ean_lido AND NOT (p = sku_lido AND length(sku_lido) >= 5) AND length(matricula_lida) BETWEEN 6 AND 12 AND NOT (length(sku_lido) IN (12, 13, 14) AND ean_lido = '') AND (sku_lido <> '') AND (ean_lido = '' OR length(ean_lido) IN (8, 12, 13, 14)) AND coalesce(n > 0, false) AND NOT regexp_full_match(quantidade_lida, '[0-9]{1,4},[0-9]{3,6}')
   AND status_extracao = '' AND alerta_extracao = '' AND status_conversao NOT IN ('VALIDAR CONVERSAO', 'ALERTA - NÃO CONVERTIDO', 'outro NAO_CONVERTIDO') AND (k = 0 OR try_strptime(data_entrega_lida, '%d/%m/%Y') IS NOT NULL) AS ok FROM a)
 SELECT arquivo, count(*) FILTER (NOT (ok AND k IN (0, 1))) AS fora, count(*) FILTER (k IN (2, 3)) AS sem_layout, count(*) FILTER (ok AND k IN (0, 1)) AS dentro FROM b GROUP BY 1""")

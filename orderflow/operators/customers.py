@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions import texts as X
 from . import resolve
-from .identity import Layout
+from .identity import Layout, parameters
 
 KEYS = ("cnpj_lido", "cnpj_oficial_lido", "cnpj_base_lido", "cnpj_raiz_lido", "cnpj_sem_dv_lido", "gln_lido", "texto_loja_lido", "codigo_loja_lido", "codigo_cliente_lido", "codigo_origem_lido", "cod_cliente_lido", "cliente_lido", "loja_lida")
 
@@ -49,28 +49,31 @@ def xref_search(items: DataFrame, xref: DataFrame) -> DataFrame:
     return x.select("row_id", "x.matricula", "x.cnpj_oficial", F.col("x.k").alias("chave_match"), F.col("x.q").cast("long").alias("qualidade"), F.col("x.s").cast("long").alias("nivel"))
 
 
-def resolve_customer(df: DataFrame, layout: Layout, base: DataFrame, xref: DataFrame) -> DataFrame:
+def resolve_customer(df: DataFrame, layout: Layout | str, base: DataFrame, xref: DataFrame) -> DataFrame:
     """df with matricula_final, cnpj_oficial_final, status_depara_cliente (J-04).
 
     A layout that brings customer numbers is taken at its word. Else the base of company numbers comes first, or the
     cross-reference where the network's own entries go first; then the other one, then the number that was read, and
-    what is left is to be registered. df: row_id and what was read; base: row_id, cnpj, matricula.
+    what is left is to be registered. df: row_id and what was read; base: row_id, cnpj, matricula. layout: one for all
+    rows, or how the columns begin that have each row's; only rows of layouts with company numbers are looked up.
     """
-    read = S.digits(F.col("matricula_lida"))
-    if layout.client == "MATRICULA":
-        return df.withColumns({"matricula_final": read, "cnpj_oficial_final": S.digits(F.col("cnpj_lido")), "status_depara_cliente": F.when(read != "", "MATRICULA_DIRETA").otherwise("MATRICULA_VAZIA")})
-    if layout.client != "CNPJ":
-        return df.withColumns({"matricula_final": F.lit(""), "cnpj_oficial_final": S.digits(F.col("cnpj_lido")), "status_depara_cliente": F.lit("TIPO_CLIENTE_NAO_SUPORTADO")})
-    keys = df.select("row_id", F.lit(layout.name).alias("rede"), client_keys(df).alias("chaves"))
-    by_base = resolve.resolve_by_cnpj(df.select("row_id", "cnpj_lido"), base, "cnpj_lido").select("row_id", F.nullif(F.col("achada"), F.lit("")).alias("_base"))
+    p = parameters(layout)
+    read, own = S.digits(F.col("matricula_lida")), S.digits(F.col("cnpj_lido"))
+    direct, status_of_direct = F.when(p.client == "MATRICULA", read).otherwise(""), F.when(p.client != "MATRICULA", "TIPO_CLIENTE_NAO_SUPORTADO").when(read != "", "MATRICULA_DIRETA").otherwise("MATRICULA_VAZIA")
+    if p.one and p.one.client != "CNPJ":
+        return df.withColumns({"matricula_final": direct, "cnpj_oficial_final": own, "status_depara_cliente": status_of_direct})
+    looked = df.filter(p.client == "CNPJ")
+    keys = looked.select("row_id", p.name.alias("rede"), client_keys(df).alias("chaves"))
+    by_base = resolve.resolve_by_cnpj(looked.select("row_id", "cnpj_lido"), base, "cnpj_lido").select("row_id", F.nullif(F.col("achada"), F.lit("")).alias("_base"))
     by_xref = xref_search(keys, xref).select("row_id", F.nullif(F.col("matricula"), F.lit("")).alias("_xref"), F.col("cnpj_oficial").alias("_official"))
     x = df.join(by_base, "row_id", "left").join(by_xref, "row_id", "left")
-    sources = [("_xref", "DEPARA_CLIENTES"), ("_base", "BASE_GLNS_CNPJ")]
-    sources = sources if layout.network_first else sources[::-1]
-    found, told = F.coalesce(*[F.col(c) for c, _ in sources]), F.coalesce(*[F.when(F.col(c).isNotNull(), s) for c, s in sources])
+    by_order = lambda a, b: F.when(p.network_first, F.coalesce(a, b)).otherwise(F.coalesce(b, a))
+    told = by_order(F.when(F.col("_xref").isNotNull(), "DEPARA_CLIENTES"), F.when(F.col("_base").isNotNull(), "BASE_GLNS_CNPJ"))
     status = F.coalesce(told, F.when(read != "", "MATRICULA_LIDA_LAYOUT"), F.lit("A_CADASTRAR"))
-    official = F.when(status == "DEPARA_CLIENTES", X.first_nonblank(F.col("_official"), S.digits(F.col("cnpj_lido")))).otherwise(S.digits(F.col("cnpj_lido")))
-    return x.withColumns({"matricula_final": F.coalesce(found, read), "cnpj_oficial_final": official, "status_depara_cliente": status}).drop("_base", "_xref", "_official")
+    official = F.when(status == "DEPARA_CLIENTES", X.first_nonblank(F.col("_official"), own)).otherwise(own)
+    by_company = {"matricula_final": F.coalesce(by_order(F.col("_xref"), F.col("_base")), read), "cnpj_oficial_final": official, "status_depara_cliente": status}
+    others = {"matricula_final": direct, "cnpj_oficial_final": own, "status_depara_cliente": status_of_direct}
+    return x.withColumns({c: F.when(p.client == "CNPJ", v).otherwise(others[c]) for c, v in by_company.items()}).drop("_base", "_xref", "_official")
 
 
 def resolve_store(df: DataFrame, known: DataFrame, key: str = "identificador") -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
@@ -27,6 +27,44 @@ class Layout:
     long_number: str = ""  # company numbers of 15 digits that begin so count as whole
 
 
+@dataclass(frozen=True)
+class Parameters:
+    """A layout as columns: those of one Layout, the same for all rows, or those of each row's own layout, as layouts_frame names them."""
+
+    name: Column
+    client: Column
+    file: Column
+    notes: Column
+    date_rule: Column
+    network_first: Column
+    dot_orders: Column
+    trusted: Column
+    long_number: Column
+    one: Layout | None = None  # where it is the same for all rows
+
+    def trusts(self, folded: Column) -> Column:
+        """Whether the text, folded, names a layout that is trusted."""
+        return any_of(folded, self.one.trusted) if self.one else F.exists(self.trusted, lambda w: F.contains(folded, w))
+
+
+def parameters(layout: Layout | str | Parameters) -> Parameters:
+    """Of one layout, or of the columns whose names begin so."""
+    if isinstance(layout, Parameters):
+        return layout
+    if isinstance(layout, str):
+        return Parameters(*[F.col(f"{layout}{f.name}") for f in fields(Layout)])
+    values = [getattr(layout, f.name) for f in fields(Layout)]
+    return Parameters(*[F.array(*map(F.lit, v)).cast("array<string>") if isinstance(v, tuple) else F.lit(v) for v in values], one=layout)
+
+
+def layouts_frame(spark: SparkSession, layouts: dict[str, Layout], prefix: str = "_layout_") -> DataFrame:
+    """nome and a column for each field: layouts as rows, by the name that files have them under."""
+    kinds = {str: "string", bool: "boolean", tuple: "array<string>"}
+    names = ", ".join(f"{prefix}{f.name} {kinds[type(getattr(Layout(''), f.name))]}" for f in fields(Layout))
+    rows = [(name, *(list(v) if isinstance(v, tuple) else v for v in (getattr(x, f.name) for f in fields(Layout)))) for name, x in layouts.items()]
+    return spark.createDataFrame(rows, f"nome string, {names}")
+
+
 #: Words in a status that make it unsafe, and in an alert that tell audit notes from errors.
 UNSAFE = ("ALERTA", "ERRO", "PENDENTE", "VALIDAR", "HOMOLOG")
 AUDIT = ("RASTREABILIDADE_LAYOUT", "REF_DIFERENTE_DO_COD_FORN_MANTIDO_COMO_AUDITORIA", "SKU_RECUPERADO_POR_REF_COD_FORN_AUSENTE")
@@ -67,21 +105,23 @@ def audit_only(c: Column) -> Column:
     return (s == "") | (~any_of(s, BLOCKING) & F.forall(X.reasons(s), lambda p: any_of(p, AUDIT)))
 
 
-def whole_company_number(d: Column, layout: Layout) -> Column:
-    whole = F.length(d) == 14
-    return whole | ((F.length(d) == 15) & d.startswith(layout.long_number)) if layout.long_number else whole
+def whole_company_number(d: Column, layout: Layout | str | Parameters) -> Column:
+    p = parameters(layout)
+    return (F.length(d) == 14) | ((F.length(d) == 15) & (p.long_number != "") & F.startswith(d, p.long_number))
 
 
 def _first(df: DataFrame, *names: str) -> Column:
     return X.first_nonblank(*[F.col(n) for n in names if n in df.columns], F.lit(""))
 
 
-def check_identity(df: DataFrame, layout: Layout) -> DataFrame:
+def check_identity(df: DataFrame, layout: Layout | str) -> DataFrame:
     """df with status_identidade, motivo_identidade (the first reason), alerta_identidade (all of them) (FLT-21).
 
     A bar code in the place of an article is copied to ean_lido, a readable quantity is put in canonical form, and
     a missing order number becomes a dot where the layout allows it. Rows of trusted layouts that are complete pass.
+    layout: one for all rows, or how the columns begin that have each row's.
     """
+    layout = parameters(layout)
     names = ("_m", "_c", "_g", "_e", "_s", "_raw", "_shop", "_p", "_n", "_origin")
     df = S.once(
         df, _m=S.digits(F.col("matricula_lida")), _c=S.digits(F.col("cnpj_lido")), _g=S.digits(F.col("gln_lido")), _e=S.digits(F.col("ean_lido")), _s=S.digits(_first(df, "sku_lido", "codigo_sku_lido")),
@@ -90,30 +130,28 @@ def check_identity(df: DataFrame, layout: Layout) -> DataFrame:
     )
     m, c, g, e, s, raw, shop, p, n, origin = map(F.col, names)
     q = F.col("quantidade_lida")
-    own = is_trusted(layout.trusted, F.lit(layout.name), F.col("layout_usado"))
-    optional = any(w in layout.notes.upper() for w in ("PEDIDO_OPCIONAL", "SEM PEDIDO POR LINHA", "PEDIDO OPCIONAL"))
-    dot = (raw == ".") if layout.file == "EXCEL" and optional else F.lit(False)
-    dot = dot | raw.isin("", ".") if layout.dot_orders else dot
+    own = layout.trusts(plain_upper(F.concat_ws(" ", S.text(layout.name), S.text(F.col("layout_usado")))))
+    excel = layout.file == "EXCEL"
+    optional = any_of(F.upper(layout.notes), ("PEDIDO_OPCIONAL", "SEM PEDIDO POR LINHA", "PEDIDO OPCIONAL"))
+    dot = (excel & optional & (raw == ".")) | (layout.dot_orders & raw.isin("", "."))
     moved = (e == "") & F.length(s).isin(*EAN_SIZES)
     no_order, alert = p.isin("", "0"), S.text(F.col("alerta_extracao"))
     why = lambda code, v: F.concat(F.lit(f"{code}: "), v)
-    if layout.client == "MATRICULA":
-        client = [F.when(m == "", "MATRICULA_NAO_LOCALIZADA_NO_LAYOUT").when(~F.length(m).between(6, 12), why("MATRICULA_COM_TAMANHO_ATIPICO", m))]
-    else:
-        client = [F.when((c != "") & ~whole_company_number(c, layout), why("CNPJ_COM_TAMANHO_INVALIDO", c)).when((c == "") & (g == "") & (shop == "") & (m == ""), "CHAVE_CLIENTE_NAO_LOCALIZADA")]
+    by_number = F.when(m == "", "MATRICULA_NAO_LOCALIZADA_NO_LAYOUT").when(~F.length(m).between(6, 12), why("MATRICULA_COM_TAMANHO_ATIPICO", m))
+    by_company = F.when((c != "") & ~whole_company_number(c, layout), why("CNPJ_COM_TAMANHO_INVALIDO", c)).when((c == "") & (g == "") & (shop == "") & (m == ""), "CHAVE_CLIENTE_NAO_LOCALIZADA")
     tracked = own & plain_upper(alert).contains("RASTREABILIDADE_LAYOUT") & ~any_of(plain_upper(alert), ("ERRO", "INVALID", "NAO HOMOLOG", "HOMOLOGACAO CONTROLADA"))
     noted = own & audit_only(alert)
-    trial = any(w in layout.name.upper() for w in TRIAL) and not any(t in layout.name.upper() for t in layout.trusted)
+    trial = any_of(F.upper(layout.name), TRIAL) & ~layout.trusts(F.upper(layout.name))
     reasons = F.array(
         F.when(moved & (F.length(s) >= 12), "SKU_LIDO_PARECE_EAN"),
-        F.when(no_order & ~dot, F.when(F.lit(layout.file == "EXCEL") & (raw == "."), "PEDIDO_AUSENTE_EM_EXCEL").otherwise("PEDIDO_VAZIO_OU_NAO_LOCALIZADO")),
+        F.when(no_order & ~dot, F.when(excel & (raw == "."), "PEDIDO_AUSENTE_EM_EXCEL").otherwise("PEDIDO_VAZIO_OU_NAO_LOCALIZADO")),
         F.when(~no_order & ~F.length(p).between(3, 20), why("PEDIDO_COM_TAMANHO_ATIPICO", p)), F.when(~no_order & (p == c), "PEDIDO_PARECE_CNPJ"),
-        F.when(~no_order & (p == e), "PEDIDO_PARECE_EAN"), F.when(~no_order & (p == s) & (F.length(s) >= 5), "PEDIDO_PARECE_SKU"), *client,
+        F.when(~no_order & (p == e), "PEDIDO_PARECE_EAN"), F.when(~no_order & (p == s) & (F.length(s) >= 5), "PEDIDO_PARECE_SKU"), F.when(layout.client == "MATRICULA", by_number).otherwise(by_company),
         F.when((s == "") & (e == "") & (origin == ""), "SKU_EAN_NAO_LOCALIZADO"), F.when(~own & F.length(s).isin(13, 14) & (e == ""), "SKU_COM_TAMANHO_DE_EAN"),
         F.when(~own & (e != "") & ~F.length(e).isin(*EAN_SIZES), why("EAN_COM_TAMANHO_ATIPICO", e)),
         F.when(S.text(q) == "", "QTD_VAZIA").when(n.isNull(), why("QTD_NAO_NUMERICA", S.text(q))).when(n <= 0, why("QTD_ZERO_OU_NEGATIVA", S.text(q))).when(~own & N.looks_like_price(q), why("QTD_PARECE_PRECO_CUSTO", S.text(q))),
         F.when(unsafe_status(F.col("status_extracao")) & ~noted, why("STATUS_EXTRACAO_REQUER_VALIDACAO", S.text(F.col("status_extracao")))),
-        F.when((alert != "") & ~tracked & ~noted, alert), F.when(F.lit(trial), why("LAYOUT_EM_HOMOLOGACAO_OU_TESTE", F.lit(layout.name))),
+        F.when((alert != "") & ~tracked & ~noted, alert), F.when(trial, why("LAYOUT_EM_HOMOLOGACAO_OU_TESTE", layout.name)),
     )
     x = S.once(df, _why=F.array_distinct(F.array_compact(reasons)))
     x = x.withColumns({"ean_lido": F.when(moved, s).otherwise(F.col("ean_lido")), "numero_pedido_lido": F.when(no_order & dot, ".").otherwise(F.col("numero_pedido_lido")), "quantidade_lida": F.when(n > 0, N.said(n)).otherwise(q)})
@@ -125,25 +163,25 @@ def check_identity(df: DataFrame, layout: Layout) -> DataFrame:
     }).drop("_why", "_ok", *names)
 
 
-def releasable(df: DataFrame, layout: Layout, found: Column) -> Column:
+def releasable(df: DataFrame, layout: Layout | str | Parameters, found: Column) -> Column:
     """FLT-09: a row of a trusted layout with company number, product, order and quantity, whose notes name no real error."""
-    said = plain_upper(F.concat_ws(" ", F.lit(layout.name), S.text(F.col("layout_usado")), S.text(F.col("alerta_extracao")), found))
+    layout = parameters(layout)
+    said = plain_upper(F.concat_ws(" ", layout.name, S.text(F.col("layout_usado")), S.text(F.col("alerta_extracao")), found))
     c, s, e = S.digits(F.col("cnpj_lido")), S.digits(_first(df, "sku_lido", "codigo_sku_lido")), S.digits(F.col("ean_lido"))
     p, n = S.digits(F.col("numero_pedido_lido")), N.br_number(F.col("quantidade_lida"))
-    order = F.length(p) >= 3
-    if layout.dot_orders:
-        order = order | (S.text(F.col("numero_pedido_lido")) == ".")
-    return any_of(said, layout.trusted) & ~any_of(said, (*STOPPERS, "ERRO")) & whole_company_number(c, layout) & ((s != "") | (e != "")) & order & F.coalesce(n > 0, F.lit(False))
+    order = (F.length(p) >= 3) | (layout.dot_orders & (S.text(F.col("numero_pedido_lido")) == "."))
+    return layout.trusts(said) & ~any_of(said, (*STOPPERS, "ERRO")) & whole_company_number(c, layout) & ((s != "") | (e != "")) & order & F.coalesce(n > 0, F.lit(False))
 
 
-def release_trusted(df: DataFrame, layout: Layout) -> DataFrame:
+def release_trusted(df: DataFrame, layout: Layout | str) -> DataFrame:
     """FLT-09 before the queue: complete rows of trusted layouts are OK, whatever tracking noted.
 
     Needs matricula_final, numero_pedido_final and data_remessa_final beside what was read.
     """
+    layout = parameters(layout)
     said = plain_upper(F.concat_ws(" ", *[S.text(F.col(c)) for c in ("layout_usado", "alerta_extracao", "alerta_identidade", "motivo_identidade", "status_conversao")]))
     full = [S.text(F.col(c)) != "" for c in ("matricula_final", "sku_lido", "quantidade_lida", "numero_pedido_final")]
-    ready = any_of(said, layout.trusted) & ~any_of(said, (*STOPPERS, "CONVERSAO_PENDENTE", "ALERTA - NAO CONVERTIDO", "VALIDAR CONVERSAO")) & whole_company_number(S.digits(F.col("cnpj_lido")), layout) & F.col("data_remessa_final").isNotNull()
+    ready = layout.trusts(said) & ~any_of(said, (*STOPPERS, "CONVERSAO_PENDENTE", "ALERTA - NAO CONVERTIDO", "VALIDAR CONVERSAO")) & whole_company_number(S.digits(F.col("cnpj_lido")), layout) & F.col("data_remessa_final").isNotNull()
     for column in full:
         ready = ready & column
     name = F.regexp_replace("layout_usado", "(?i)^RASTREABILIDADE -> *", "")
@@ -156,15 +194,15 @@ def conversion_blocks(c: Column) -> Column:
     return ~plain_upper(c).isin("", *CONVERTED)
 
 
-def identity_blocks(df: DataFrame, layout: Layout) -> Column:
+def identity_blocks(df: DataFrame, layout: Layout | str) -> Column:
     """FLT-08: a status other than OK, unless a trusted layout's only note is tracking."""
     said = plain_upper(F.concat_ws(" ", *[S.text(F.col(c)) for c in ("layout_usado", "alerta_extracao", "alerta_identidade", "motivo_identidade")]))
     stop = ("SKU_EAN_NAO_LOCALIZADO", "SKU_VAZIO", "QTD_VAZIA", "QTD_NAO_NUMERICA", "QTD_ZERO_OU_NEGATIVA", "MATRICULA_NAO_LOCALIZADA", "MATRICULA_NAO_ENCONTRADA", "PEDIDO_VAZIO", "PEDIDO_AUSENTE", "CNPJ_COM_TAMANHO_INVALIDO", "CHAVE_CLIENTE_NAO_LOCALIZADA", "LAYOUT_EM_HOMOLOGACAO", "STATUS_EXTRACAO_REQUER_VALIDACAO")
-    noted = any_of(said, layout.trusted) & said.contains("RASTREABILIDADE_LAYOUT") & ~any_of(said, stop)
+    noted = parameters(layout).trusts(said) & said.contains("RASTREABILIDADE_LAYOUT") & ~any_of(said, stop)
     return ~F.upper(S.text(F.col("status_identidade"))).isin("", "OK", "IDENTIDADE OK") & ~noted
 
 
-def validate_business(df: DataFrame, layout: Layout) -> DataFrame:
+def validate_business(df: DataFrame, layout: Layout | str) -> DataFrame:
     """df with motivo_descarte: the first thing that keeps a row from the queue, or "" (FLT-06)."""
     blank = lambda c: S.text(F.col(c)) == ""
     why = (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import scalars as S
-from ..operators import customers, detection, identity, lines, lot_items, lots, reports, resolve, sheets
+from ..operators import customers, detection, identity, lines, lot_items, lots, reports, resolve, rules, sheets
 from ..operators.identity import Layout
 from ..sources import tables
 from . import standardize
@@ -97,26 +97,47 @@ def run_lot(text_lines: DataFrame, entries: DataFrame, fallback: DataFrame, hist
     return {"files": files.drop("primeiro", "no_historico"), "items": rows, "issues": issues, "queue": queue}
 
 
+def judge_batch(items: DataFrame, results: DataFrame, layouts: dict[str, Layout], base: DataFrame, xref: DataFrame, today: str) -> DataFrame:
+    """items of files of several layouts, standardised, with motivo_descarte.
+
+    items: arquivo and what was read; results: arquivo, layout, modo, confianca, as detection gives them. Layouts are a
+    dimension that rows are joined with, so all are one job, whose plan doesn't grow with their number; rows of no known layout stay as they were read.
+    """
+    known = identity.layouts_frame(items.sparkSession, layouts).withColumnRenamed("nome", "layout_referencia")
+    x = detection.stamp_tracking(items, results).join(known, "layout_referencia", "left")
+    judged = standardize.judge_orders(x.filter("_layout_name IS NOT NULL"), "_layout_", base, xref, today)
+    return judged.unionByName(x.filter("_layout_name IS NULL").withColumn("motivo_descarte", F.lit("LAYOUT_NAO_SUPORTADO")), allowMissingColumns=True)
+
+
 def import_batch(items: DataFrame, results: DataFrame, layouts: dict[str, Layout], base: DataFrame, xref: DataFrame, today: str) -> tuple[DataFrame, DataFrame]:
-    """Queue rows, and rows left out, of files of several layouts (PIPE-06).
+    """Queue rows, and rows left out with motivo_descarte, of files of several layouts, as judge_batch has them (PIPE-06)."""
+    x = judge_batch(items, results, layouts, base, xref, today)
+    return standardize.queue_rows(x.filter("motivo_descarte = ''"), "arquivo"), x.filter("motivo_descarte <> ''").select("row_id", "arquivo", "motivo_descarte")
 
-    items: arquivo and what was read; results: arquivo, layout, modo, confianca, as detection gives them. Files are
-    standardised layout by layout, of which there are some dozens; those of no known layout are left out with a reason.
+
+def import_lines(lines_: DataFrame, files: DataFrame, rules_: DataFrame, layouts: dict[str, Layout], base: DataFrame, xref: DataFrame, today: str) -> dict[str, DataFrame]:
+    """Text lines of files of many layouts to queue rows in one job (PIPE-06).
+
+    files: file, layout, modo, as detect_layout gives them; rules_: layout rules as rows. Lines are read by their file's rule, items
+    standardised by their file's layout. queue: row_id, arquivo and the queue's columns; left: row_id, arquivo, motivo_descarte;
+    files: arquivo, layout, modo, lidos, na_fila, fora, sem_leitura, status. A row is known by file, page and line.
     """
-    x = detection.stamp_tracking(items, results)
-    valid, out = [], []
-    for name, layout in layouts.items():
-        ok, bad = standardize.standardize_orders(x.filter(F.col("layout_referencia") == name), layout, base, xref, today)
-        valid.append(standardize.queue_rows(ok).join(ok.select("row_id", "arquivo"), "row_id"))
-        out.append(bad.select("row_id", "arquivo", "motivo_descarte"))
-    out.append(x.filter(~F.col("layout_referencia").isin(*layouts)).select("row_id", "arquivo", F.lit("LAYOUT_NAO_SUPORTADO").alias("motivo_descarte")))
-    rows = valid[0]
-    for more in valid[1:]:
-        rows = rows.unionByName(more)
-    left = out[0]
-    for more in out[1:]:
-        left = left.unionByName(more)
-    return rows, left
+    known = files.select("file", "layout", "modo")
+    read = rules.read_lines(lines_.drop("layout").join(known.drop("modo"), "file"), rules_)
+    found = rules.rule_items(read)
+    unread = F.col("tipo") == "NAO_LIDA"
+    items = found.select(
+        F.concat_ws(":", "file", "page", "line_no").alias("row_id"), F.col("file").alias("arquivo"), F.lit("").alias("matricula_lida"), F.col("cnpj").alias("cnpj_lido"), F.lit("").alias("gln_lido"), F.col("ean").alias("ean_lido"), F.col("sku").alias("sku_lido"),
+        F.col("qtd").alias("quantidade_lida"), F.col("pedido").alias("numero_pedido_lido"), F.col("dia").alias("data_entrega_lida"), F.col("descricao").alias("descricao_lida"), F.col("codigo").alias("codigo_origem_lido"), F.col("layout").alias("layout_usado"),
+        F.when(unread, "ALERTA_LEITURA").otherwise("OK").alias("status_extracao"), F.array_join("alertas", " | ").alias("alerta_extracao"), F.lit("").alias("status_conversao"),
+    )
+    results = known.select(F.col("file").alias("arquivo"), "layout", "modo", F.lit(100).alias("confianca"))
+    x = judge_batch(items, results, layouts, base, xref, today)
+    out = F.col("motivo_descarte") != ""
+    told = x.groupBy("arquivo").agg(F.count_if(~out).alias("na_fila"), F.count_if(out).alias("fora"), F.count_if(F.col("status_extracao") == "ALERTA_LEITURA").alias("sem_leitura"))
+    told = results.drop("confianca").join(told, "arquivo", "left").fillna(0, ["na_fila", "fora", "sem_leitura"])
+    status = F.when((F.col("na_fila") + F.col("fora")) == 0, "SEM_ITENS").when(F.col("fora") == 0, "OK").when(F.col("na_fila") == 0, "REJEITADO").otherwise("PARCIAL")
+    return {"queue": standardize.queue_rows(x.filter(~out), "arquivo"), "left": x.filter(out).select("row_id", "arquivo", "motivo_descarte"), "files": told.withColumns({"lidos": F.col("na_fila") + F.col("fora"), "status": status})}
 
 
 def company_batch(cells: DataFrame, header: int, sku_column: int, stores: DataFrame, dates: DataFrame) -> DataFrame:

@@ -85,3 +85,29 @@ def test_lot_tables_open_and_close(spark):
     a, b = "12345 SUCO SEM UNIDADE", "1784412 7894900087000 REFRI MARCA 24,000 6,23 149,52 119143"
     got = lot(spark, a, HEAD_A, a, "Total Pedido 9", a, HEAD_B, b, "Totais 3", "x")
     assert [(r.line_no, r.formato, len(r.alertas)) for r in got] == [(1, "", 1), (3, "", 2), (5, "", 1), (7, "B", 0)]
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_layouts_as_a_dimension_judge_as_one_by_one(spark):
+    from pyspark.sql import functions as F
+
+    from orderflow.fixtures import view
+    from orderflow.operators.identity import Layout
+    from orderflow.plans import lot, standardize
+
+    layouts = {
+        "A": Layout("REDE DOIS", trusted=("REDE UM",)), "B": Layout("REDE TESTE", network_first=True, date_rule="COLUNA", dot_orders=True, long_number="99"), "C": Layout("REDE TRES", client="MATRICULA", file="EXCEL", notes="pedido opcional"), "D": Layout("REDE QUATRO", client="LOJA"),
+    }
+    items = view(spark, SF, "f12_items").filter("row_id % 7 = 0").withColumn("arquivo", F.element_at(F.array(*map(F.lit, "ABCDE")), (F.col("row_id") % 5 + 1).cast("int")))
+    base, xref = view(spark, SF, "f3_gln"), view(spark, SF, "f2_xref")
+    results = spark.createDataFrame([(x, x, "ASSINATURA", 99) for x in "ABCDE"], "arquivo string, layout string, modo string, confianca int")
+    columns = ["row_id", "matricula_final", "cnpj_oficial_final", "status_depara_cliente", "numero_pedido_final", "data_remessa_final", "quantidade_lida", "status_identidade", "alerta_identidade", "motivo_descarte"]
+    got = lot.judge_batch(items, results, layouts, base, xref, "2026-03-17").select("arquivo", *columns).collect()
+    for name in "ABCD":
+        want = standardize.judge_orders(items.filter(F.col("arquivo") == name), layouts[name], base, xref, "2026-03-17").select(*columns).collect()
+        assert sorted(tuple(map(str, r)) for r in want) == sorted(tuple(map(str, r[1:])) for r in got if r.arquivo == name)
+    assert {r.motivo_descarte for r in got if r.arquivo == "E"} == {"LAYOUT_NAO_SUPORTADO"}
+    size = lambda n: lot.judge_batch(items, results, {f"{k}{i}": v for i in range(n) for k, v in layouts.items()}, base, xref, "2026-03-17")._jdf.queryExecution().analyzed().toString().count("\n")
+    assert size(1) == size(11)
