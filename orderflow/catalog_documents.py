@@ -58,7 +58,7 @@ def _layouts(x: DataFrame) -> DataFrame:
 _ALLOWED = "row_id % 5 <> 0 AND row_id % 7 NOT IN (0, 2)"
 over("flt_02_active_layouts", lambda x: tables.active_layouts(_layouts(x), "pdf").select("row_id").withColumn("k", F.lit("ativo")).unionByName(tables.find_layout(_layouts(x), layout_id="7").select("row_id").withColumn("k", F.lit("achado"))), "f2_xref", "SELECT row_id, 'ativo' AS k FROM f2_xref WHERE row_id % 5 <> 0 AND row_id % 3 <> 0 UNION ALL SELECT row_id, 'achado' FROM f2_xref WHERE row_id = 7")
 over("flt_17_tracking_allowed", lambda x: detection.tracking_allowed(_layouts(x)), "f2_xref", f"SELECT row_id, {_ALLOWED} AS permitido FROM f2_xref")
-over("src_16_default_keyword_rules", lambda x: detection.default_keyword_rules(_layouts(x)).select("row_id", "ativa", F.array_join("fortes", "|").alias("fortes"), F.size("apoio").cast("long").alias("n_apoio")), "f2_xref", f"SELECT row_id, {_ALLOWED} AS ativa, concat('REDE|', upper(rede), CASE WHEN row_id % 11 = 10 THEN '|N10' ELSE '' END) AS fortes, CASE WHEN row_id % 3 = 0 THEN 13 ELSE 15 END + CASE row_id % 7 WHEN 0 THEN CASE WHEN row_id % 3 = 0 THEN 5 ELSE 4 END - CASE WHEN row_id % 3 = 0 THEN 0 ELSE 0 END WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE CASE WHEN row_id % 3 = 0 THEN 1 ELSE 1 END END AS n_apoio FROM f2_xref WHERE row_id % 5 <> 0")
+over("src_16_default_keyword_rules", lambda x: detection.default_keyword_rules(_layouts(x)).select("row_id", "ativa", F.array_join("fortes", "|").alias("fortes"), F.size("apoio").cast("long").alias("n_apoio")), "f2_xref", f"SELECT row_id, {_ALLOWED} AS ativa, concat('REDE|', upper(rede), CASE WHEN row_id % 11 = 10 THEN '|N10' ELSE '' END) AS fortes, CASE WHEN row_id % 3 = 0 THEN 13 ELSE 18 END + CASE row_id % 7 WHEN 0 THEN CASE WHEN row_id % 3 = 0 THEN 5 ELSE 4 END - CASE WHEN row_id % 3 = 0 THEN 0 ELSE 0 END WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE CASE WHEN row_id % 3 = 0 THEN 1 ELSE 1 END END AS n_apoio FROM f2_xref WHERE row_id % 5 <> 0")
 over("j_19_layout_for_network", lambda x: detection.layout_for_network(x.select("row_id", F.when(F.col("row_id") % 4 == 0, F.concat(F.lit("REDE "), "rede")).when(F.col("row_id") % 4 == 1, F.concat("rede", F.lit(" SUL"))).otherwise("").alias("rede"), F.lit("PDF").alias("tipo")), _layouts(x)).select("row_id", "layout", "score"), "f2_xref", f"""WITH l AS (SELECT row_id, upper(rede) AS rede FROM f2_xref WHERE {_ALLOWED} AND row_id % 3 <> 0), b AS (SELECT rede, min(row_id) AS layout FROM l GROUP BY 1), o AS (SELECT min(row_id) AS any_layout FROM l)
 SELECT x.row_id, b.layout, CASE WHEN x.row_id % 4 = 0 THEN 90 ELSE 55 END AS score FROM f2_xref x JOIN b ON b.rede = upper(x.rede) WHERE x.row_id % 4 IN (0, 1)""")
 over("flt_29_route_layout", lambda x: detection.route_layout(_layouts(x), [("REDE BUILDING", "construcao"), ("AUTO", "carro"), ("HOUSE", "casa")]).select("row_id", "rota"), "f2_xref", "SELECT row_id, CASE WHEN upper(rede) LIKE '%BUILDING%' THEN 'construcao' WHEN upper(rede) LIKE '%AUTO%' THEN 'carro' WHEN upper(rede) LIKE '%HOUSE%' THEN 'casa' ELSE 'LAYOUT_NAO_SUPORTADO' END AS rota FROM f2_xref")

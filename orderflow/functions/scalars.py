@@ -23,7 +23,7 @@ def rescued_digits(c: Column) -> Column:
     """Digits of an identifier that a sheet may have made a number: 1700273623.0, 1,7E+09."""
     plain = F.regexp_replace(text(c), ",", ".")
     number = plain.rlike(r"^[0-9]+\.0+$") | plain.rlike(r"^[0-9]+(\.[0-9]+)?[eE]\+?[0-9]+$")
-    whole = plain.try_cast("double").cast("decimal(38,0)").cast("string")
+    whole = F.round(plain.try_cast("decimal(38,6)"), 0).cast("decimal(38,0)").cast("string")
     return F.when(number, F.coalesce(whole, digits(c))).otherwise(digits(c))
 
 

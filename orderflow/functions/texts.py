@@ -62,6 +62,11 @@ def file_key(c: Column, most: int = 42, keep: str = "A-Za-z0-9") -> Column:
     return F.when(F.length(s) <= most, s).otherwise(F.concat_ws("_", short, F.substring(F.sha1(s.cast("binary")), 1, 8)))
 
 
+def safe_name(value: str) -> str:
+    """A plain value as part of a folder's name."""
+    return "".join(c if c.isalnum() or c in "-_." else "_" for c in value)
+
+
 def region(c: Column) -> Column:
     """STR-17: canonical name of a region."""
     s = folded(c)

@@ -16,7 +16,7 @@ WITHOUT = ("SEM CONVERSAO", "SEM DIVISAO", "SEM DIVIDIR", "SEM CONVERTER")
 WITH = ("QUANT CONVERTIDA", "MAPA DE PRODUTOS", "UNIDADE PARA CAIXA", "UNIDADE CAIXA COM CONVERSAO", "COM CONVERSAO", "DEPENDE DE CONVERSAO", "CONVERSAO POR SKU", "CONVERSAO POR EAN", "DIVISAO POR", "DIVIDIR QUANTIDADE", "FATOR")
 #: Words that support any layout of a kind.
 COMMON = {
-    "PDF": ("CNPJ", "PEDIDO", "PEDIDO DE COMPRA", "FORNECEDOR", "PRODUTO", "DESCRICAO", "SKU", "COD", "QTDE", "QTD", "QUANTIDADE", "ENTREGA", "UNIDADE", "EMBALAGEM", "TOTAL"),
+    "PDF": ("CNPJ", "PEDIDO", "PEDIDO DE COMPRA", "FORNECEDOR", "PRODUTO", "DESCRICAO", "SKU", "COD", "COD FORN", "REFERENCIA", "QTDE", "QTD", "QUANTIDADE", "PREVISAO", "ENTREGA", "UNIDADE", "EMBALAGEM", "TOTAL"),
     "EXCEL": ("MATRICULA", "SKU", "QTD", "QTDE", "QUANTIDADE", "PEDIDO", "ENTREGA", "DATA", "CNPJ", "EAN", "CODIGO", "PRODUTO", "DESCRICAO"),
 }
 STOP = ("PDF", "EXCEL", "PADRAO", "LAYOUT", "MATRICIAL", "PEDIDO", "PEDIDOS", "CLIENTE", "CLIENTES", "IMPORTACAO")

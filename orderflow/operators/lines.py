@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
+
 ORDER, CNPJ = r"^PEDIDO DE COMPRAS ([0-9]+)/", r"([0-9]{2}\.[0-9]{3}\.[0-9]{3}/[0-9]{4}-[0-9]{2})"
 ITEM, CANDIDATE, TOTAL = r"^([0-9]{6}) ([0-9]+) (.+) CX ([0-9]+) ([0-9]+),00 [0-9]+,[0-9]{4}$", r"^[0-9]{6} ", r"^TOTAIS ([0-9]+),00$"
 
@@ -166,9 +168,9 @@ def compact_records(lines: DataFrame) -> DataFrame:
 
 def roles(line: Column) -> dict[str, Column]:
     """FLT-31: what a line of a record written downwards may be."""
-    s, d = F.upper(F.trim(line)), F.regexp_replace(line, "[^0-9]", "")
+    s, d = F.translate(F.upper(F.trim(line)), S.ACCENTS, S.PLAIN), F.regexp_replace(line, "[^0-9]", "")
     day = line.rlike(r"^\s*[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{2,4}\s*$")
-    return {"regional": s.isin("PR", "SC", "SP", "MG", "RS", "POA", "CTBA", "CTL", "SP-HORT") | s.contains("HORT"), "matricula": F.length(d).between(7, 12) & ~day, "pedido": F.length(d).between(6, 12) & ~day, "data": day}
+    return {"regional": s.isin("PR", "SC", "SP", "MG", "RS", "POA", "CTBA", "CTL", "SP-HORT") | s.rlike("HORT|SUMARE|CURITIBA|PORTO ALEGRE"), "matricula": F.length(d).between(7, 12) & ~day, "pedido": F.length(d).between(6, 12) & ~day, "data": day}
 
 
 def assemble_vertical(lines: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import partition_sets
+
 
 def flag_repeats(items: DataFrame) -> DataFrame:
     """row_id, repetido, primeiro_arquivo: whether the order came before in its push, and with which file (WIN-09)."""
@@ -86,6 +88,11 @@ def duplicate_mirror(items: DataFrame) -> DataFrame:
     return items.join(many, "pedido", "left_semi")
 
 
+def mirror_duplicates(items: DataFrame, path: str, lot: str) -> DataFrame:
+    """Keeps the repeated orders of a lot, one partition each, as they stand now, and returns pedido and n (SET-09). Orders that no longer repeat go, other lots stay."""
+    return partition_sets.write_set(duplicate_mirror(items), path, {"lote": lot}, ("pedido",))
+
+
 def consolidated(files: DataFrame) -> DataFrame:
     """layout_usado, arquivos, modo: LOTE for layouts of several files of which none is generic or doubtful, else ARQUIVO (SET-02)."""
     doubtful = F.max((F.upper("layout_usado").contains("GENERIC") | (F.col("layout_usado") != F.col("layout_referencia"))).cast("int"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..functions import scalars as S
 from ..functions import texts as X
+from ..sources import partition_sets
 from . import identity, lots
 
 CRITICAL = ("ALERTA", "ERRO", "VALIDAR", "A CADASTRAR", "CADASTRAR CHAVE", "NAO CONVERTIDO", "CONVERSAO_PENDENTE_VALIDACAO", "MATRICULA_NAO_ENCONTRADA", "SKU_VAZIO", "QTD_VAZIA", "PEDIDO_VAZIO", "DATA_INVALIDA", "DUPLICADO")
@@ -222,11 +223,9 @@ def lot_report(items: DataFrame, issues: DataFrame, files: DataFrame) -> dict[st
     }
 
 
-def archive(outputs: DataFrame, path: str, run_date: str) -> DataFrame:
-    """Appends outputs (tipo, arquivo, ...) under their date and kind, a rerun of a date replacing its own; returns counts by kind (SNK-06)."""
-    x = outputs.withColumn("run_date", F.lit(run_date))
-    x.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date", "tipo").parquet(path)
-    return x.groupBy("tipo").agg(F.count(F.lit(1)).alias("n"))
+def archive(outputs: DataFrame, path: str, run_date: str, run: str = "1") -> DataFrame:
+    """Keeps outputs (tipo, arquivo, ...) under their date, run and kind; returns counts by kind (SNK-06). Runs of a day add up, a rerun of one replaces its own."""
+    return partition_sets.write_set(outputs, path, {"run_date": run_date, "run": run}, ("tipo",))
 
 
 def newest_first(outputs: DataFrame) -> DataFrame:

@@ -149,7 +149,7 @@ def company_batch(cells: DataFrame, header: int, sku_column: int, stores: DataFr
 
 def email_batch(messages: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Items with the day of their shipment by message, and a summary by region (PIPE-08). items: row_id, matricula, pedido, regional, sku, qtd (long)."""
-    ships = tables.email_shipments(messages).select(F.concat(F.col("row_id") * 1000 + F.col("line_no")).cast("long").alias("row_id"), "regional", "matricula", "pedido", F.date_format("data", "dd.MM.yyyy").alias("data_remessa"))
+    ships = tables.email_shipments(messages).select(F.struct("row_id", "line_no").alias("row_id"), "regional", "matricula", "pedido", F.date_format("data", "dd.MM.yyyy").alias("data_remessa"))
     first = resolve.dedup_shipments(ships).select("row_id")
     told = customers.attach_ship_date_tiers(items, ships.join(first, "row_id"))
     x = items.join(told, "row_id")
