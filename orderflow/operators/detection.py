@@ -70,15 +70,45 @@ def score_layouts(files: DataFrame, rules: DataFrame) -> DataFrame:
     return x.select("row_id", "regra", "nome", "score", "margem", decision.alias("decisao"))
 
 
+def _grams(c: Column) -> Column:
+    """All different pieces of one to three characters of a text."""
+    one = lambda n: F.transform(F.sequence(F.lit(0), F.length(c) - n), lambda i: F.substring(c, i + 1, F.lit(n)))
+    return F.array_distinct(F.concat(*[F.when(F.length(c) >= n, one(n)).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)]))
+
+
+def name_pairs(left: DataFrame, right: DataFrame, ignored: tuple[str, ...] = ("PDF", "EXCEL", "LAYOUT")) -> DataFrame:
+    """tipo, a, b: names of a kind (left: tipo, a; right: tipo, b; each once, not blank) that share a word, or of which one holds the other.
+
+    Found by postings, not by crossing: of words, and of pieces of characters. A name that holds another holds each of its pieces, so
+    the other is posted under one piece only, its rarest among the names it may be held by.
+    """
+    words = lambda x, c: x.select("tipo", c, F.explode(F.array_except(F.split(c, " "), F.array(*map(F.lit, ("", *ignored))))).alias("k"))
+
+    def held(inner: DataFrame, i: str, outer: DataFrame, o: str) -> DataFrame:
+        postings = outer.select("tipo", o, F.explode(_grams(F.col(o))).alias("k"))
+        longest = F.filter(_grams(F.col(i)), lambda g: F.length(g) == F.least(F.lit(3), F.length(i)))
+        n = postings.groupBy("tipo", "k").agg(F.count(F.lit(1)).alias("n"))
+        asked = inner.select("tipo", i, F.explode(longest).alias("k")).join(n, ["tipo", "k"], "left")
+        rarest = asked.groupBy("tipo", i).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "k")).alias("x")).filter("x.n > 0").select("tipo", i, F.col("x.k").alias("k"))
+        return rarest.join(postings, ["tipo", "k"]).filter(F.contains(F.col(o), F.col(i))).select("tipo", "a", "b")
+
+    shared = words(left, "a").join(words(right, "b"), ["tipo", "k"]).select("tipo", "a", "b")
+    return shared.unionByName(held(left, "a", right, "b")).unionByName(held(right, "b", left, "a")).distinct()
+
+
 def layout_for_network(networks: DataFrame, layouts: DataFrame) -> DataFrame:
-    """row_id, layout, nome, score: the active layout of a network's kind of file by name: 100 the same, 90 one in the other, 50 and 5 a common word (J-19)."""
-    ok = layouts.join(tracking_allowed(layouts).filter("permitido"), "row_id").select(F.col("row_id").alias("layout"), "nome_layout", F.upper("tipo_arquivo").alias("tipo"), S.folded(F.col("nome_layout")).alias("b"))
-    x = networks.select("row_id", F.upper("tipo").alias("tipo"), S.folded(F.col("rede")).alias("a")).filter("a <> ''").join(F.broadcast(ok), "tipo")
+    """row_id, layout, nome, score: the active layout of a network's kind of file by name: 100 the same, 90 one in the other, 50 and 5 a common word (J-19).
+
+    Names are taken once each, and meet through name_pairs; of layouts with equal names the first counts.
+    """
+    ok = layouts.join(tracking_allowed(layouts).filter("permitido"), "row_id").select("row_id", "nome_layout", F.upper("tipo_arquivo").alias("tipo"), S.folded(F.col("nome_layout")).alias("b"))
+    known = ok.groupBy("tipo", "b").agg(F.min_by(F.struct(F.col("row_id").alias("layout"), "nome_layout"), "row_id").alias("l"))
+    asked = networks.select("row_id", F.upper("tipo").alias("tipo"), S.folded(F.col("rede")).alias("a")).filter("a <> ''")
+    x = name_pairs(asked.select("tipo", "a").distinct(), known.filter("b <> ''").select("tipo", "b")).join(known, ["tipo", "b"])
     common = F.size(F.array_intersect(F.split("a", " "), F.array_except(F.split("b", " "), F.array(F.lit("PDF"), F.lit("EXCEL"), F.lit("LAYOUT")))))
-    score = F.when(F.col("a") == F.col("b"), 100).when(F.contains("b", F.col("a")) | F.contains("a", F.col("b")), 90).when(common > 0, 50 + 5 * common).otherwise(0)
-    x = x.withColumn("score", score).filter("score > 0")
-    best = x.groupBy("row_id").agg(F.max_by(F.struct("layout", "nome_layout", "score"), F.struct("score", (-F.col("layout")).alias("e"))).alias("x"))
-    return best.select("row_id", "x.layout", F.col("x.nome_layout").alias("nome"), F.col("x.score").cast("long").alias("score"))
+    score = F.when(F.col("a") == F.col("b"), 100).when(F.contains("b", F.col("a")) | F.contains("a", F.col("b")), 90).otherwise(50 + 5 * common)
+    best = x.withColumn("score", score).groupBy("tipo", "a").agg(F.max_by(F.struct("l.layout", "l.nome_layout", "score"), F.struct("score", (-F.col("l.layout")).alias("e"))).alias("x"))
+    return asked.join(best, ["tipo", "a"]).select("row_id", "x.layout", F.col("x.nome_layout").alias("nome"), F.col("x.score").cast("long").alias("score"))
 
 
 def track_by_keys(docs: DataFrame, xref: DataFrame, layouts: DataFrame) -> DataFrame:
