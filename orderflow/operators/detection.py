@@ -76,13 +76,12 @@ def _grams(c: Column) -> Column:
     return F.array_distinct(F.concat(*[F.when(F.length(c) >= n, one(n)).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)]))
 
 
-def name_pairs(left: DataFrame, right: DataFrame, ignored: tuple[str, ...] = ("PDF", "EXCEL", "LAYOUT")) -> DataFrame:
-    """tipo, a, b: names of a kind (left: tipo, a; right: tipo, b; each once, not blank) that share a word, or of which one holds the other.
+def held_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """tipo, a, b: names of a kind (left: tipo, a; right: tipo, b; each once, not blank) of which one holds the other.
 
-    Found by postings, not by crossing: of words, and of pieces of characters. A name that holds another holds each of its pieces, so
-    the other is posted under one piece only, its rarest among the names it may be held by.
+    Found by postings of pieces of characters, not by crossing: a name that holds another holds each of its pieces, so the other is
+    posted under one piece only, its rarest among the names that may hold it.
     """
-    words = lambda x, c: x.select("tipo", c, F.explode(F.array_except(F.split(c, " "), F.array(*map(F.lit, ("", *ignored))))).alias("k"))
 
     def held(inner: DataFrame, i: str, outer: DataFrame, o: str) -> DataFrame:
         postings = outer.select("tipo", o, F.explode(_grams(F.col(o))).alias("k"))
@@ -92,8 +91,14 @@ def name_pairs(left: DataFrame, right: DataFrame, ignored: tuple[str, ...] = ("P
         rarest = asked.groupBy("tipo", i).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "k")).alias("x")).filter("x.n > 0").select("tipo", i, F.col("x.k").alias("k"))
         return rarest.join(postings, ["tipo", "k"]).filter(F.contains(F.col(o), F.col(i))).select("tipo", "a", "b")
 
+    return held(left, "a", right, "b").unionByName(held(right, "b", left, "a")).distinct()
+
+
+def name_pairs(left: DataFrame, right: DataFrame, ignored: tuple[str, ...] = ("PDF", "EXCEL", "LAYOUT")) -> DataFrame:
+    """held_pairs, and those that share a word."""
+    words = lambda x, c: x.select("tipo", c, F.explode(F.array_except(F.split(c, " "), F.array(*map(F.lit, ("", *ignored))))).alias("k"))
     shared = words(left, "a").join(words(right, "b"), ["tipo", "k"]).select("tipo", "a", "b")
-    return shared.unionByName(held(left, "a", right, "b")).unionByName(held(right, "b", left, "a")).distinct()
+    return shared.unionByName(held_pairs(left, right)).distinct()
 
 
 def layout_for_network(networks: DataFrame, layouts: DataFrame) -> DataFrame:
