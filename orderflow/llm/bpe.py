@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,8 @@ from pyspark.sql import types as T
 
 from .text import slices
 
-LEAF_BYTES = 24
+LEAF_BYTES = 2
+KEPT_BYTES = 8
 CACHED_PIECES = 1_000_000
 SLICE_BYTES = 4 << 20
 
@@ -39,6 +41,7 @@ class TreeEncoder:
         self.ranks, self.leaf = ranks, max(1, leaf)
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.compatible_pairs: dict[tuple[int, int], bool] = {}
+        self.halves: dict[bytes, list[int]] = {}
 
     def merged(self, data: bytes) -> list[int]:
         """By the definition: the pair of lowest rank is merged, leftmost first, until no pair has a rank."""
@@ -81,10 +84,18 @@ class TreeEncoder:
             reach *= 2
 
     def encode(self, data: bytes) -> list[int]:
+        """The tree's reduction; short halves, which many pieces share, are kept."""
         if len(data) <= self.leaf:
             return self.merged(data)
-        half = len(data) // 2
-        return self.join(self.encode(data[:half]), self.encode(data[half:]))
+        known = self.halves.get(data)
+        if known is None:
+            half = len(data) // 2
+            known = self.join(self.encode(data[:half]), self.encode(data[half:]))
+            if len(data) <= KEPT_BYTES:
+                if len(self.halves) > CACHED_PIECES:
+                    self.halves.clear()
+                self.halves[data] = known
+        return known
 
     def piece(self, data: bytes) -> list[int]:
         """A whole piece that is itself a token stays whole."""
@@ -138,7 +149,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", into: str = "decoded", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns keep, and into: the bytes of the ids, concatenated up a tree of runs of ids. Null ids: no bytes."""
+    """The columns keep, and into: the bytes of the ids, concatenated up a tree, neighbours in pairs. Null ids: no bytes."""
     sent = encoded.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,18 +157,17 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", into:
         for text, rank in sent.value.items():
             texts[rank] = text
 
-        def up(ids: np.ndarray) -> bytes:
-            if len(ids) <= 1 << 16:
-                return b"".join(texts[ids].tolist())
-            half = len(ids) // 2
-            return up(ids[:half]) + up(ids[half:])
+        def up(parts: list[bytes]) -> bytes:
+            while len(parts) > 1:
+                parts = list(map(add, parts[::2], [*parts[1::2], b""] if len(parts) % 2 else parts[1::2]))
+            return parts[0] if parts else b""
 
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
                 part = batch.slice(begin, 256)
                 lists = pc.fill_null(part.column("__ids"), [])
                 all_, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(pc.list_value_length(lists).to_numpy())
-                found = pa.array([up(x) for x in np.split(all_, ends[:-1])], pa.binary())
+                found = pa.array([up(texts[x].tolist()) for x in np.split(all_, ends[:-1])], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), found], names=[*keep, into])
 
     schema = T.StructType([*(encoded.schema[c] for c in keep), T.StructField(into, T.BinaryType())])
