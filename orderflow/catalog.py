@@ -147,7 +147,7 @@ SELECT doc_id AS file, page, unnest(range(1, len(string_split(t, chr(10))) + 1))
 )
 
 
-for _more in ("catalog_scalars", "catalog_orders", "catalog_documents", "catalog_reports", "catalog_lots", "catalog_layouts", "catalog_conversion"):
+for _more in ("catalog_scalars", "catalog_orders", "catalog_documents", "catalog_reports", "catalog_lots", "catalog_layouts", "catalog_conversion", "catalog_positions"):
     importlib.import_module(f".{_more}", __package__)
 
 

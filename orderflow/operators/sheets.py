@@ -46,6 +46,44 @@ def nearest(x: Column, centres: dict[str, float], within: float = 24.0) -> Colum
     return F.when(near["d"] <= within, near["name"])
 
 
+def _upto(starts: Column, x: Column) -> Column:
+    """How many of the ascending starts are at most x, by halving steps: of 8,191 at most."""
+    fits = lambda at, step: (at + step <= F.size(starts)) & (F.get(starts, at + step - 1) <= x)
+    return F.aggregate(F.array(*[F.lit(1 << i) for i in range(12, -1, -1)]), F.lit(0), lambda at, step: F.when(fits(at, step), at + step).otherwise(at))
+
+
+def assign_bands(words: DataFrame, bands: DataFrame, into: str = "faixa") -> DataFrame:
+    """words with the name of their file's band that holds x0, null if none does (J-16).
+
+    bands: file, nome, lo, hi; half-open, those of a file don't overlap, so the band is the last that begins at or before a word. Each file's bands are one sorted
+    row, met by an equality of files and searched by halving; files without bands keep their words.
+    """
+    own = bands.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "nome"))).alias("_b"))
+    x = words.join(own, "file", "left").withColumn("_at", F.get("_b", _upto(F.col("_b.lo"), F.col("x0")) - 1))
+    return x.withColumn(into, F.when(F.col("x0") < F.col("_at.hi"), F.col("_at.nome"))).drop("_b", "_at")
+
+
+def assign_nearest(words: DataFrame, centres: DataFrame, within: float = 24.0, into: str = "alvo") -> DataFrame:
+    """words with the name of their file's centre nearest to their middle, the smaller of equals; null beyond that distance (J-17).
+
+    centres: file, nome, x, as header_centres finds them. Of a file's sorted centres only the last before a word and the next one can be nearest.
+    """
+    own = centres.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("x", "nome"))).alias("_c"))
+    middle = (F.col("x0") + F.col("x1")) / 2
+    x = words.join(own, "file", "left").withColumn("_at", _upto(F.col("_c.x"), middle))
+    left, right = F.get("_c", F.col("_at") - 1), F.get("_c", F.col("_at"))
+    x = x.withColumns({"_l": left, "_r": right, "_m": middle})
+    nearer = F.when(F.col("_r").isNull() | (F.col("_m") - F.col("_l.x") <= F.col("_r.x") - F.col("_m")), F.col("_l")).otherwise(F.col("_r"))
+    x = x.withColumn("_n", nearer)
+    return x.withColumn(into, F.when(F.abs(F.col("_m") - F.col("_n.x")) <= within, F.col("_n.nome"))).drop("_c", "_at", "_l", "_r", "_m", "_n")
+
+
+def header_centres(words: DataFrame, pattern: str) -> DataFrame:
+    """file, nome, x: middles of the words that name columns, each name at its first place in the file, from the top."""
+    x = words.filter(F.col("text").rlike(pattern)).select("file", F.col("text").alias("nome"), ((F.col("x0") + F.col("x1")) / 2).alias("x"), F.struct("page", "top", "x0").alias("o"))
+    return x.groupBy("file", "nome").agg(F.min_by("x", "o").alias("x"))
+
+
 def items_by_position(words: DataFrame, bands: dict[str, tuple[float, float]]) -> DataFrame:
     """file, page, linha and one text for each band: words of a visual line put into columns by where they begin (EX-14)."""
     x = visual_lines(words).withColumn("_band", band(F.col("x0"), bands))
