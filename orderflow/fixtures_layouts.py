@@ -13,7 +13,7 @@ LINES: dict[str, tuple[tuple[str, ...], tuple[str, ...], tuple[str, ...], tuple[
     "COASUL": (("ORDEM Nº: {o}", "DADOS PARA FATURAMENTO", "CNPJ {c}", "EMPRESA.: CNPJ {s}"), ("1 {e} AGUA COM GAS UN {q}.5 2.50 {q}.00", "2 {e} SUCO FARDO {q} 2,50 99,00", "3 {e} SEM NADA", "outra linha"), ("", "", "", ""), ("Total 1",)),
     "BOZZA": (("Numero Pedido: {o}", "CNPJ/CPF : {c}", "Dt Entrega: {d}"), ("10 {p} {e} REFRI LATA {q},00 1.234,50 2,50 99,00", "11 {p} {e} AGUA 0 1 2,50 99,00", "12 {p} {e} QUEBRADA", "Protocolo: 7"), ("", "", "", ""), ("fim",)),
     "MONACO": (("Numero do Pedido: {o}", "Empresa: CNPJ {s}", "CNPJ {c} loja"), ("{p} {e} 9{p};8{p} REFRI LATA {q} 80,000 FD/2 6,23", "{p} {e} 9{p} AGUA {q} 1.080,000 CX/12 6,23", "{p} {e} SEM FIM", "texto"), ("", "", "", ""), ("Totais",)),
-    "DAHER": (("Pedido de Compras N° {o}", "CNPJ: {c}", "Destinatário: SPAL CNPJ: {s}", "EAN Descrição PLU Ref. Emb. Qtd. Valor"), ("{e} REFRI 12345 {p} CX12 {q} R$ 9,00", "{e} SUCO UVA 123 {p} UN {q},5 R$ 9,00", "{e} LINHA RUIM", "{p} sem ean"), ("", "", "", ""), ("Total: 99,00", "{e} DEPOIS 123 {p} UN 4 R$ 9,00")),
+    "DAHER": (("Pedido de Compras N° {o}", "CNPJ: {c}", "Destinatário: NOS CNPJ: {s}", "EAN Descrição PLU Ref. Emb. Qtd. Valor"), ("{e} REFRI 12345 {p} CX12 {q} R$ 9,00", "{e} SUCO UVA 123 {p} UN {q},5 R$ 9,00", "{e} LINHA RUIM", "{p} sem ean"), ("", "", "", ""), ("Total: 99,00", "{e} DEPOIS 123 {p} UN 4 R$ 9,00")),
     "PRIMATO": (("MERC - PEDIDO DE COMPRA Nº {o}", "CNPJ: {s} outro", "CNPJ : {c} IE : 123"), ("{p} {e} REFRI COLA {q},00 C/ 12 2,50 0,00 1.299,00", "{p} {e} AGUA 1.{q}0,00 C/6 2,50 0,00 99,00", "{p} {e} RUIM {q},00", "rodape"), ("", "", "", ""), ("Total",)),
     "SUPERLAR": (("NR PEDIDO: {o}", "CNPJ: {s}", "CNPJ: {c}"), ("{p} REFRI 473ML{e} CX/0006 0000000{p} {q} 2,4733 9,00", "{p} AGUA {e} FD/0012 {p} {q},5 6,0917", "{p} SUCO {e} CX/0006 {p} 2,4733 9,00 1", "TOTAIS {p} X {e} CX/0006 {p} 3 2,50"), ("", "", "", ""), ("PESO BRUTO 7",)),
     "INDIANA": (("Numero Pedido: {o}", "CNPJ {c}"), ("{p} REFRI 2L {q} 0,0000 9,00", "{p} AGUA 0 0,0000 1", "{p} SEM QUANTIDADE", "x"), ("", "", "", ""), ("Total",)),
