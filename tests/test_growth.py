@@ -32,3 +32,13 @@ def test_entries_of_one_root_are_not_crossed_with_items(spark):
     got = {r.row_id: r for r in found.collect()}
     assert len(got) == n and all(got[i].matricula == str(i % 100) and got[i].qualidade == 1000 and got[i].nivel == 100 for i in range(n))
     assert most_rows(found) < 20 * n
+
+
+def test_stores_may_stand_at_any_column(spark, same, tmp_path):
+    import duckdb
+
+    from orderflow import catalog
+
+    for t, moved in (("customer", "c_custkey + 99990 AS c_custkey"), ("orders", "o_custkey + 99990 AS o_custkey"), ("lineitem", "l_orderkey AS l_orderkey"), ("part", "p_partkey AS p_partkey")):
+        duckdb.execute(f"COPY (SELECT * REPLACE ({moved}) FROM '/root/testdata/sf0.001/{t}.parquet') TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    same(catalog.queries()["agg_04_reconcile_rows"](spark, str(tmp_path)), catalog.oracle_sql()["agg_04_reconcile_rows"], str(tmp_path))
