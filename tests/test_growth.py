@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from orderflow.operators import customers
+from orderflow.operators import customers, reports
 
 
 def most_rows(df) -> int:
@@ -34,6 +34,13 @@ def test_entries_of_one_root_are_not_crossed_with_items(spark):
     assert most_rows(found) < 20 * n
 
 
+def test_a_note_is_made_once_a_row(spark):
+    x = spark.createDataFrame([(1, "", "1", "2", "", "3", "4", "VALIDAR CONVERSAO", "QTD_VAZIA", "", "")], "row_id long, matricula_final string, cnpj_lido string, sku_lido string, ean_lido string, quantidade_lida string, numero_pedido_final string, status_conversao string, motivo_descarte string, status_depara_cliente string, observacao_conversao string")
+    blocked = reports.blocked_items(reports.validation_rows(x))
+    assert blocked.collect()[0].motivo == "Conversão pendente: VALIDAR CONVERSÃO | Matrícula vazia/A cadastrar | A CADASTRAR | QTD_VAZIA | VALIDAR CONVERSÃO"
+    assert blocked._jdf.queryExecution().optimizedPlan().toString().count("CADASTRAR CHAVE CLIENTE") <= 4
+
+
 def test_stores_may_stand_at_any_column(spark, same, tmp_path):
     import duckdb
 
