@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from orderflow.operators import customers, reports
+from orderflow.operators import customers, detection, reports
 
 
 def most_rows(df) -> int:
@@ -34,6 +34,15 @@ def test_entries_of_one_root_are_not_crossed_with_items(spark):
     assert most_rows(found) < 20 * n
 
 
+def test_files_stay_one_row_while_they_are_scored(spark):
+    files = spark.createDataFrame([(i, "PDF", f"pedido de compra rede {'um' if i % 2 else 'dois'} extra", f"um_{i}.pdf") for i in range(50)], "row_id long, tipo string, texto string, nome_arquivo string")
+    rules = spark.createDataFrame([(k, f"N{k}", "PDF", True, 75, 55, [w], ["PEDIDO DE COMPRA", "REDE"]) for k, w in enumerate(["UM", "DOIS", *[f"X{j}" for j in range(20)]])], "row_id long, nome string, tipo string, ativa boolean, limiar_auto int, limiar_sugestao int, fortes array<string>, apoio array<string>")
+    scored = detection.score_layouts(files, rules)
+    got = {r.row_id: r for r in scored.collect()}
+    assert len(got) == 50 and got[1].regra == 0 and got[1].score == 45 + 8 + 8 and got[2].regra == 0 and got[2].margem == 8
+    assert most_rows(scored) <= 60
+
+
 def test_a_note_is_made_once_a_row(spark):
     x = spark.createDataFrame([(1, "", "1", "2", "", "3", "4", "VALIDAR CONVERSAO", "QTD_VAZIA", "", "")], "row_id long, matricula_final string, cnpj_lido string, sku_lido string, ean_lido string, quantidade_lida string, numero_pedido_final string, status_conversao string, motivo_descarte string, status_depara_cliente string, observacao_conversao string")
     blocked = reports.blocked_items(reports.validation_rows(x))
