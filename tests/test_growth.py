@@ -34,6 +34,14 @@ def test_entries_of_one_root_are_not_crossed_with_items(spark):
     assert most_rows(found) < 20 * n
 
 
+def test_files_are_not_sent_to_all(spark):
+    items = spark.range(4).select(F.col("id").cast("string").alias("arquivo"), F.lit("").alias("alerta_extracao"))
+    results = spark.range(3).select(F.col("id").cast("string").alias("arquivo"), F.lit("UM").alias("layout"), F.lit("CHAVE").alias("modo"), F.lit(9).alias("confianca"))
+    stamped = detection.stamp_tracking(items, results)
+    assert {(r.arquivo, r.modo_rastreabilidade) for r in stamped.collect()} == {("0", "SIM"), ("1", "SIM"), ("2", "SIM"), ("3", "NAO")}
+    assert "broadcast" not in stamped._jdf.queryExecution().analyzed().toString().lower()
+
+
 def test_files_stay_one_row_while_they_are_scored(spark):
     files = spark.createDataFrame([(i, "PDF", f"pedido de compra rede {'um' if i % 2 else 'dois'} extra", f"um_{i}.pdf") for i in range(50)], "row_id long, tipo string, texto string, nome_arquivo string")
     rules = spark.createDataFrame([(k, f"N{k}", "PDF", True, 75, 55, [w], ["PEDIDO DE COMPRA", "REDE"]) for k, w in enumerate(["UM", "DOIS", *[f"X{j}" for j in range(20)]])], "row_id long, nome string, tipo string, ativa boolean, limiar_auto int, limiar_sugestao int, fortes array<string>, apoio array<string>")
