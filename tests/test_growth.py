@@ -66,3 +66,19 @@ def test_stores_may_stand_at_any_column(spark, same, tmp_path):
     for t, moved in (("customer", "c_custkey + 99990 AS c_custkey"), ("orders", "o_custkey + 99990 AS o_custkey"), ("lineitem", "l_orderkey AS l_orderkey"), ("part", "p_partkey AS p_partkey")):
         duckdb.execute(f"COPY (SELECT * REPLACE ({moved}) FROM '/root/testdata/sf0.001/{t}.parquet') TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
     same(catalog.queries()["agg_04_reconcile_rows"](spark, str(tmp_path)), catalog.oracle_sql()["agg_04_reconcile_rows"], str(tmp_path))
+
+
+def test_identity_is_checked_once_and_not_for_each_look_up(spark):
+    from orderflow import catalog
+
+    counts = catalog.queries()["agg_09_discard_counts"](spark, "/root/testdata/sf0.001")
+    assert counts._jdf.queryExecution().optimizedPlan().toString().count("SKU_LIDO_PARECE_EAN") == 1
+
+
+def test_reasons_are_compiled(spark):
+    from orderflow.functions import scalars as S
+
+    x = spark.createDataFrame([("a", None, "a", ""), (None, "b", "", "c")], "p string, q string, r string, s string")
+    made = S.once(x, k=S.kept(F.array(F.upper("p"), "q", F.upper("r"), "s"), ""), n=F.length("q"))
+    assert [list(r.k) for r in made.collect()] == [["A"], ["b", "c"]]
+    assert "lambda" not in made._jdf.queryExecution().optimizedPlan().toString()
