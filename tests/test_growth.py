@@ -68,6 +68,13 @@ def test_stores_may_stand_at_any_column(spark, same, tmp_path):
     same(catalog.queries()["agg_04_reconcile_rows"](spark, str(tmp_path)), catalog.oracle_sql()["agg_04_reconcile_rows"], str(tmp_path))
 
 
+def test_a_lots_lines_are_read_once_for_its_issues(spark):
+    from orderflow import catalog
+
+    issues = catalog.queries()["pipe_05_lot_issues"](spark, "/root/testdata/sf0.001")
+    assert issues._jdf.queryExecution().optimizedPlan().toString().count("VALIDAR_QTD_RPONE_SEM_EMBALAGEM") == 1
+
+
 def test_identity_is_checked_once_and_not_for_each_look_up(spark):
     from orderflow import catalog
 
