@@ -32,6 +32,7 @@ GROUP_BYTES = 32 << 20
 ENTRY_BYTES = 24  # of a suffix in a group: the two edges below the root, and the least document
 #: Words of a prefix, until a group is small enough; a whole suffix is the last one.
 DEPTHS = (1, 2, 3, 4, 6, 9)
+COUNTED = 1024  # groups whose counts travel as one row
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -180,12 +181,8 @@ def repeated_anchors(packed: DataFrame, least: int, parts: int) -> DataFrame:
     return _by_batch(sent.groupBy("part").applyInArrow(meet, "batch long, part int, n int, bits binary"))
 
 
-def heavy_prefixes(packed: DataFrame, anchors: DataFrame, least: int, limit: int, groups: int) -> list[np.ndarray]:
-    """For each prefix length, the groups that would hold over limit entries by it, in order.
-
-    Counts are of what batches will send, over all of them, one number a length and group from each task. All counts of a length add
-    up to the entries, so no more than entries / limit groups of it come to the driver.
-    """
+def group_counts(packed: DataFrame, anchors: DataFrame, least: int, groups: int) -> DataFrame:
+    """depth, block, sums: what each task will send, by prefix length, for COUNTED groups at a time: rows are not one for each group and task."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(DEPTHS), groups), np.int64)
@@ -199,12 +196,31 @@ def heavy_prefixes(packed: DataFrame, anchors: DataFrame, least: int, limit: int
                 at = at[np.unique(whole[at], return_index=True)[1]] if len(at) else at
                 for i, depth in enumerate(DEPTHS):
                     sums[i] += np.bincount(b.prefixes(depth, at, groups), minlength=groups)
-        depth, group = np.nonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(depth, pa.int32()), pa.array(group, pa.int64()), pa.array(sums[depth, group])], names=["depth", "part", "n"])
+        some = [(d, k, sums[d, k * COUNTED : (k + 1) * COUNTED]) for d in range(len(DEPTHS)) for k in range(-(-groups // COUNTED))]
+        some = [(d, k, x.tobytes()) for d, k, x in some if x.any()]
+        yield pa.RecordBatch.from_pylist([{"depth": d, "block": k, "sums": x} for d, k, x in some], pa.schema([("depth", pa.int32()), ("block", pa.int32()), ("sums", pa.binary())]))
 
     joined = packed.join(anchors, "batch", "left").select("ids", "offsets", "data", F.col("parts").cast(_BITS).alias("parts"))
-    counts = joined.mapInArrow(count, "depth int, part long, n long")
-    found = counts.groupBy("depth", "part").agg(F.sum("n").alias("n")).filter(F.col("n") > limit).collect()
+    return joined.mapInArrow(count, "depth int, block int, sums binary")
+
+
+def heavy_prefixes(packed: DataFrame, anchors: DataFrame, least: int, limit: int, groups: int) -> list[np.ndarray]:
+    """For each prefix length, the groups that would hold over limit entries by it, in order.
+
+    Counts are of what batches will send, over all of them. All counts of a length add up to the entries, so no more than
+    entries / limit groups of it come to the driver.
+    """
+
+    def heavy(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        depth, block = (k.as_py() for k in key)
+        total = np.int64(0)
+        for batch in batches:
+            for x in batch.column("sums").to_pylist():
+                total = total + np.frombuffer(x, np.int64)
+        part = np.flatnonzero(total > limit) + block * COUNTED
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), depth), pa.int32()), pa.array(part, pa.int64())], names=["depth", "part"])
+
+    found = group_counts(packed, anchors, least, groups).groupBy("depth", "block").applyInArrow(heavy, "depth int, part long").collect()
     return [np.sort(np.array([r["part"] for r in found if r["depth"] == d], np.int64)) for d in range(len(DEPTHS))]
 
 

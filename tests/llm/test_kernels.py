@@ -95,6 +95,8 @@ def test_a_small_cache_gives_the_same_ids(monkeypatch):
 
 def test_long_words_of_regular_build_differ(spark):
     """Words for which polynomials modulo a power of two agree: Thue-Morse over two letters, and its complement."""
+    from pyspark.sql import functions as F
+
     from orderflow.llm import substrings
 
     one = "".join("ab"[i.bit_count() % 2] for i in range(1024))
@@ -413,6 +415,8 @@ def test_subtree_nodes():
 
 def test_common_prefixes_are_split(spark):
     """Groups of a few entries, so that prefixes of every length are used; against the definition."""
+    from pyspark.sql import functions as F
+
     from orderflow.llm import substrings
 
     rng = random.Random(5)
@@ -443,3 +447,25 @@ def test_repeated_ids_are_rows_of_their_own(spark):
         near = sorted((float(np.sqrt(((np.array(o) - v) ** 2).sum())), i) for i, o in once if i != 100)[:10]
         want += [(100, rank, i, round(s, 9)) for rank, (s, i) in enumerate(near, 1)]
     assert sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in got) == sorted(want)
+
+
+def test_counts_of_groups_are_not_a_row_each_for_every_task(spark):
+    from pyspark.sql import functions as F
+
+    from orderflow.llm import substrings
+    from orderflow.llm.shared import cut
+
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(60)), lambda i: F.xxhash64(i, F.col("id") % 100).cast("string")), " ").alias("text"))
+    packed = cut(substrings.pack(docs, 4096))
+    anchors = cut(substrings.repeated_anchors(packed, 13, 2000))
+    tasks = packed.repartition(20)
+    counts = substrings.group_counts(tasks, anchors, 13, 2000).collect()
+    assert len(counts) <= max(20, tasks.rdd.getNumPartitions()) * len(substrings.DEPTHS) * 2
+    total = {d: sum(int(np.frombuffer(r.sums, np.int64).sum()) for r in counts if r.depth == d) for d in range(len(substrings.DEPTHS))}
+    assert len(set(total.values())) == 1 and total[0] > 0
+    heavy = substrings.heavy_prefixes(packed, anchors, 13, 10, 2000)
+    by_group = {}
+    for r in counts:
+        for k, n in enumerate(np.frombuffer(r.sums, np.int64)):
+            by_group[r.depth, r.block * substrings.COUNTED + k] = by_group.get((r.depth, r.block * substrings.COUNTED + k), 0) + n
+    assert [list(h) for h in heavy] == [sorted(g for (d, g), n in by_group.items() if d == i and n > 10) for i in range(len(substrings.DEPTHS))]
