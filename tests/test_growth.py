@@ -89,3 +89,13 @@ def test_reasons_are_compiled(spark):
     made = S.once(x, k=S.kept(F.array(F.upper("p"), "q", F.upper("r"), "s"), ""), n=F.length("q"))
     assert [list(r.k) for r in made.collect()] == [["A"], ["b", "c"]]
     assert "lambda" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_plain_fields_of_the_queue_pass_through_one_pattern(spark):
+    from orderflow.functions import scalars as S
+
+    rows = [("7", "007", "1/2/2024"), ("7.0", "1.234,5", "31.12.1999"), ("1,7E+3", "0,2", "31/02/1997"), ("A-7", "-3", "01/01/0000"), ("", " 5 ", "1/1/24"), (None, "x", None), ("12.00", "9" * 16, "29/02/2024")]
+    x = spark.createDataFrame(rows, "a string, b string, c string")
+    got = [(r.a, r.b, str(r.c)) for r in x.select(S.sku(F.col("a")).alias("a"), S.queue_quantity(F.col("b")).alias("b"), S.day(F.col("c")).alias("c")).collect()]
+    assert got == [("7", 7, "2024-02-01"), ("7", 1234, "1999-12-31"), ("1700", 1, "None"), ("7", 1, "None"), ("", 5, "None"), ("", None, "None"), ("12", 10**16, "2024-02-29")]
+    assert "gettimestamp" not in x.select(S.day(F.col("c")))._jdf.queryExecution().optimizedPlan().toString().lower()
