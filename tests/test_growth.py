@@ -91,6 +91,13 @@ def test_reasons_are_compiled(spark):
     assert "lambda" not in made._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_the_queue_is_judged_once_for_all_gates(spark):
+    from orderflow import catalog
+
+    gates = catalog.queries()["flt_11_release_gate"](spark, "/root/testdata/sf0.001")
+    assert gates._jdf.queryExecution().optimizedPlan().toString().count("QTD_INVALIDA: )") <= 1 and gates._jdf.queryExecution().optimizedPlan().toString().count("Relation [l_orderkey") == 1
+
+
 def test_plain_fields_of_the_queue_pass_through_one_pattern(spark):
     from orderflow.functions import scalars as S
 
