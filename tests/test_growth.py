@@ -106,3 +106,16 @@ def test_plain_fields_of_the_queue_pass_through_one_pattern(spark):
     got = [(r.a, r.b, str(r.c)) for r in x.select(S.sku(F.col("a")).alias("a"), S.queue_quantity(F.col("b")).alias("b"), S.day(F.col("c")).alias("c")).collect()]
     assert got == [("7", 7, "2024-02-01"), ("7", 1234, "1999-12-31"), ("1700", 1, "None"), ("7", 1, "None"), ("", 5, "None"), ("", None, "None"), ("12", 10**16, "2024-02-29")]
     assert "gettimestamp" not in x.select(S.day(F.col("c")))._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_patterns_of_layouts_do_not_go_along_windows(spark):
+    from orderflow import catalog
+
+    read = catalog.queries()["ex_01_lines_by_rules"](spark, "/root/testdata/sf0.001")
+
+    def walk(p) -> int:
+        wide = p.nodeName() == "Window" and any(f"{c}#" in p.output().mkString(" ") for c in ("item_sem_sku", "codigo_acima", "candidata", "referencia"))
+        return wide + sum(walk(p.children().apply(i)) for i in range(p.children().size()))
+
+    plan = read._jdf.queryExecution().optimizedPlan()
+    assert walk(plan) == 0 and plan.toString().count("Sort [layout") == 2
