@@ -119,3 +119,14 @@ def test_patterns_of_layouts_do_not_go_along_windows(spark):
 
     plan = read._jdf.queryExecution().optimizedPlan()
     assert walk(plan) == 0 and plan.toString().count("Sort [layout") == 2
+
+
+def test_vertical_records_hold_narrow_rows(spark):
+    from orderflow import catalog
+
+    plan = catalog.queries()["ex_03_vertical_records"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+
+    def walk(p) -> int:
+        return (p.nodeName() == "Window" and "_dia#" in p.output().mkString(" ")) + sum(walk(p.children().apply(i)) for i in range(p.children().size()))
+
+    assert walk(plan) == 0 and plan.toString().count("min_by(") == 4 and "lambda" not in plan.toString()
