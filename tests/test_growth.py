@@ -130,3 +130,14 @@ def test_vertical_records_hold_narrow_rows(spark):
         return (p.nodeName() == "Window" and "_dia#" in p.output().mkString(" ")) + sum(walk(p.children().apply(i)) for i in range(p.children().size()))
 
     assert walk(plan) == 0 and plan.toString().count("min_by(") == 4 and "lambda" not in plan.toString()
+
+
+def test_a_sheets_quantities_are_read_once_a_cell(spark):
+    from orderflow import catalog
+
+    plan = catalog.queries()["ex_08_sku_by_store"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+
+    def walk(p) -> int:
+        return (p.nodeName() == "Filter" and "decimal(30,8)" in p.expressions().mkString(" ")) + sum(walk(p.children().apply(i)) for i in range(p.children().size()))
+
+    assert walk(plan) == 0
