@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import base64
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from operator import add
 
 import numpy as np
@@ -24,7 +24,7 @@ from .text import slices
 
 LEAF_BYTES = 2
 KEPT_BYTES = 8
-CACHED_PIECES = 1_000_000
+CACHED_PIECES = 250_000
 SLICE_BYTES = 4 << 20
 
 
@@ -123,29 +123,56 @@ class _Pieces(dict):
         return found
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", into: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def _encoded(batches: Iterator[pa.RecordBatch], ids_of: Callable[[str], bytes], pattern: str, keep: tuple[str, ...], into: str) -> Iterator[pa.RecordBatch]:
+    """The columns keep, and into: the ids of each __text."""
+    import regex
+
+    split = regex.compile(pattern).findall
+    for batch in slices(batches, "__text", SLICE_BYTES):
+        ids = [b"".join(map(ids_of, split(x))) if x else b"" for x in batch.column("__text").to_pylist()]
+        ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), ids], names=[*keep, into])
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], tokens: dict[int, bytes], ids: str, keep: tuple[str, ...], into: str) -> Iterator[pa.RecordBatch]:
+    """The columns keep, and into: the bytes of each list of ids."""
+    texts = np.empty(max(tokens, default=-1) + 1, object)
+    for rank, text in tokens.items():
+        texts[rank] = text
+
+    def up(parts: list[bytes]) -> bytes:
+        while len(parts) > 1:
+            parts = list(map(add, parts[::2], [*parts[1::2], b""] if len(parts) % 2 else parts[1::2]))
+        return parts[0] if parts else b""
+
+    for batch in batches:
+        for begin in range(0, batch.num_rows, 256):
+            part = batch.slice(begin, 256)
+            lists = pc.fill_null(part.column(ids), [])
+            all_, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(pc.list_value_length(lists).to_numpy())
+            found = pa.array([up(texts[x].tolist()) for x in np.split(all_, ends[:-1])], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), found], names=[*keep, into])
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", into: str = "ids", keep: tuple[str, ...] = ("doc_id",), decoded: str = "") -> DataFrame:
     """The columns keep, and into: the token ids of the whole text as array<int>.
 
     Each match of pattern is encoded separately. Null and empty texts give an empty array. Rows are independent:
     repeated rows, null ids and any further columns need no care; a column named as into is replaced. ranks is
-    broadcast; its size is that of the vocabulary. An empty table gives an empty one.
+    broadcast; its size is that of the vocabulary. An empty table gives an empty one. decoded, if given, names a further
+    column of what the ids decode to, made by the same worker, so that a second one need not hold the vocabulary.
     """
     sent = docs.sparkSession.sparkContext.broadcast(_Pieces(ranks))
-    keep = tuple(c for c in keep if c != into)
+    keep = tuple(c for c in keep if c not in (into, decoded))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        split = regex.compile(pattern).findall
-        ids_of = sent.value.__getitem__
-        for batch in slices(batches, "__text", SLICE_BYTES):
-            ids = [b"".join(map(ids_of, split(x))) if x else b"" for x in batch.column("__text").to_pylist()]
-            ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), ids], names=[*keep, into])
+        pieces = sent.value
+        ids = _encoded(batches, pieces.__getitem__, pattern, keep, into)
+        return _decoded(ids, pieces.encoder.tokens, into, (*keep, into), decoded) if decoded else ids
 
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(into, T.ArrayType(T.IntegerType(), False))])
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    made = [T.StructField(into, T.ArrayType(T.IntegerType(), False)), *([T.StructField(decoded, T.BinaryType())] if decoded else [])]
+    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, T.StructType([*(docs.schema[c] for c in keep), *made]))
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", into: str = "decoded", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -153,22 +180,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", into:
     sent = encoded.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = np.empty(max(sent.value.values(), default=-1) + 1, object)
-        for text, rank in sent.value.items():
-            texts[rank] = text
-
-        def up(parts: list[bytes]) -> bytes:
-            while len(parts) > 1:
-                parts = list(map(add, parts[::2], [*parts[1::2], b""] if len(parts) % 2 else parts[1::2]))
-            return parts[0] if parts else b""
-
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
-                lists = pc.fill_null(part.column("__ids"), [])
-                all_, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(pc.list_value_length(lists).to_numpy())
-                found = pa.array([up(texts[x].tolist()) for x in np.split(all_, ends[:-1])], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), found], names=[*keep, into])
+        return _decoded(batches, {rank: text for text, rank in sent.value.items()}, "__ids", keep, into)
 
     schema = T.StructType([*(encoded.schema[c] for c in keep), T.StructField(into, T.BinaryType())])
     return encoded.select(*keep, F.col(ids).alias("__ids")).mapInArrow(run, schema)
@@ -176,7 +188,6 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", into:
 
 def token_digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """doc_id, n_tokens, and digests of the ids and of what they decode to, for each document."""
-    ids = encode(docs, ranks, pattern)
-    ids = ids.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"))
-    back = decode(ids, ranks, keep=("doc_id", "n_tokens", "ids_sha256"))
-    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    x = encode(docs, ranks, pattern, decoded="decoded")
+    ids = F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256)
+    return x.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

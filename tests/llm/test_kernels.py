@@ -469,3 +469,15 @@ def test_counts_of_groups_are_not_a_row_each_for_every_task(spark):
         for k, n in enumerate(np.frombuffer(r.sums, np.int64)):
             by_group[r.depth, r.block * substrings.COUNTED + k] = by_group.get((r.depth, r.block * substrings.COUNTED + k), 0) + n
     assert [list(h) for h in heavy] == [sorted(g for (d, g), n in by_group.items() if d == i and n > 10) for i in range(len(substrings.DEPTHS))]
+
+
+def test_tokens_are_made_and_read_back_by_one_worker(spark):
+    from orderflow.llm import bpe
+
+    docs = spark.createDataFrame([(1, "abc ab"), (2, None), (3, "")], "doc_id long, text string")
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256}
+    made = bpe.token_digests(docs, ranks, r"\S+|\s+")
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    both = bpe.encode(docs, ranks, r"\S+|\s+", decoded="back")
+    assert sorted((r.doc_id, r.ids, bytes(r.back)) for r in both.collect()) == [(1, [256, 99, 32, 256], b"abc ab"), (2, [], b""), (3, [], b"")]
+    assert sorted(map(tuple, bpe.decode(both.drop("back"), ranks).collect())) == [(1, b"abc ab"), (2, b""), (3, b"")]
