@@ -141,3 +141,14 @@ def test_a_sheets_quantities_are_read_once_a_cell(spark):
         return (p.nodeName() == "Filter" and "decimal(30,8)" in p.expressions().mkString(" ")) + sum(walk(p.children().apply(i)) for i in range(p.children().size()))
 
     assert walk(plan) == 0
+
+
+def test_a_form_reads_its_sheets_once_for_all_labels_and_its_numbers_once_a_line(spark):
+    from orderflow import catalog
+    from orderflow.operators import sheets
+
+    plan = catalog.queries()["ex_13_order_forms"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [l_orderkey") == 3 and plan.count("[0-9],[0-9]") <= 6
+    rows = [("S", 1, 1, "Matrícula:"), ("S", 1, 2, "7"), ("S", 1, 4, "a matricula"), ("S", 1, 5, "8"), ("S", 12, 1, "x9"), ("S", 12, 3, "24"), ("S", 12, 4, "12"), ("T", 2, 3, "Data"), ("T", 12, 1, "5"), ("T", 12, 2, "1,5"), ("T", 12, 9, "z"), ("U", 12, 1, "6")]
+    form = sheets.extract_form(spark.createDataFrame(rows, "sheet string, r long, c long, v string"), {"m": "MATRICULA", "d": "DATA"}, {"sku": 1, "fardo": 2, "unidades": 3, "por_fardo": 4}, 10)
+    assert sorted(map(tuple, form.collect())) == [("S", 12, "9", "2", "QTD_CALCULADA_POR_UNIDADES", "7", ""), ("T", 12, "5", "1,5", "", "", ""), ("U", 12, "6", "", "QTD_FARDO_AUSENTE", "", "")]
