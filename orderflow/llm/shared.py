@@ -1,34 +1,5 @@
-"""Where intermediate tables go, and how lineage is cut."""
+"""Where intermediate tables go, and how lineage is cut: as for the rest of the library."""
 
-from __future__ import annotations
+from ..sources.shared import cut, scratch, shared_dir, shuffle_partitions
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        found = sc.getCheckpointDir()
-    return found
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder once and read from there."""
-    path = scratch(df.sparkSession, "cut")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+__all__ = ["cut", "scratch", "shared_dir", "shuffle_partitions"]

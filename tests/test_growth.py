@@ -1,5 +1,7 @@
 """What must not grow with the square of a group, or pass through one place, and what wide tables must not change."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from orderflow.operators import customers, detection, reports
@@ -152,3 +154,23 @@ def test_a_form_reads_its_sheets_once_for_all_labels_and_its_numbers_once_a_line
     rows = [("S", 1, 1, "Matrícula:"), ("S", 1, 2, "7"), ("S", 1, 4, "a matricula"), ("S", 1, 5, "8"), ("S", 12, 1, "x9"), ("S", 12, 3, "24"), ("S", 12, 4, "12"), ("T", 2, 3, "Data"), ("T", 12, 1, "5"), ("T", 12, 2, "1,5"), ("T", 12, 9, "z"), ("U", 12, 1, "6")]
     form = sheets.extract_form(spark.createDataFrame(rows, "sheet string, r long, c long, v string"), {"m": "MATRICULA", "d": "DATA"}, {"sku": 1, "fardo": 2, "unidades": 3, "por_fardo": 4}, 10)
     assert sorted(map(tuple, form.collect())) == [("S", 12, "9", "2", "QTD_CALCULADA_POR_UNIDADES", "7", ""), ("T", 12, "5", "1,5", "", "", ""), ("U", 12, "6", "", "QTD_FARDO_AUSENTE", "", "")]
+
+
+def test_lines_are_dealt_by_file_once_and_sorted_by_place_once(spark):
+    from orderflow.operators import rules
+    from orderflow.sources.layout_rules import rules_frame
+
+    lines = spark.createDataFrame([("a", 1, 1, "x", "PADRAO")], "file string, page long, line_no long, line string, layout string")
+    plan = rules.read_lines(lines, rules_frame(spark))._jdf.queryExecution()
+    physical = plan.executedPlan().toString()
+    assert physical.count("Exchange hashpartitioning(file") == 1 and physical.count("Exchange hash") == 1
+    assert len(re.findall(r"Sort \[file#\d+ ASC NULLS FIRST, page#\d+L? ASC NULLS FIRST, line_no", physical)) == 1
+    assert not re.search(r"RLIKE \w+#", plan.optimizedPlan().toString())  # it compiles a pattern that is a column for each row
+
+
+def test_items_of_many_layouts_are_read_once_for_all_look_ups(spark):
+    from orderflow import catalog
+
+    for name in ("pipe_06_queue_of_many_layouts", "pipe_06_left_of_many_layouts", "pipe_06_files_of_many_layouts"):
+        plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "LINHA_NAO_LIDA" not in plan and "regexp_extract(line" not in plan and "codigo_acima" not in plan
