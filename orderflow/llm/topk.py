@@ -128,14 +128,15 @@ def nearest_by_product(vectors: DataFrame, queries: DataFrame, k: int) -> DataFr
 
     own = F.pmod(F.col("group"), F.lit(blocks))
     unknown = [F.lit(None).cast("array<bigint>").alias(c) for c in ("f_ids", "floors")]
-    first = cut(met(asking.withColumn("block", own).select("*", *unknown).join(lists, "block")))
+    # Blocks and queries meet by merging: a plan sees the size of asking's files, not that they are repeated for each block, and would send all pairs through the driver.
+    first = cut(met(asking.withColumn("block", own).select("*", *unknown).join(lists.hint("merge"), "block")))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     kth = first.withColumn("place", place).filter(F.col("place") == k).select("query_id", "score")
     of = F.pmod(F.xxhash64("query_id"), F.lit(groups))
     floors = kth.groupBy(of.alias("group")).agg(F.collect_list(F.struct("query_id", "score")).alias("f")).select("group", F.col("f.query_id").alias("f_ids"), F.col("f.score").alias("floors"))
     # Queries, the smaller side, go to every block but the one they have met; a group's floors are as many as its queries.
     others = asking.join(floors, "group", "left").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).filter(F.col("block") != own)
-    best = first.unionByName(met(others.join(lists, "block")))
+    best = first.unionByName(met(others.join(lists.hint("merge"), "block")))
     return best.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -481,3 +481,10 @@ def test_tokens_are_made_and_read_back_by_one_worker(spark):
     both = bpe.encode(docs, ranks, r"\S+|\s+", decoded="back")
     assert sorted((r.doc_id, r.ids, bytes(r.back)) for r in both.collect()) == [(1, [256, 99, 32, 256], b"abc ab"), (2, [], b""), (3, [], b"")]
     assert sorted(map(tuple, bpe.decode(both.drop("back"), ranks).collect())) == [(1, b"abc ab"), (2, b""), (3, b"")]
+
+
+def test_queries_repeated_for_each_block_do_not_pass_through_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ROWS", 40)
+    frame = spark.createDataFrame([(i, [i % 7, -i, 3]) for i in range(200)], "vec_id long, embedding array<long>")
+    plan = topk.nearest_by_product(frame, frame.filter("vec_id % 10 = 0"), 5)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [block" in plan and "BroadcastHashJoin [block" not in plan
