@@ -174,3 +174,18 @@ def test_items_of_many_layouts_are_read_once_for_all_look_ups(spark):
     for name in ("pipe_06_queue_of_many_layouts", "pipe_06_left_of_many_layouts", "pipe_06_files_of_many_layouts"):
         plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "LINHA_NAO_LIDA" not in plan and "regexp_extract(line" not in plan and "codigo_acima" not in plan
+
+
+def test_a_lots_lines_are_written_once_for_its_queue(spark):
+    from orderflow import catalog
+
+    plan = catalog.queries()["pipe_05_lot_queue"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "VALIDAR_QTD_RPONE_SEM_EMBALAGEM" not in plan and "Local de Entrega" not in plan
+
+
+def test_a_text_is_read_once_for_where_it_delivers_to(spark):
+    rows = [(1, "Local de Entrega: CNPJ: 12.345.678/0001-90", "x"), (2, "nada", "y"), (3, "CNPJ 99.999.999/0001-00 e 11.111.111/0001-11", "z"), (4, None, "w")]
+    docs = spark.createDataFrame(rows, "row_id long, texto string, loja string")
+    got = detection.delivery_cnpj(docs, spark.createDataFrame([("12345678000190",)], "cnpj string"), ("99999999",), "loja")
+    assert sorted(map(tuple, got.collect())) == [(1, "x", "12345678000190"), (2, "y", ""), (3, "z", "11111111000111"), (4, "w", "")]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
