@@ -189,3 +189,13 @@ def test_a_text_is_read_once_for_where_it_delivers_to(spark):
     got = detection.delivery_cnpj(docs, spark.createDataFrame([("12345678000190",)], "cnpj string"), ("99999999",), "loja")
     assert sorted(map(tuple, got.collect())) == [(1, "x", "12345678000190"), (2, "y", ""), (3, "z", "11111111000111"), (4, "w", "")]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_parts_of_a_lots_line_are_made_once(spark):
+    from orderflow.operators import lot_items
+
+    lines = spark.createDataFrame([("a", 1, 1, "12345 SUCO 2 L 3,50 7,00 FD C/6")], "file string, page long, line_no long, line string")
+    read = lot_items.lot_lines(lines)
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(lot_items.UNIT_ANYWHERE) == 3 and plan.count(lot_items.UNIT_FIRST) == 4
+    assert [(r.formato, r.sku, r.descricao, r.qtd, r.alertas) for r in read.collect()] == [("A", "012345", "SUCO 2 L", 7, ["LEITURA_BH_FLEX"])]
